@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, quality
+from . import huffman, language, mixing, packing, quality
 from .exact_dedup import exact_dedup
 from .store import remainder
 
@@ -29,6 +29,14 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), ids=False)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     known = language.prototypes(docs, "lang", remainder("doc_id", 4) != 2)
@@ -45,8 +53,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op2_source_mixing": op2_source_mixing,
+        "op3_token_ids": op3_token_ids,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_language_id": op5_language_id,
+        "op7_packing": op7_packing,
         "op10_quality_classifier": op10_quality_classifier,
     }
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Rows of an Arrow batch: 1,024 documents of a few kB each are a few MB in a Python worker.
-BATCH_ROWS = "1024"
+BATCH_ROWS, BATCH_BYTES = "1024", "8m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +33,7 @@ def prepare(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
     env["TOKENIZERS_PARALLELISM"] = "false"
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 

@@ -48,7 +48,7 @@ def text_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     if isinstance(col, pa.ChunkedArray):
         col = pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], pa.string())
     if col.null_count:
-        col = pc.fill_null(col, "")
+        col = pc.fill_null(col, pa.scalar("", pa.string()).cast(col.type))
     n = len(col)
     if not n:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
