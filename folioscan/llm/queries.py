@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import huffman, language, mixing, packing, quality
+from . import embedding_dedup, huffman, language, mixing, packing, quality
 from .exact_dedup import exact_dedup
 from .store import remainder
 
@@ -43,6 +43,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, known).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
@@ -57,6 +61,7 @@ def queries() -> dict:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_language_id": op5_language_id,
         "op7_packing": op7_packing,
+        "op8_embedding_dedup": op8_embedding_dedup,
         "op10_quality_classifier": op10_quality_classifier,
     }
 
