@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, huffman, language, mixing, packing, quality
+from . import embedding_dedup, huffman, language, mixing, ngram_join, packing, quality
 from .exact_dedup import exact_dedup
 from .store import remainder
 
@@ -25,6 +25,10 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_source_mixing": op2_source_mixing,
         "op3_token_ids": op3_token_ids,
         "op4_exact_dedup": op4_exact_dedup,
