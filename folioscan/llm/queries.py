@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, huffman, language, mixing, ngram_join, packing, quality
+from . import embedding_dedup, huffman, language, mixing, ngram_join, packing, quality, substring_dedup
 from .exact_dedup import exact_dedup
 from .store import remainder
 
@@ -37,6 +37,17 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), ids=False)
 
@@ -65,9 +76,11 @@ def queries() -> dict:
         "op3_token_ids": op3_token_ids,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_language_id": op5_language_id,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_packing": op7_packing,
         "op8_embedding_dedup": op8_embedding_dedup,
         "op10_quality_classifier": op10_quality_classifier,
+        "pipeline": pipeline,
     }
 
 
