@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, huffman, language, mixing, ngram_join, packing, quality, substring_dedup
+from . import embedding_dedup, huffman, katz, language, mixing, ngram_join, packing, quality, substring_dedup
 from .exact_dedup import exact_dedup
 from .store import remainder
 
@@ -62,6 +62,11 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = katz.score(table(spark, sf_dir, "documents"))
+    return scores.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
@@ -79,6 +84,7 @@ def queries() -> dict:
         "op6_substring_dedup": op6_substring_dedup,
         "op7_packing": op7_packing,
         "op8_embedding_dedup": op8_embedding_dedup,
+        "op9_katz_scores": op9_katz_scores,
         "op10_quality_classifier": op10_quality_classifier,
         "pipeline": pipeline,
     }

@@ -67,3 +67,11 @@ def parts_for(spark: SparkSession, rows: int, per_part: int) -> int:
 def remainder(doc_id: str, m: int):
     """crc32 of the id as text, modulo m."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % m
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished steps now, not at some later collection of the driver's garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
