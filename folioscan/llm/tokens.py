@@ -11,8 +11,8 @@ from .store import parts_for, prepare, written
 from .text import text_bytes
 
 END_ID = 2
-#: Words whose ids a Python worker keeps; the memory is some 150 MB. When it is full it starts again.
-KEEP_WORDS = 800_000
+#: Words whose ids a Python worker keeps in its newer and its older half each; some 150 MB together.
+KEEP_WORDS = 500_000
 #: Tokens in a part of a dealt table.
 PART_TOKENS = 40_000_000
 _encoders: dict[tuple[str, int], WordEncoder] = {}
@@ -44,12 +44,12 @@ class WordEncoder:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         self.letters = [chr(b) if b in printable else chr(256 + rest.index(b)) for b in range(256)]
-        self._clear()
+        self._age()
 
-    def _clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.piece_ids: dict[str, list[int]] = {}
-        self.flat, self.first, self.used = np.empty(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), 0
+    def _age(self) -> None:
+        """Begin a new half; words that are met again come over from the older one, the others are forgotten next time."""
+        self.old = getattr(self, "half", _Half())
+        self.half, self.piece_ids = _Half(), {}
 
     def word_ids(self, word: bytes) -> list[int]:
         s = word.decode()
@@ -63,38 +63,55 @@ class WordEncoder:
             out += ids
         return out
 
-    def _learn(self, new: list[bytes]) -> None:
-        for w in new:
-            k, ids = len(self.place), self.word_ids(w)
-            self.place[w] = k
-            if k + 2 > len(self.first):
-                self.first = np.concatenate([self.first, np.zeros(len(self.first), np.int64)])
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty(len(self.flat), np.uint32)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.first[k + 1] = self.used
+    def _learn(self) -> None:
+        half, old = self.half, self.old
+        flat, sizes = [], []
+        for w in half.new:
+            k = old.get(w)
+            ids = self.word_ids(w) if k is None else old.flat[old.first[k] : old.first[k + 1]].tolist()
+            flat += ids
+            sizes.append(len(ids))
+        half.flat = np.concatenate([half.flat, np.array(flat, np.uint32)])
+        half.first = np.concatenate([half.first, half.first[-1] + np.cumsum(sizes, dtype=np.int64)])
+        half.new = []
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch's texts, each text's with the end id (null: the end id alone), and their counts."""
         data, off = text_bytes(column)
-        out, counts = [], np.ones(len(off) - 1, np.int64)
-        for i in range(len(counts)):
-            words = data[off[i] : off[i + 1]].tobytes().split()
-            if len(self.place) > KEEP_WORDS:
-                self._clear()
-            new = [w for w in dict.fromkeys(words) if w not in self.place]
-            if new:
-                self._learn(new)
-            k = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-            n = self.first[k + 1] - self.first[k]
-            total = int(n.sum())
-            ids = np.empty(total + 1, np.uint32)
-            ids[:total] = self.flat[np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(total)]
-            ids[total] = self.end_id
-            out.append(ids)
-            counts[i] = total + 1
-        return (np.concatenate(out) if out else np.zeros(0, np.uint32)), counts
+        if len(self.half) > KEEP_WORDS:
+            self._age()
+        half, found, words = self.half, [], np.zeros(len(off) - 1, np.int64)
+        for i in range(len(words)):
+            w = data[off[i] : off[i + 1]].tobytes().split()
+            words[i] = len(w)
+            found.append(np.fromiter(map(half.__getitem__, w), np.int32, len(w)))
+        if half.new:
+            self._learn()
+        k = np.concatenate(found) if found else np.zeros(0, np.int32)
+        first, size = half.first[k], (half.first[1:] - half.first[:-1])[k]
+        before = np.concatenate([[0], np.cumsum(size)])
+        ends = before[np.cumsum(words)]
+        counts = np.diff(np.concatenate([[0], ends])) + 1
+        out = np.empty(int(before[-1]) + len(counts), np.uint32)
+        at_end = np.zeros(len(out), bool)
+        at_end[np.cumsum(counts) - 1] = True
+        out[at_end] = self.end_id
+        out[~at_end] = half.flat[np.repeat(first - before[:-1], size) + np.arange(before[-1])]
+        return out, counts
+
+
+class _Half(dict):
+    """Word to its number, given when it is first looked up; the ids of word k are flat[first[k] : first[k + 1]]."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+        self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        k = self[word] = len(self)
+        self.new.append(word)
+        return k
 
 
 def encoder(path: str, end_id: int = END_ID) -> WordEncoder:
