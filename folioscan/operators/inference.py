@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import values as V
 
@@ -21,7 +22,7 @@ def echo_provider(prompts: list[str]) -> list[str]:
 
 def infer(rows: DataFrame, prompt: str, provider: Provider, out: str = "reply", batch: int = 32) -> DataFrame:
     """rows with the provider's reply and an error column. A failed call fails its rows; after it the partition calls no more."""
-    schema = rows.schema.add(out, "string").add("error", "string")
+    schema = StructType([*rows.schema.fields, StructField(out, StringType()), StructField("error", StringType())])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         broken: str | None = None

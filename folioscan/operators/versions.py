@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def first_wins(rows: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -53,7 +54,7 @@ def appended(old: DataFrame, new: DataFrame, entity: str) -> DataFrame:
     return rest.unionByName(new.select(old.columns))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unified_diff(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """A unified diff with three lines of context; null for equal texts and if either is missing or empty before."""
     for old, new in batches:

@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 SKIPPED = {"nav", "header", "footer", "script", "style", "aside", "form", "noscript", "head", "template"}
 BLOCKS = {"p", "div", "br", "li", "ul", "ol", "table", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "main"}
@@ -79,10 +80,10 @@ class _Items(HTMLParser):
             item["text"] += data
 
 
-ELEMENTS = "array<struct<tag: string, href: string, classes: string, text: string>>"
+ELEMENTS = ArrayType(StructType([StructField(c, StringType()) for c in ("tag", "href", "classes", "text")]))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def main_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in pages:
         yield s.map(html_text)
