@@ -1,0 +1,298 @@
+"""Every operator against a brute-force version on a small fixture with nulls, empty and long texts, ties and clashing columns."""
+
+import hashlib
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from folioscan.llm import embedding_dedup, exact_dedup, huffman, katz, language, mixing, ngram_join, packing, quality, substring_dedup, text, tokens
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, part int, size string"
+EXTRA = ("x", 7, "y")
+
+
+def texts() -> list[tuple]:
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(300)]
+    out = []
+    for i in range(40):
+        out.append(" ".join(rng.choice(words, 60 + i)))
+    base = out[0].split()
+    for k in range(6):  # near copies
+        w = list(base)
+        w[k * 3] = f"changed{k}"
+        out.append(" ".join(w))
+    out += [out[1], out[1], out[2].upper(), None, "", "  \n ", "one", "one two\tthree", "x " * 6000, " ".join(out[3].split()[:30] + out[4].split()[:30])]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", f"s{i % 3}" if i % 7 else None, 0 if t is None else len(t), *EXTRA) for i, t in enumerate(texts())]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words_of(t):
+    return (t or "").encode().split()
+
+
+def lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+
+
+def test_word_hashes_tell_words_apart():
+    col = pa.array(["a b", None, "", "a  b\n", "ab", "b a é"])
+    data, off = text.text_bytes(col)
+    start, end, first = text.words(data, off)
+    h = text.word_hashes(data, start, end)
+    assert np.diff(first).tolist() == [2, 0, 0, 2, 1, 3]
+    assert h[0] == h[2] == h[6] and h[1] == h[3] == h[5] and len(set(h.tolist())) == 4
+    w = text.windows(h, 2)
+    assert w[0] == w[2] and text.inside(first, 2).tolist() == [True, False, True, False, False, True, True]
+
+
+def test_exact_dedup(docs, empty):
+    got = {r.doc_id: r for r in exact_dedup.exact_dedup(docs).collect()}
+    groups = {}
+    for i, t in enumerate(texts()):
+        groups.setdefault(t or "", []).append(i)
+    for t, ids in groups.items():
+        for i in ids:
+            r = got[i]
+            assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (max(ids), len(ids), i == max(ids), hashlib.sha256(t.encode()).hexdigest())
+    assert exact_dedup.exact_dedup(empty).count() == 0
+
+
+def test_exact_dedup_compares_bytes_when_digests_collide(docs):
+    weak = exact_dedup.exact_dedup(docs, digest=lambda t: F.substring(F.sha2(t, 256), 1, 1))
+    full = exact_dedup.exact_dedup(docs)
+    assert sorted(map(tuple, weak.collect())) == sorted(map(tuple, full.collect()))
+
+
+def test_exact_dedup_repeated_rows(spark):
+    d = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (2, "b")], "doc_id long, text string")
+    got = exact_dedup.exact_dedup(d).collect()
+    assert sum(r.kept for r in got) == 2 and sorted(r.group_size for r in got) == [1, 3, 3, 3]
+    assert exact_dedup.keep_first_copies(d).count() == 2
+
+
+def shingles(t):
+    w = lower(t).encode().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def test_ngram_join(docs, empty):
+    sets = [shingles(t) for t in texts()]
+    up = list(range(len(sets)))
+
+    def root(i):
+        return i if up[i] == i else root(up[i])
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+    got = {r.doc_id: r for r in ngram_join.similar_documents(docs).collect()}
+    assert len(got) == len(sets)
+    for i, s in enumerate(sets):
+        assert (got[i].n_shingles, got[i].component_id) == (len(s), root(i))
+    assert ngram_join.similar_documents(empty).count() == 0
+
+
+def test_signature_tree_loses_no_pair():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 4000, rng.integers(20, 60)).astype(np.uint64)) for _ in range(120)]
+    sets += [np.unique(np.concatenate([s[:-1], [np.uint64(10**6 + i)]])) for i, s in enumerate(sets[:40])]
+    maps = [ngram_join.bitmap(s) for s in sets]
+    size, bits = np.array([len(s) for s in sets]), np.array([int(np.bitwise_count(m).sum()) for m in maps])
+    tree = ngram_join.SignatureTree(size, np.stack([np.tile(m, ngram_join.WORDS64 // len(m)) for m in maps]), bits, np.arange(len(sets)))
+    found = {tuple(sorted(p)) for i, j in tree.pairs(80) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if ngram_join._similar(sets[i], sets[j], 80)}
+    assert len(want) >= 30 and want <= found and len(found) < 2000
+
+
+def test_mixing(docs, empty):
+    rows = mixing.taken(docs).collect()
+    size = {i: len(words_of(t)) for i, t in enumerate(texts())}
+    assert {r.doc_id: r["size"] for r in rows} == size
+    by = {}
+    for r in rows:
+        assert 0 <= r.taken <= 2 * r["size"]
+        s = f"s{r.doc_id % 3}" if r.doc_id % 7 else None
+        by.setdefault(s, []).append(r)
+    total = 0
+    for rs in by.values():
+        assert len({r.target for r in rs}) == 1 and rs[0].source_size == sum(r["size"] for r in rs)
+        assert abs(sum(r.taken for r in rs) - rs[0].target) <= 1
+        total += rs[0].target
+    assert abs(total - 1.5 * sum(size.values())) < 1e-6 or total == 2 * sum(size.values())
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.taken(docs).collect()))
+    assert mixing.taken(empty).count() == 0
+
+
+def test_mixed_texts_hold_the_taken_words(docs):
+    taken = {r.doc_id: r.taken for r in mixing.taken(docs).collect()}
+    got = {}
+    for r in mixing.mixed(docs).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(words_of(r.text))
+        assert r.n_chars == len(r.text)
+    assert got == {k: v for k, v in taken.items() if v}
+
+
+def test_splitting_tree_is_exact(spark):
+    leaves = mixing.splitting_tree(spark.createDataFrame([([100, 3, 0, 57],)], "quotas array<long>"), 8, 5).collect()
+    q = np.array([r.quotas for r in leaves])
+    assert q.sum(0).tolist() == [100, 3, 0, 57] and set(q.sum(1)) <= {20} and (q >= 0).all()
+
+
+def brute_ids(t):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(tokens.tokenizer_path())
+    return [*tk.encode(t or "", add_special_tokens=False).ids, 2]
+
+
+def test_word_encoder_equals_the_tokenizer():
+    odd = ["It's İstanbul ŉ <|endoftext|>x Ａ ﬁ ǆ café é a\x1cb ΑΣ. ² ½ 123ab WE'LL 's x's's \u0085  …", "", None, " \n", "😀 ok ﷺ 한국어", "A,b.C! don't"]
+    ids, counts = tokens.encoder(tokens.tokenizer_path())(pa.array(odd))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [brute_ids(t) for t in odd]
+
+
+def test_huffman_round_trip(docs, empty):
+    at, got = 0, {r.doc_id: r for r in huffman.round_trip(docs).collect()}
+    for i, t in enumerate(texts()):
+        ids = brute_ids(t)
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert huffman.round_trip(empty).count() == 0
+
+
+def test_code_lengths_are_limited_and_complete():
+    counts = np.array([2**i for i in range(40)] + [0, 1])
+    n = huffman.code_lengths(counts, 12)
+    used = n[counts > 0].astype(int)
+    assert used.max() <= 12 and n[40] == 0 and sum(2.0**-used) == 1
+    assert huffman.code_lengths(np.array([0, 5]))[1] == 1
+
+
+def test_packing(docs, empty):
+    rows = packing.pack(docs, length=256).collect()
+    of, seqs = {}, {}
+    for r in rows:
+        of.setdefault(r.doc_id, []).append(r)
+        seqs.setdefault(r.sequence_id, []).append(r)
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length
+    for i, t in enumerate(texts()):
+        ids = [x for r in sorted(of[i], key=lambda r: r.start) for x in r.ids]
+        assert ids == brute_ids(t) and {r.doc_tokens for r in of[i]} == {len(ids)}
+    assert sorted(seqs) == list(range(len(seqs)))
+    for s in seqs.values():
+        at = 0
+        for r in sorted(s, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 256 and at & (at - 1) == 0
+    assert packing.pack(empty).count() == 0
+
+
+def test_hilbert_curve_steps_to_neighbours():
+    cells = np.stack(np.meshgrid(*[np.arange(8)] * 3), -1).reshape(-1, 3)
+    at = packing.hilbert(cells, 3)
+    assert sorted(at.tolist()) == list(range(512))
+    assert (np.abs(np.diff(cells[np.argsort(at)], axis=0)).sum(1) == 1).all()
+
+
+def test_substring_dedup(docs, empty):
+    seen, want = set(), {}
+    for i, t in enumerate(texts()):
+        w = words_of(t)
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            x = tuple(w[k : k + 20])
+            if x in seen:
+                gone[k : k + 20] = [True] * 20
+            seen.add(x)
+        want[i] = (len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode())
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup_substrings(docs).collect()}
+    assert got == want and sum(v[1] for v in want.values()) > 5000
+    assert substring_dedup.dedup_substrings(empty).count() == 0
+
+
+def test_language(spark):
+    rng = np.random.default_rng(3)
+    alphabets = {"aa": "abcdeé", "bb": "mnopqü"}
+    rows = [(i, " ".join("".join(rng.choice(list(a), 6)) for _ in range(40)), lang) for lang, a in alphabets.items() for i in range(100 if lang == "bb" else 0, 130 if lang == "bb" else 30)]
+    rows += [(900, None, "aa"), (901, "12 !?", "bb"), (902, "abc", None), (903, "日本語", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = language.prototypes(d, "lang", F.col("doc_id") % 2 == 0)
+    got = {r.doc_id: r for r in language.predict(d, known).collect()}
+    assert all(got[i].lang_pred == lang for i, t, lang in rows if i < 900)
+    assert (got[900].lang_pred, got[900].score, got[901].lang_pred) == ("und", 0.0, "und") and got[902].lang_pred == "aa"
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert {r.lang_pred for r in language.predict(d, {}).collect()} == {"und"}
+
+
+def test_quality(spark):
+    rng = np.random.default_rng(4)
+    word = lambda a: "".join(rng.choice(list(a), 5))
+    rows = [(i, " ".join(word("abcdefgh") if i % 2 else word("VWXYZ") + "!!" for _ in range(80))) for i in range(200)]
+    d = spark.createDataFrame([*rows, (500, None), (501, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows] + [(None, 1), (3, None)], "doc_id long, quality int")
+    model = quality.fit(d, labels, F.col("doc_id") < 120)
+    got = {r.doc_id: r.score for r in quality.score(d, model).collect()}
+    assert all((got[i] >= 0.7) == bool(i % 2) for i in range(120, 200)) and 0 <= got[500] == got[501] <= 1
+    assert quality.keep_good(d, model, 0.7).where("doc_id < 500").count() == 100
+    assert quality.fit_texts([], []).score(0, 1) == 0.5
+
+
+def test_katz_sums_to_one_and_matches_brute_force(docs, empty):
+    got = {r.doc_id: r for r in katz.score(docs).collect()}
+    toks = {i: [*lower(t).encode().split(), "</s>"] for i, t in enumerate(texts())}
+    train = [i for i in toks if zlib.crc32(str(i).encode()) % 10]
+    c = {}
+    for i in train:
+        for w in toks[i]:
+            c[w] = c.get(w, 0) + 1
+    n, v = sum(c.values()), len(c)
+    for i, t in toks.items():
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(w in c for w in t), n)
+        assert abs(r.base_score - sum(np.log10((c.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))) for w in t)) < 1e-6
+        assert r.score < 0
+    assert katz.score(empty).count() == 0
+    assert katz.discounts({}) == dict.fromkeys(range(1, 6), 1.0)
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((40, 8))
+    near = base[:10] + rng.standard_normal((10, 8)) * 0.03
+    vec = [*base.tolist(), *near.tolist(), base[0].tolist(), base[0].tolist(), [0.0] * 8, None, [float("nan")] * 8, [1.0, None] + [0.0] * 6, (base[1] * 3).tolist()]
+    label = [i % 2 for i in range(40)] + [i % 2 for i in range(10)] + [0, 1, 0, 0, 0, 0, None]
+    d = spark.createDataFrame(list(enumerate(zip(vec, label, strict=True)))).selectExpr("_1 AS vec_id", "_2._1 AS embedding", "_2._2 AS label")
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(d).collect()}
+    fine = [i for i, (x, y) in enumerate(zip(vec, label, strict=True)) if y is not None and x is not None and None not in x and np.isfinite(x).all() and any(x)]
+    links = {i: set() for i in range(len(vec))}
+    for i in fine:
+        for j in fine:
+            a, b = np.array(vec[i]), np.array(vec[j])
+            if i != j and label[i] == label[j] and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= 0.98:
+                links[i].add(j)
+    assert sum(map(len, links.values())) > 10
+    for i in links:
+        comp, stack = {i}, [i]
+        while stack:
+            for j in links[stack.pop()] - comp:
+                comp.add(j)
+                stack.append(j)
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (len(links[i]), min(comp), i == min(comp))
+    assert embedding_dedup.near_vectors(d.where("vec_id < 0")).count() == 0
