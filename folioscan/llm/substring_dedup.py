@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import parts_for, prepare, written
-from .text import batch_words, inside, windows
+from .store import parts_for, prepare, release, written
+from .text import batch_words, inside, mix, windows
 from .tokens import slices
 
 BUFFER_WORDS, PART_WORDS = 2_000_000, 3_000_000
@@ -83,7 +83,9 @@ def repeats(texts: DataFrame, window: int, block: int) -> DataFrame:
     copies = written(slim.hint("merge").join(first, "fp").where("doc_id > first").select("doc_id").distinct(), "substring-copy-ids")
     hits = _hits(texts, slim, copies, window, block)
     found = _extended(texts, hits, window, block)
-    return written(found.unionByName(copies.select("doc_id", F.unhex(F.lit("00")).alias("gone"))), "substring-marks")
+    marks = written(found.unionByName(copies.select("doc_id", F.unhex(F.lit("00")).alias("gone"))), "substring-marks")
+    release(texts.sparkSession)
+    return marks
 
 
 def _without(texts: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -115,15 +117,52 @@ def _places(rows: list[tuple], kind: str) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in (ids, doc, hs, ats))
 
 
-def _by_document(ids: np.ndarray, doc: np.ndarray, at: np.ndarray):
-    """Rows (doc_id, at) of places."""
+def _by_document(ids: np.ndarray, doc: np.ndarray, at: np.ndarray, n_parts: int):
+    """Packed rows of result places, by a hash of their document."""
+    part = (mix(ids.view(np.uint64)) % np.uint64(n_parts)).astype(np.int32)[doc]
+    order = np.lexsort((at, doc, part))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=n_parts))])
+    for p in np.flatnonzero(np.diff(ends)):
+        s = order[ends[p] : ends[p + 1]]
+        yield _place_rows(int(p), True, ids, doc[s], np.zeros(0, "<u8"), at[s], "<u8")
+
+
+def _gathered(batches):
+    """One row (doc_id, at) for each document of a part."""
+    ids, doc, at, base = [], [], [], 0
+    for b in batches:
+        for d, c, x in zip(*(b.column(i).to_pylist() for i in (2, 3, 5)), strict=True):
+            d, c = np.frombuffer(d, "<i8"), np.frombuffer(c, "<u4")
+            ids.append(d)
+            doc.append(np.repeat(np.arange(base, base + len(d)), c))
+            base += len(d)
+            at.append(np.frombuffer(x, "<u2" if len(x) == 2 * int(c.sum()) else "<u4").astype(np.uint32))
+    if not base:
+        return
+    names, index = np.unique(np.concatenate(ids), return_inverse=True)
+    doc, at = index[np.concatenate(doc)], np.concatenate(at)
     order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    used, counts = np.unique(doc, return_counts=True)
+    counts = np.bincount(doc, minlength=len(names))
     ends = np.concatenate([[0], np.cumsum(counts)])
-    for i in range(0, len(used), 4096):
-        j = min(len(used), i + 4096)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[used[i:j]]), slices(at[ends[i] : ends[j]].astype("<u4"), counts[i:j])], ["doc_id", "at"])
+    at = at[order].astype("<u4")
+    for i in range(0, len(names), 4096):
+        j = min(len(names), i + 4096)
+        yield pa.RecordBatch.from_arrays([pa.array(names[i:j]), slices(at[ends[i] : ends[j]], counts[i:j])], ["doc_id", "at"])
+
+
+def _cells(block: int):
+    """Places as the blocks they begin in, 16 bits each where that is enough (then the first byte is 2, else 4)."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for x in b.column(1).to_pylist():
+                c = np.unique(np.frombuffer(x, "<u4") // block)
+                width = 2 if c[-1] < 1 << 16 else 4
+                out.append(bytes([width]) + c.astype(f"<u{width}").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "at"])
+
+    return run
 
 
 def _runs(h: np.ndarray, *then) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,7 +174,7 @@ def _runs(h: np.ndarray, *then) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _exchange(rows: DataFrame, find, settle, meet, kind: str, n_parts: int) -> DataFrame:
-    """doc_id, at (32-bit) of the places that are results, from all places of equal hash.
+    """doc_id, at (32-bit, ascending): for each document its places that are results, from all places of equal hash.
 
     find(batch) gives (ids, doc, h, at); settle(...) the indexes that are results already and those that must be
     dealt out by hash; meet(...) the indexes of results among all places that were dealt to one part. What a task
@@ -177,16 +216,17 @@ def _exchange(rows: DataFrame, find, settle, meet, kind: str, n_parts: int) -> D
                 if done:
                     ids, c = np.frombuffer(docs, "<i8"), np.frombuffer(counts, "<u4")
                     at = np.frombuffer(at, "<u2" if len(at) == 2 * int(c.sum()) else "<u4")
-                    yield from _by_document(ids, np.repeat(np.arange(len(ids)), c), at)
+                    yield from _by_document(ids, np.repeat(np.arange(len(ids)), c), at, n_parts)
                 else:
                     held.append((docs, counts, h, at))
         if held:
             ids, doc, h, at = _places(held, kind)
             held.clear()
             found = meet(ids, doc, h, at)
-            yield from _by_document(ids, doc[found], at[found])
+            yield from _by_document(ids, doc[found], at[found], n_parts)
 
-    return rows.mapInArrow(out, PLACES).repartitionById(n_parts, F.col("part")).mapInArrow(back, "doc_id long, at binary")
+    met = rows.mapInArrow(out, PLACES).repartitionById(n_parts, F.col("part")).mapInArrow(back, PLACES)
+    return met.repartitionById(n_parts, F.col("part")).mapInArrow(_gathered, "doc_id long, at binary")
 
 
 def _hits(texts: DataFrame, slim: DataFrame, copies: DataFrame, window: int, block: int) -> DataFrame:
@@ -227,23 +267,27 @@ def _small(table: DataFrame, column: str) -> DataFrame:
 
 def _extended(texts: DataFrame, hits: DataFrame, window: int, block: int) -> DataFrame:
     """doc_id, gone for documents with repeated windows, from windows with a hit in reach of a block at their start."""
-    hits = written(hits, "substring-hits")
+    hits = written(hits.mapInArrow(_cells(block), "doc_id long, at binary"), "substring-hits")
+    release(texts.sparkSession)
     total = hits.agg(F.sum(F.length("at"))).first()[0] or 0
-    joined = F.aggregate(F.collect_list("at"), F.unhex(F.lit("")), lambda s, x: F.concat(s, x))
-    by_doc = written(hits.groupBy("doc_id").agg(joined.alias("at")), "substring-hits-by-document")
-    near = texts.join(_small(by_doc, "at"), "doc_id").select("doc_id", "text", "at")
+    near = texts.join(_small(hits, "at"), "doc_id").select("doc_id", "text", "at")
 
     def candidates(b):
         h, first = batch_words(b)
-        w, ok = windows(h, window), inside(first, window)
-        held = np.zeros(len(h) + window + 1, np.int64)
+        w = windows(h, window)
+        s = []
         for i, x in enumerate(b.column(2).to_pylist()):
-            place = np.frombuffer(x, "<u4").astype(np.int64)
-            held[first[i] + place[place < first[i + 1] - first[i]]] = 1
-        sums = np.concatenate([[0], np.cumsum(held)])
-        n = len(w)
-        reach = window - block + 1
-        s = np.flatnonzero(ok & (sums[reach : reach + n] > sums[:n]))
+            size = int(first[i + 1] - first[i]) - window + 1
+            if size > 0:
+                cell = np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int64)
+                hit = np.zeros(size // block + window // block + 3, bool)
+                hit[cell[cell < len(hit)]] = True
+                at = np.arange(size)
+                reach = hit[at // block]
+                for k in range(1, (window - block) // block + 2):
+                    reach = reach | hit[at // block + k]
+                s.append(first[i] + np.flatnonzero(reach))
+        s = np.concatenate(s) if s else np.zeros(0, np.int64)
         of = np.searchsorted(first, s, "right") - 1
         return b.column(0).to_numpy(), of, w[s], (s - first[of]).astype(np.uint32)
 
@@ -256,10 +300,8 @@ def _extended(texts: DataFrame, hits: DataFrame, window: int, block: int) -> Dat
         lead[start] = True
         return order[~same], order[lead]
 
-    words = total // 4 * 4
-    found = _exchange(near, candidates, later, lambda *x: later(*x)[0], "<u8", parts_for(texts.sparkSession, int(words), PART_WORDS))
-    found = written(found, "substring-later")
-    return found.groupBy("doc_id").agg(F.collect_list("at").alias("at")).mapInArrow(lambda batches: _covered(batches, window), "doc_id long, gone binary")
+    found = _exchange(near, candidates, later, lambda *x: later(*x)[0], "<u8", parts_for(texts.sparkSession, int(total) * block // 2, PART_WORDS))
+    return found.mapInArrow(lambda batches: _covered(batches, window), "doc_id long, gone binary")
 
 
 def _covered(batches, window: int):
@@ -267,7 +309,7 @@ def _covered(batches, window: int):
     for b in batches:
         out = []
         for cells in b.column(1).to_pylist():
-            at = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in cells])).astype(np.int64)
+            at = np.frombuffer(cells, "<u4").astype(np.int64)
             cut = np.flatnonzero(np.diff(at) > window)
             first, last = at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])]
             out.append(np.stack([first, last + window], 1).astype("<u4").tobytes())
