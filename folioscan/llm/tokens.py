@@ -11,8 +11,8 @@ from .store import parts_for, prepare, written
 from .text import text_bytes
 
 END_ID = 2
-#: Words whose ids a Python worker keeps in its newer and its older half each; some 150 MB together.
-KEEP_WORDS = 500_000
+#: Words whose ids a Python worker keeps in its newer and its older half each; some 200 MB together.
+KEEP_WORDS = 750_000
 #: Tokens in a part of a dealt table.
 PART_TOKENS = 40_000_000
 _encoders: dict[tuple[str, int], WordEncoder] = {}
@@ -51,15 +51,28 @@ class WordEncoder:
         self.old = getattr(self, "half", _Half())
         self.half, self.piece_ids = _Half(), {}
 
+    def _pieces(self, s: str) -> list[str] | None:
+        """The pieces of the tokenizer's pattern; None for words that must be encoded as a whole."""
+        if s.isascii() or self.plain.fullmatch(s):
+            if s.isalpha():
+                return [s.lower()]
+            if s[-1] in ".,;:!?" and s[:-1].isalpha():
+                return [s[:-1].lower(), s[-1]]
+        if "<|" in s or not self.plain.fullmatch(s):
+            return None
+        return self.pieces.findall(s.lower())
+
     def word_ids(self, word: bytes) -> list[int]:
         s = word.decode()
-        if "<|" in s or not self.plain.fullmatch(s):
+        pieces = self._pieces(s)
+        if pieces is None:
             return self.tokenizer.encode(s, add_special_tokens=False).ids
         out = []
-        for p in self.pieces.findall(s.lower()):
+        for p in pieces:
             ids = self.piece_ids.get(p)
             if ids is None:
-                ids = self.piece_ids[p] = [t.id for t in self.model.tokenize("".join([self.letters[b] for b in p.encode()]))]
+                mapped = p if p.isascii() else "".join([self.letters[b] for b in p.encode()])
+                ids = self.piece_ids[p] = [t.id for t in self.model.tokenize(mapped)]
             out += ids
         return out
 
