@@ -111,10 +111,12 @@ def chain(t):
 
 @query("W3_continued_chain", "WITH c AS (SELECT entity, doc_id, content_hash, lag(content_hash) OVER (PARTITION BY entity ORDER BY doc_id) AS before FROM $chain), v AS (SELECT entity, doc_id, CAST(row_number() OVER (PARTITION BY entity ORDER BY doc_id) AS INT) AS version_number FROM c WHERE before IS NULL OR before <> content_hash) SELECT entity, doc_id, version_number FROM v WHERE doc_id % 1000 >= 500", chain="SELECT source AS entity, doc_id, md5(text) AS content_hash FROM documents WHERE doc_id < 1000")
 def continued(t):
-    rows = t.rows("SELECT source AS entity, doc_id, md5(text) AS content_hash FROM {documents} WHERE doc_id < 1000")
-    old = versions.version_chain(rows.where("doc_id < 500"), "entity", ["doc_id"])
+    """All documents above half of the greatest doc_id, as continuations of the chains of all others."""
+    rows = t.rows(CHAIN)
+    half = (rows.agg(F.max("doc_id")).first()[0] or 0) // 2
+    old = versions.version_chain(rows.where(F.col("doc_id") <= half), "entity", ["doc_id"])
     last = old.where("is_current").select("entity", "version_number", "content_hash")
-    return versions.version_chain(rows.where("doc_id >= 500"), "entity", ["doc_id"], last=last).select("entity", "doc_id", "version_number")
+    return versions.version_chain(rows.where(F.col("doc_id") > half), "entity", ["doc_id"], last=last).select("entity", "doc_id", "version_number")
 
 
 @query("W1_W2_first_wins", "SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY sha256(text)")
