@@ -142,7 +142,7 @@ AMD = " OR ".join(f"contains(lower(title), '{w}')" for w in T.AMENDMENT_MARKERS)
 def classify(t):
     c = {n: F.col(n) for n in ("title", "text", "celex", "url", "applies")}
     word = T.topic_by_word(c["title"], c["text"])
-    return t.rows(TOPIC).select(
+    return t.rows(TOPIC.replace("substring(text, 1, 300) AS text", "text")).select(
         "doc_id",
         T.topic_by_substring(F.concat_ws(" ", "title", "text")).alias("by_substring"),
         word.alias("by_word"),

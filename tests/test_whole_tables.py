@@ -21,3 +21,10 @@ def test_continued_chain_takes_every_document(spark, tmp_path):
             last[source] = (n + 1, h)
             want += [(source, i, n + 1)] if i > 1250 else []
     assert got == sorted(want) and max(i for _, i, _ in got) > 1000
+
+
+def test_keywords_count_in_the_whole_text(spark, tmp_path):
+    late = "plain words only. " * 40
+    rows = [(6, late, "en", "s", 0), (7, late + "cyber risk", "en", "s", 0), (15, late + "outsourcing and cyber risk", "en", "s", 0), (13, "cyber", "en", "s", 0)]
+    got = {r.doc_id: (r.by_substring, r.by_word) for r in plans.QUERIES["F25_F26_F27_F28_F30_classify"](spark, documents(spark, tmp_path, rows)).collect()}
+    assert got == {6: (False, False), 7: (True, False), 15: (True, True), 13: (True, False)}
