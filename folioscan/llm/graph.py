@@ -43,6 +43,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Each round hangs every vertex's larger neighbours on its smallest one (large star), then its smaller neighbours
     (small star), until nothing changes; the rounds grow with the logarithm of the longest chain. A vertex with many
     neighbours is aggregated before the shuffle and its join may be split. Loops and repeated edges don't matter.
+    Edges that still change after most_rounds are an error.
     """
     ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = written(ordered, "edges")
@@ -61,6 +62,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         mark = _mark(now)
         if mark == last:
             break
+    else:
+        if mark[0]:
+            raise RuntimeError(f"components still change after {most_rounds} rounds")
     roots = now.select("v").distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select(F.col("v").alias("id"), F.col("v").alias("component")))
 

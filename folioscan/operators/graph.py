@@ -12,36 +12,41 @@ def first_parents(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.where("relation = 'AMENDS'").join(live, "dst").groupBy(F.col("src").alias("node")).agg(F.min_by("dst", "link_id").alias("parent"))
 
 
-def effective_parents(nodes: DataFrame, parents: DataFrame, depth: int = 64) -> DataFrame:
-    """node, top: the end of each node's chain of parents; on a cycle, the node that the walk meets twice first.
+def _kept(df: DataFrame) -> DataFrame:
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.localCheckpoint()
 
-    Every round doubles the length of the known steps, so the rounds grow with the logarithm of the longest chain;
-    nodes still moving after depth steps are on a cycle or lead into one. Only these are walked with their path.
-    """
-    spark = nodes.sparkSession
-    step = nodes.select("node").join(parents, "node", "left").select("node", F.coalesce("parent", "node").alias("top"))
+
+def _jumped(step: DataFrame, most: int) -> DataFrame:
+    """node, top after so many steps that every top is the end of a chain or on a cycle; no chain has more than most steps."""
     length = 1
-    while length < depth:
+    while length <= most:
         nxt = step.select(F.col("node").alias("top"), F.col("top").alias("nxt"))
-        step = step.join(nxt, "top").select("node", F.col("nxt").alias("top"))
-        length *= 2
-        if length in (8, 64, 512):
-            step = step.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else step
-    moving = step.join(parents.select(F.col("node").alias("top")), "top", "left_semi").select("node")
-    walk = moving.select("node", F.col("node").alias("at"), F.array("node").alias("path"), F.lit(None).cast("long").alias("top"))
-    for _ in range(depth):
-        w = walk.join(parents.select(F.col("node").alias("at"), "parent"), "at", "left")
-        again = F.array_contains("path", F.col("parent"))
-        walk = w.select(
-            "node",
-            F.when(F.col("top").isNull() & F.col("parent").isNotNull() & ~again, F.col("parent")).otherwise(F.col("at")).alias("at"),
-            F.when(F.col("top").isNull() & ~again, F.array_append("path", F.col("parent"))).otherwise(F.col("path")).alias("path"),
-            F.coalesce("top", F.when(again, F.col("parent"))).alias("top"),
-        )
-        if depth > 8 and walk.where("top is null").isEmpty():
+        both = _kept(step.join(nxt, "top").select("node", "top", "nxt"))
+        if both.where("top <> nxt").isEmpty():
             break
-    settled = step.join(moving, "node", "left_anti")
-    return settled.unionByName(walk.select("node", F.coalesce("top", "at").alias("top")))
+        step = both.select("node", F.col("nxt").alias("top"))
+        length *= 2
+    return step
+
+
+def effective_parents(nodes: DataFrame, parents: DataFrame) -> DataFrame:
+    """node, top: the end of each node's chain of parents; on a cycle, the node that the walk meets twice first.
+
+    Every round doubles the length of the known steps, so the rounds grow with the logarithm of the longest chain, or of
+    the number of nodes if there are cycles. Tops that still have a parent then are all the nodes on cycles; without the
+    steps out of these, the other nodes' chains end where they enter the cycle.
+    """
+    first = nodes.select("node").join(parents, "node", "left").select("node", F.coalesce("parent", "node").alias("top"))
+    step = _jumped(_kept(first), n := nodes.count())
+    moving = _kept(step.join(parents.select(F.col("node").alias("top")), "top", "left_semi"))
+    if moving.isEmpty():
+        return step
+    cycles = _kept(moving.select(F.col("top").alias("node")).distinct())
+    cut = parents.join(cycles, "node", "left_anti")
+    into = _jumped(_kept(moving.select("node").join(cut, "node", "left").select("node", F.coalesce("parent", "node").alias("top"))), n)
+    if not into.join(cycles.select(F.col("node").alias("top")), "top", "left_anti").isEmpty():
+        raise RuntimeError("walks along parents did not end")
+    return step.join(moving.select("node"), "node", "left_anti").select("node", "top").unionByName(into.select("node", "top"))
 
 
 def children(tops: DataFrame) -> DataFrame:
