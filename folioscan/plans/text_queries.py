@@ -49,8 +49,9 @@ Q_DENSE = "SELECT a.vec_id AS question_id, b.vec_id AS chunk_id, row_number() OV
 
 
 def _vectors(t):
+    """Every vector as a chunk, and every vector as a question."""
     c = t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding")
-    return c, t.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("question_id"), "embedding")
+    return c, c.withColumnRenamed("chunk_id", "question_id")
 
 
 @query("T6_W12_dense", f"SELECT question_id, chunk_id, CAST(r AS INT) AS dense_rank FROM ({Q_DENSE}) WHERE r < 30")
@@ -87,7 +88,8 @@ def corpus(t):
 )
 def fusion(t):
     docs, q = _texts(t)
-    return retrieval.fuse(retrieval.dense(*_vectors(t), 30), retrieval.sparse(docs, q.where("question_id < 20"), 30)).select("question_id", "chunk_id", "rrf", "fused_rank")
+    c, v = _vectors(t)
+    return retrieval.fuse(retrieval.dense(c, v.join(q, "question_id", "left_semi"), 30), retrieval.sparse(docs, q, 30)).select("question_id", "chunk_id", "rrf", "fused_rank")
 
 
 def _chunks(t):
@@ -101,8 +103,8 @@ def _chunks(t):
 
 
 def _questions(t):
-    b = t.benchmark.where("item_id < 20").select(F.col("item_id").alias("question_id"), "text")
-    return b.join(t.embeddings.select(F.col("vec_id").alias("question_id"), "embedding"), "question_id")
+    b = t.benchmark.select(F.col("item_id").alias("question_id"), "text")
+    return b.join(t.embeddings.select(F.col("vec_id").alias("question_id"), "embedding"), "question_id", "left")
 
 
 def _core(t):
@@ -128,6 +130,12 @@ def pool(t):
 CORE = "SELECT q, q * 11 AS chunk_id, CAST(floor(q * 11 / 5) AS BIGINT) AS version_id, q * 11 % 4 > 0 AS has, q * 11 % 3 AS art FROM (SELECT DISTINCT vec_id AS q FROM embeddings WHERE vec_id < 20)"
 
 
+def _hits(t, chunks):
+    """A chunk for every vector as a question."""
+    n = (chunks.agg(F.max("chunk_id")).first()[0] or 0) + 1
+    return t.embeddings.select(F.col("vec_id").alias("question_id"), (F.col("vec_id") * 11 % n).alias("chunk_id")).join(chunks, "chunk_id")
+
+
 @query(
     "J16_expand",
     f"""WITH core AS ({CORE}), d AS (SELECT doc_id, CAST(floor(doc_id / 5) AS BIGINT) AS version_id FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)),
@@ -136,13 +144,13 @@ CORE = "SELECT q, q * 11 AS chunk_id, CAST(floor(q * 11 / 5) AS BIGINT) AS versi
 )
 def expand(t):
     c = _chunks(t)
-    core = t.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("question_id"), (F.col("vec_id") * 11).alias("chunk_id")).join(c, "chunk_id").withColumns({"rank": F.lit(0), "score": F.lit(1.0)})
+    core = _hits(t, c).withColumns({"rank": F.lit(0), "score": F.lit(1.0)})
     return retrieval.expand(core, c).select("question_id", "chunk_id", "is_context")
 
 
 @query("J14_citations", f"WITH core AS ({CORE}) SELECT q AS question_id, '[' || CASE WHEN chunk_id % 40 < 20 THEN 'R' || chunk_id % 40 ELSE 'reg ' || chunk_id % 40 END || ' · Chapter I' || CASE WHEN has THEN ', Article ' || art ELSE '' END || ']' AS citations FROM core")
 def citations(t):
-    core = t.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("question_id"), (F.col("vec_id") * 11).alias("chunk_id")).join(_chunks(t), "chunk_id").withColumn("rank", F.lit(0))
+    core = _hits(t, _chunks(t)).withColumn("rank", F.lit(0))
     twice = core.unionByName(core.withColumn("rank", F.lit(1)))
     return retrieval.citations(twice, t.nation.where("n_nationkey < 20").select(F.col("n_nationkey").cast("long").alias("entity_id"), F.concat(F.lit("R"), "n_nationkey").alias("reference")))
 
