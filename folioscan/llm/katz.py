@@ -1,41 +1,44 @@
-"""A Katz back-off bigram model: Good-Turing discounts, exactly normalised back-off weights, scores for whole texts.
+"""A Katz back-off n-gram model (trigrams by default): Good-Turing discounts, exactly normalised back-off weights, scores for whole texts.
 
 P(w | v) = d(c) c(v w) / c(v) if the table has v w, else alpha(v) P(w);  P(w) = d(c) c(w) / N, unknown words share what the
-discounts leave. Discounts follow Katz for counts up to `DISCOUNTED`; pairs seen once are counted for them but, as in Katz's
-paper, not kept, so their whole mass goes to the back-off. alpha(v) makes the probabilities after v add up to one.
+discounts leave. Discounts follow Katz for counts up to `DISCOUNTED`; all pairs seen are kept. alpha(v) makes the
+probabilities after v add up to one. Longer contexts are the same over shorter ones: P(w | u v) = d(c) c(u v w) / c(u v), else
+alpha(u v) P(w | v), or P(w | v) after a context that training doesn't have. A text's first word has only its start as context.
 
 All pairs (v, w) of all texts are dealt out once by their first word, as packed arrays that also say which document each
 came from; a first word that makes up more than 1 / `SHARE` of all words is spread by the second one. Each part counts
 its pairs in the training texts and keeps its places (context, document, kept pair or not). The word and pair counts
 are ordinary tables; joins and aggregations on them give discounts, alpha and each kept pair's probability, partitioned like the
-places, and a cogroup by part sums them for each document.
+places, and a cogroup by part sums them for each document. Each longer context is another such pass, with a hash of the
+context as first word: a seen n-gram adds what it gains over the shorter context, which has it too; any other place adds alpha.
 """
 
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import parts_for, prepare, release, written
+from .store import forget, parts_for, prepare, release, written
 from .text import batch_words, mix
 
 DISCOUNTED, SHARE = 5, 1000
 BUFFER_WORDS, PART_WORDS, ROW_PLACES = 4_000_000, 3_000_000, 250_000
-START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
-NAMES = ["part", "kind", "w1", "w2", "n", "a", "b", "c", "d", "e"]
-SCHEMA = "part int, kind int, w1 long, w2 long, n long, a binary, b binary, c binary, d binary, e binary"
+STEP, START, END = np.uint64(0x4E2D6772616D), np.uint64(0x5354415254), np.uint64(0x454E44)
+NAMES = ["part", "kind", "w1", "w2", "n", "low", "a", "b", "c", "d", "e"]
+SCHEMA = "part int, kind int, w1 long, w2 long, n long, low long, a binary, b binary, c binary, d binary, e binary"
 PAIRS, PLACES, WORD, PAIR = range(4)
 
 
-def _rows(kind: int, part=None, w1=None, w2=None, n=None, cells=None) -> pa.RecordBatch:
+def _rows(kind: int, part=None, w1=None, w2=None, n=None, low=None, cells=None) -> pa.RecordBatch:
     size = len(w1) if w1 is not None else 1
     column = lambda x, t: pa.nulls(size, t) if x is None else pa.array(x, t)
     cols = [pa.array(np.full(size, -1 if part is None else part, np.int32)), pa.array(np.full(size, kind, np.int32))]
-    cols += [column(None if x is None else np.ascontiguousarray(x).view(np.int64) if getattr(x, "dtype", None) == np.uint64 else x, pa.int64()) for x in (w1, w2, n)]
+    cols += [column(None if x is None else np.ascontiguousarray(x).view(np.int64) if getattr(x, "dtype", None) == np.uint64 else x, pa.int64()) for x in (w1, w2, n, low)]
     cols += [pa.array([c.tobytes()], pa.binary()) for c in cells] if cells is not None else [pa.nulls(size, pa.binary())] * 5
     return pa.RecordBatch.from_arrays(cols, NAMES)
 
@@ -56,7 +59,7 @@ def is_training(doc_id: int | None, m: int) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % m != 0
 
 
-def score(docs: DataFrame, held_out_of: int = 10) -> DataFrame:
+def score(docs: DataFrame, held_out_of: int = 10, order: int = 3) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     Tokens are words (runs of anything but ASCII white space, A-Z lower-cased), told apart by 64-bit hashes, then one end.
@@ -64,6 +67,8 @@ def score(docs: DataFrame, held_out_of: int = 10) -> DataFrame:
     texts are empty. Rows that share a doc_id are trained on one by one and get their mean score and counts;
     an empty table gives an empty result; other columns are not read.
     """
+    if order < 2:
+        raise ValueError("order is 2 or more")
     spark = prepare(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
     slim = written(texts.mapInArrow(_sizes(held_out_of), "doc_id long, n long, train boolean, hot array<struct<w: long, n: long>>"), "lm-sizes")
@@ -73,14 +78,38 @@ def score(docs: DataFrame, held_out_of: int = 10) -> DataFrame:
     hot = slim.where("hot is not null").select(F.explode("hot").alias("h")).groupBy("h.w").agg(F.sum("h.n").alias("n")).where(F.col("n") * SHARE >= words).select("w")
     hot = np.sort(np.array([r.w for r in hot.collect()], np.int64).view(np.uint64))  # SHARE words at most
     n_parts = parts_for(spark, words, PART_WORDS)
-    dealt = texts.mapInArrow(_deal(hot, n_parts, held_out_of), SCHEMA).repartitionById(n_parts, F.col("part"))
-    counted = written(dealt.mapInArrow(_count, SCHEMA), "lm-counts")
-    release(spark)
+
+    def count(level, hot):
+        dealt = texts.mapInArrow(_deal(hot, n_parts, held_out_of, level), SCHEMA).repartitionById(n_parts, F.col("part"))
+        out = written(dealt.mapInArrow(_count(level), SCHEMA), "lm-counts")
+        release(spark)
+        return out
+
+    counted = count(2, hot)
     model = Model(counted, hot, n_parts, train_docs, train_tokens)
-    places = counted.where(F.col("kind") == PLACES).select("part", "a", "b", "c", "d", "e")
+    places = lambda t: t.where(F.col("kind") == PLACES).select("part", "a", "b", "c", "d", "e").groupBy("part")
     base = F.log10((F.col("c") + 0.1) / (train_tokens + 0.1 * (model.types + 1)))
     lookup = model.lookup(base)
-    sums = places.groupBy("part").cogroup(lookup.groupBy("part")).applyInArrow(_place_sums(n_parts), SUMS)
+    sums = [written(places(counted).cogroup(lookup.groupBy("part")).applyInArrow(_place_sums(n_parts), SUMS), "lm-part-sums")]
+    shorter = lookup.where("w2 is not null").select(F.col("w1").alias("low"), "w2", F.col("x").alias("p"))
+    for level in range(3, order + 1):
+        often = counted.where((F.col("kind") == PAIR) & (F.col("n") * SHARE >= train_tokens)).select("w1", "w2").collect()  # SHARE at most
+        hot = np.sort(longer(*(np.array([r[i] for r in often], np.int64).view(np.uint64) for i in (0, 1))))
+        forget(counted)
+        release(spark)
+        counted = count(level, hot)
+        found = counted.where(F.col("kind") == PAIR).select("part", "w1", "w2", "low", F.col("n").alias("c"))
+        d = discounts({r.c: r.n for r in found.where(f"c <= {DISCOUNTED + 1}").groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()})
+        found = written(found.hint("merge").join(shorter.hint("merge"), ["low", "w2"], "left").select("part", "w1", "w2", "c", "p"), "lm-found")
+        mass = [F.sum("c"), F.sum(Model.discounted("c", d)), F.sum(F.pow(F.lit(10.0), "p"))]
+        whole = found.where(F.col("w1").isin(hot.view(np.int64).tolist())).groupBy("w1").agg(*mass).collect() if len(hot) else []
+        sums.append(written(places(counted).cogroup(found.groupBy("part")).applyInArrow(_gain_sums(n_parts, d, [tuple(r) for r in whole]), SUMS), "lm-part-sums"))
+        if level < order:
+            per = found.groupBy("w1").agg(mass[0].alias("n"), mass[1].alias("mass"))
+            div = F.when(1 - F.col("mass") / F.col("n") < 1e-9, F.col("mass") + 1).otherwise(F.col("n"))
+            p = F.log10(Model.discounted("c", d) / div)
+            shorter = written(found.hint("merge").join(per, "w1").select(F.col("w1").alias("low"), "w2", p.alias("p")), "lm-shorter")
+    sums = reduce(DataFrame.unionByName, sums)
     sums = written(sums.repartitionById(n_parts, F.col("part")).mapInArrow(_summed, "doc_id long, known long, base double, score double"), "lm-sums")
     end = model.end()
     per = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("same"))
@@ -96,6 +125,11 @@ def score(docs: DataFrame, held_out_of: int = 10) -> DataFrame:
     )
 
 
+def longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a context with one more word at its end."""
+    return mix(context ^ STEP) + word
+
+
 def _sizes(held_out_of: int):
     """A row for each document, and one for each task with words that may be frequent everywhere."""
 
@@ -125,14 +159,17 @@ def _is_hot(w: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return out
 
 
-def _deal(hot: np.ndarray, n_parts: int, held_out_of: int):
-    """All pairs of a task's documents: rows of (document ids, training flags, first words and how often, second words, documents)."""
+def _deal(hot: np.ndarray, n_parts: int, held_out_of: int, level: int):
+    """All pairs of a task's documents: rows of (document ids, training flags, first words and how often, second words, documents).
+
+    Above level 2 first words are hashes of level - 1 words; those of their last level - 2 words follow how often.
+    """
 
     def deal(held):
         ids = np.concatenate([x[0] for x in held])
         base = np.cumsum([0, *(len(x[0]) for x in held)])
         doc = np.concatenate([x[1] + b for x, b in zip(held, base, strict=False)]).astype(np.int32)
-        w1, w2 = (np.concatenate([x[k] for x in held]) for k in (2, 3))
+        w1, w2, low = (np.concatenate([x[k] for x in held]) for k in (2, 3, 4))
         train = np.array([is_training(None if i == -(1 << 63) else i, held_out_of) for i in ids.tolist()], bool)
         part = (np.where(_is_hot(w1, hot), mix(w1 ^ mix(w2)), mix(w1)) % np.uint64(n_parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
@@ -143,7 +180,7 @@ def _deal(hot: np.ndarray, n_parts: int, held_out_of: int):
             first = np.flatnonzero(np.concatenate([[True], w1[s][1:] != w1[s][:-1]]))
             used, local = np.unique(doc[s], return_inverse=True)
             n = np.diff(np.concatenate([first, [len(s)]])).astype("<u4")
-            cells = [np.concatenate([ids[used][:1], np.diff(ids[used])]), train[used], np.concatenate([w1[s][first], n.astype(np.uint64)]), w2[s], local.astype("<u2" if len(used) <= 1 << 16 else "<u4")]
+            cells = [np.concatenate([ids[used][:1], np.diff(ids[used])]), train[used], np.concatenate([w1[s][first], n.astype(np.uint64), *([low[s][first]] if level > 2 else [])]), w2[s], local.astype("<u2" if len(used) <= 1 << 16 else "<u4")]
             yield _rows(PAIRS, part=p, cells=cells)
 
     def run(batches):
@@ -151,13 +188,18 @@ def _deal(hot: np.ndarray, n_parts: int, held_out_of: int):
         for b in batches:
             h, first = batch_words(b, lower=True)
             n = np.diff(first)
-            doc = np.repeat(np.arange(len(n)), n + 1)
-            at = first[:-1] + np.arange(len(n))  # each document's first pair
-            w1, w2 = np.empty(len(doc), np.uint64), np.empty(len(doc), np.uint64)
-            starts, ends = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
-            starts[at], ends[at + n] = True, True
-            w1[starts], w1[~starts], w2[ends], w2[~ends] = START, h, END, h
-            held.append((b.column(0).to_numpy(), doc, w1, w2))
+            doc = np.repeat(np.arange(len(n)), n + 2)
+            at = first[:-1] + 2 * np.arange(len(n))  # each document's start
+            words, inner = np.empty(len(doc), np.uint64), np.ones(len(doc), bool)
+            inner[at], inner[at + n + 1] = False, False
+            words[at], words[at + n + 1], words[inner] = START, END, h
+            key = low = words
+            for _ in range(level - 2):
+                low, key = key, np.concatenate([key[:1], longer(key[:-1], words[1:])])
+            pos = np.arange(len(doc)) - at[doc]
+            last = np.flatnonzero((pos >= level - 2) & (pos <= n[doc]))
+            doc = doc[last]
+            held.append((b.column(0).to_numpy(), doc, key[last], words[last + 1], low[last] if level > 2 else low[:0]))
             size += len(doc)
             if size >= BUFFER_WORDS:
                 yield from deal(held)
@@ -168,48 +210,52 @@ def _deal(hot: np.ndarray, n_parts: int, held_out_of: int):
     return run
 
 
-def _count(batches):
-    """A part's word counts, its pairs seen twice or more in training, and its places."""
-    ids, train, w1, w2, doc, base, part = [], [], [], [], [], 0, None
-    for b in batches:
-        for p, a, t, c, d, e in zip(b.column(0).to_pylist(), *(b.column(i).to_pylist() for i in range(5, 10)), strict=True):
-            part = p
-            i, words = np.cumsum(np.frombuffer(a, np.int64)), np.frombuffer(c, np.uint64)
-            ids.append(i)
-            train.append(np.frombuffer(t, bool))
-            w1.append(np.repeat(words[: len(words) // 2], words[len(words) // 2 :].astype(np.int64)))
-            w2.append(np.frombuffer(d, np.uint64))
-            doc.append(np.frombuffer(e, "<u2" if len(e) == 2 * len(w2[-1]) else "<u4").astype(np.int32) + base)
-            base += len(i)
-    if part is None:
-        return
-    ids, train, w1, w2, doc = (np.concatenate(x) for x in (ids, train, w1, w2, doc))
-    order = np.lexsort((w2, w1))
-    w1, w2, doc = w1[order], w2[order], doc[order]
-    learnt = train[doc].astype(np.int64)
-    new = np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])
-    pair = np.flatnonzero(new)
-    c = np.add.reduceat(learnt, pair)
-    singles = int((c == 1).sum())
-    context = np.flatnonzero(np.concatenate([[True], w1[1:] != w1[:-1]]))
-    cw = np.add.reduceat(learnt, context)
-    for i in range(0, len(context), 65536):
-        yield _rows(WORD, w1=w1[context[i : i + 65536]], n=cw[i : i + 65536])
-    kept = np.flatnonzero(c >= 2)
-    for i in range(0, len(kept), 65536):
-        s = kept[i : i + 65536]
-        yield _rows(PAIR, part=part, w1=w1[pair[s]], w2=w2[pair[s]], n=c[s])
-    yield _rows(PAIR, w1=np.zeros(1, np.uint64), w2=np.zeros(1, np.uint64), n=np.array([-singles]))
-    code = np.zeros(len(pair), np.int32)
-    code[kept] = 1 + np.arange(len(kept))
-    n = np.diff(np.concatenate([context, [len(w1)]])).astype("<u4")
-    which = np.cumsum(new) - 1
-    cuts = np.unique(np.searchsorted(context, np.arange(0, len(w1), ROW_PLACES)))  # rows of some ROW_PLACES places, whole contexts each
-    for k, i in enumerate(cuts):
-        j = cuts[k + 1] if k + 1 < len(cuts) else len(context)
-        at = slice(context[i], context[j] if j < len(context) else len(w1))
-        cells = [ids if not k else ids[:0], np.concatenate([w1[context[i:j]], n[i:j].astype(np.uint64)]), doc[at].astype("<u4"), code[which[at]].astype("<i4"), ids[:0]]
-        yield _rows(PLACES, part=part, cells=cells)
+def _count(level: int):
+    """A part's word counts (level 2), its pairs seen in training, and its places."""
+
+    def run(batches):
+        ids, train, w1, w2, low, doc, base, part = [], [], [], [], [], [], 0, None
+        for b in batches:
+            for p, a, t, c, d, e in zip(b.column(0).to_pylist(), *(b.column(i).to_pylist() for i in range(6, 11)), strict=True):
+                part = p
+                i, words = np.cumsum(np.frombuffer(a, np.int64)), np.frombuffer(c, np.uint64)
+                ids.append(i)
+                train.append(np.frombuffer(t, bool))
+                m = len(words) // min(level, 3)
+                w1.append(np.repeat(words[:m], words[m : 2 * m].astype(np.int64)))
+                low.append(np.repeat(words[2 * m :], words[m : 2 * m].astype(np.int64)) if level > 2 else words[:0])
+                w2.append(np.frombuffer(d, np.uint64))
+                doc.append(np.frombuffer(e, "<u2" if len(e) == 2 * len(w2[-1]) else "<u4").astype(np.int32) + base)
+                base += len(i)
+        if part is None:
+            return
+        ids, train, w1, w2, low, doc = (np.concatenate(x) for x in (ids, train, w1, w2, low, doc))
+        order = np.lexsort((w2, w1))
+        w1, w2, doc = w1[order], w2[order], doc[order]
+        learnt = train[doc].astype(np.int64)
+        new = np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])
+        pair = np.flatnonzero(new)
+        c = np.add.reduceat(learnt, pair)
+        context = np.flatnonzero(np.concatenate([[True], w1[1:] != w1[:-1]]))
+        cw = np.add.reduceat(learnt, context)
+        for i in range(0, len(context) if level == 2 else 0, 65536):
+            yield _rows(WORD, w1=w1[context[i : i + 65536]], n=cw[i : i + 65536])
+        kept = np.flatnonzero(c)
+        for i in range(0, len(kept), 65536):
+            s = kept[i : i + 65536]
+            yield _rows(PAIR, part=part, w1=w1[pair[s]], w2=w2[pair[s]], n=c[s], low=low[order[pair[s]]] if level > 2 else None)
+        code = np.zeros(len(pair), np.int32)
+        code[kept] = 1 + np.arange(len(kept))
+        n = np.diff(np.concatenate([context, [len(w1)]])).astype("<u4")
+        which = np.cumsum(new) - 1
+        cuts = np.unique(np.searchsorted(context, np.arange(0, len(w1), ROW_PLACES)))  # rows of some ROW_PLACES places, whole contexts each
+        for k, i in enumerate(cuts):
+            j = cuts[k + 1] if k + 1 < len(cuts) else len(context)
+            at = slice(context[i], context[j] if j < len(context) else len(w1))
+            cells = [ids if not k else ids[:0], np.concatenate([w1[context[i:j]], n[i:j].astype(np.uint64)]), doc[at].astype("<u4"), code[which[at]].astype("<i4"), ids[:0]]
+            yield _rows(PLACES, part=part, cells=cells)
+
+    return run
 
 
 class Model:
@@ -221,7 +267,7 @@ class Model:
         words = counted.where((F.col("kind") == WORD) & (F.col("w1") != i64(START))).groupBy(F.col("w1").alias("w")).agg(F.sum("n").alias("c"))
         self.words = written(words, "lm-words")
         pairs = counted.where(F.col("kind") == PAIR)
-        self.pairs = pairs.where("n > 0").select("part", "w1", "w2", F.col("n").alias("c"))
+        self.pairs = pairs.select("part", "w1", "w2", F.col("n").alias("c"))
         self.start_id, self.end_id = i64(START), i64(END)
         few = {r.c: r.n for r in self.words.where(f"c between 1 and {DISCOUNTED + 1}").groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
         if 0 < train_docs <= DISCOUNTED + 1:
@@ -232,8 +278,7 @@ class Model:
         self.scale = 1.0 / self.n if seen < self.n - 1e-9 and self.n else 1.0 / (self.n + 1)  # nothing left over: one token's share
         self.unknown = float(np.log10(max(1 - seen * self.scale, 1e-300))) if self.n else 0.0
         few = {r.c: r.n for r in self.pairs.where(f"c <= {DISCOUNTED + 1}").groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
-        few[1] = -(pairs.where("n <= 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-        self.d2 = discounts(few, 2)
+        self.d2 = discounts(few)
 
     @staticmethod
     def discounted(c: str, d: dict[int, float]) -> Column:
@@ -262,6 +307,7 @@ class Model:
         per = per.withColumn("div", F.when(tight, F.col("mass") + 1).otherwise(F.col("c1")))
         per = per.withColumn("alpha", F.log10(F.greatest((1 - F.col("mass") / F.col("div")) / F.greatest(1 - F.col("p1"), F.lit(1e-12)), F.lit(1e-300))))
         per = written(per.select("w1", "div", "alpha"), "lm-alpha")
+        self.spent = [b, per]
         b = b.hint("merge").join(per.select("w1", "div"), "w1")
         return b.select("part", "w1", "w2", F.log10(self.discounted("c", self.d2) / F.col("div")).alias("p"), F.log10("p1").alias("p1")), per
 
@@ -281,7 +327,9 @@ class Model:
         spread = words.where(hot).select(*cols).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
         own_rows = cold.unionByName(spread).select("part", "w1", F.lit(None).cast("long").alias("w2"), "known", "x", "y", "alpha")
         pair_rows = pairs.select("part", "w1", "w2", F.lit(True).alias("known"), F.col("p").alias("x"), F.col("p1").alias("y"), F.lit(None).cast("double").alias("alpha"))
-        return written(own_rows.unionByName(pair_rows), "lm-lookup")
+        out = written(own_rows.unionByName(pair_rows), "lm-lookup")
+        forget(*self.spent)
+        return out
 
 
 def _part_of(n_parts: int):
@@ -308,6 +356,58 @@ def _summed(batches):
             yield pa.RecordBatch.from_arrays([pa.array(names[s]), pa.array(np.rint(sums[0][s]).astype(np.int64)), pa.array(sums[1][s]), pa.array(sums[2][s])], ["doc_id", "known", "base", "score"])
 
 
+def _packed(ids: np.ndarray, sums: np.ndarray, n_parts: int) -> pa.Table:
+    """Sums of known words, base terms and scores of documents, packed by a hash of the document."""
+    to = (mix(ids.view(np.uint64)) % np.uint64(n_parts)).astype(np.int32)
+    order = np.argsort(to, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(to, minlength=n_parts))])
+    out = [(int(p), order[ends[p] : ends[p + 1]]) for p in np.flatnonzero(np.diff(ends))]
+    cells = {"ids": ids, "known": np.rint(sums[0]).astype(np.int64), "base": sums[1], "score": sums[2]}
+    return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), **{c: pa.array([v[s].tobytes() for _, s in out], pa.binary()) for c, v in cells.items()}})
+
+
+def _gain_sums(n_parts: int, d: dict[int, float], whole: list[tuple]):
+    """For each document of a part: what longer contexts add to the log10 probabilities by shorter ones.
+
+    whole has the counts, discounted counts and shorter contexts' probabilities of contexts that are in several parts.
+    """
+    hot = np.array([r[0] for r in whole], np.int64).view(np.uint64)
+    hot_sums = np.array([r[1:] for r in whole], np.float64).reshape(-1, 3)
+
+    def run(places: pa.Table, found: pa.Table) -> pa.Table:
+        if not places.num_rows:
+            return _packed(np.zeros(0, np.int64), np.zeros((3, 0)), n_parts)
+        w1, w2 = (found.column(c).to_numpy().view(np.uint64) for c in ("w1", "w2"))
+        order = np.lexsort((w2, w1))
+        w1, c, p = w1[order], found.column("c").to_numpy()[order].astype(np.float64), found.column("p").to_numpy()[order]
+        less = c.copy()
+        for r, x in d.items():
+            less[c == r] = r * x
+        first = np.flatnonzero(np.concatenate([[True], w1[1:] != w1[:-1]])) if len(w1) else np.zeros(0, np.int64)
+        sums = np.stack([np.add.reduceat(v, first) for v in (c, less, 10.0**p)], 1) if len(w1) else np.zeros((0, 3))
+        own = ~np.isin(w1[first], hot)
+        key, sums = np.concatenate([w1[first][own], hot]), np.concatenate([sums[own], hot_sums])
+        by = np.argsort(key)
+        key, (n, mass, below) = key[by], sums[by].T
+        div = np.where(1 - mass / n < 1e-9, mass + 1, n)
+        alpha = np.log10(np.maximum((1 - mass / div) / np.maximum(1 - below, 1e-12), 1e-300))
+        gain = np.concatenate([[0.0], np.log10(less / div[np.searchsorted(key, w1)]) - p])
+        cells = [places.column(c).combine_chunks() for c in "abcd"]
+        ids = np.frombuffer(max((v.as_py() for v in cells[0]), key=len), np.int64)
+        score = np.zeros(len(ids))
+        for k in range(places.num_rows):
+            ctx, doc, code = (np.frombuffer(cells[c][k].as_py(), t) for c, t in ((1, np.uint64), (2, "<u4"), (3, "<i4")))
+            ctx, times = ctx[: len(ctx) // 2], ctx[len(ctx) // 2 :].astype(np.int64)
+            back = np.zeros(len(ctx))
+            if len(key):
+                at = np.minimum(np.searchsorted(key, ctx), len(key) - 1)
+                back = np.where(key[at] == ctx, alpha[at], 0.0)
+            score += np.bincount(doc, np.where(code > 0, gain[code], np.repeat(back, times)), len(ids))
+        return _packed(ids, np.stack([np.zeros(len(ids)), np.zeros(len(ids)), score]), n_parts)
+
+    return run
+
+
 def _place_sums(n_parts: int):
     """For each document of a part: known words, base terms, and log10 probabilities but for P(end); packed by a hash of the document."""
 
@@ -333,12 +433,7 @@ def _place_sums(n_parts: int):
             score = y[at] + np.where(code > 0, gain[code], alpha[at])
             for row, v in zip(sums, (known[at].astype(float), x[at], score), strict=True):
                 row += np.bincount(doc, v, len(ids))
-        to = (mix(ids.view(np.uint64)) % np.uint64(n_parts)).astype(np.int32)
-        order = np.argsort(to, kind="stable")
-        ends = np.concatenate([[0], np.cumsum(np.bincount(to, minlength=n_parts))])
-        out = [(int(p), order[ends[p] : ends[p + 1]]) for p in np.flatnonzero(np.diff(ends))]
-        cells = {"ids": ids, "known": np.rint(sums[0]).astype(np.int64), "base": sums[1], "score": sums[2]}
-        return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), **{c: pa.array([v[s].tobytes() for _, s in out], pa.binary()) for c, v in cells.items()}})
+        return _packed(ids, sums, n_parts)
 
     return run
 
