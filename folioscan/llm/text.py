@@ -6,6 +6,8 @@ Hashes are deterministic across tasks and runs.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,20 +17,10 @@ SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-BYTE_CODES = np.random.default_rng(20240917).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-SPAN = 1 << 20
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    key = "inverse" if inverse else "base"
-    if len(_powers.get(key, ())) < n:
-        size = max(n, SPAN + 1)
-        a = np.full(size, INVERSE if inverse else BASE, np.uint64)
-        a[0] = 1
-        _powers[key] = np.multiply.accumulate(a)
-    return _powers[key][:n]
+#: Of a word's next eight bytes, those that are its own, by how many are left.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes than this are hashed by blake2b.
+LONG = 256
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -75,34 +67,43 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    out = np.empty(len(start), np.uint64)
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + SPAN, "right")))
-        at = start[i]
-        part = data[at : end[j - 1]]
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(BYTE_CODES[part] * powers(len(part)), out=total[1:])
-        s, e = start[i:j] - at, end[i:j] - at
-        out[i:j] = mix((total[e] - total[s]) * powers(len(part) + 1, True)[s] + (e - s).astype(np.uint64))
-        i = j
+    """A 64-bit hash of each word's bytes, taken in eight at a time with a full mix in between."""
+    size = end - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = mix(mix(size.astype(np.uint64) + BASE) ^ (eight[start] & MASKS[np.minimum(size, 8)]))
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    more, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(more):
+        left = size[more] - at
+        out[more] = joined(out[more], eight[start[more] + at] & MASKS[np.minimum(left, 8)])
+        more, at = more[left > 8], at + 8
     return out
 
 
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of a sequence from the hashes of its two halves."""
+    return mix(a * BASE + b)
+
+
 def windows(h: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each k consecutive word hashes, by first word; windows may cross texts, inside() tells."""
+    """A hash of each k consecutive word hashes, by first word; windows may cross texts, inside() tells.
+
+    Windows of 1, 2, 4, ... words are joined two and two, and those that k is the sum of one after the other.
+    """
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.empty(n, np.uint64)
-    for i in range(0, n, SPAN):
-        m = min(SPAN, n - i)
-        x = h[i : i + m + k - 1]
-        total = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum(x * powers(len(x)), out=total[1:])
-        out[i : i + m] = mix((total[k:] - total[:-k]) * powers(len(x) + 1, True)[:m])
-    return out
+    out, at, width = None, 0, 1
+    while True:
+        if k & width:
+            out = h[at : at + n] if out is None else joined(out, h[at : at + n])
+            at += width
+        width *= 2
+        if width > k:
+            return out
+        h = joined(h[: len(h) - width // 2], h[width // 2 :])
 
 
 def inside(first: np.ndarray, k: int) -> np.ndarray:

@@ -108,13 +108,50 @@ def test_ngram_join(docs, empty):
     assert ngram_join.similar_documents(empty).count() == 0
 
 
+def test_ngram_join_tells_rows_of_one_id_apart(spark):
+    x, y = ([f"{c}{i}" for i in range(60)] for c in "xy")
+    rows = [(1, " ".join(x)), (7, " ".join([*x[:59], "other"])), (7, " ".join(y)), (9, " ".join([*y, "more"])), (None, " ".join([*y, "no id"])), (None, None), (3, "a b"), (3, "a b")]
+    want = [(1, 56, 1), (7, 56, 1), (7, 56, 7), (9, 57, 7), (None, 58, 7), (None, 0, None), (3, 1, 3), (3, 1, 3)]
+    for order in (rows, rows[::-1]):
+        d = spark.createDataFrame([(*r, "clash", 1) for r in order], "doc_id long, text string, row string, component int").coalesce(1)
+        got = sorted(map(tuple, ngram_join.similar_documents(d).collect()), key=str)
+        assert got == sorted(want, key=str)
+        kept = sorted(((r.doc_id, r.text) for r in ngram_join.keep_one(d).collect()), key=str)
+        assert kept == sorted([rows[0], rows[2], rows[5], rows[6]], key=str) and ngram_join.keep_one(d).columns == d.columns
+
+
+def test_ngram_join_of_a_group_with_many_components(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SIDE", 40)  # several trees for a group
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(100)]
+    out = []
+    for i in range(160):
+        w = list(base)
+        at = int(rng.integers(0, 87))
+        for k in range(at, at + 1 + (i % 4 > 0) * (4 + i % 9)):
+            w[k] = f"x{i}-{k}"
+        out.append(" ".join(w))
+    sets = [shingles(t) for t in out]
+    up = list(range(len(sets)))
+
+    def root(i):
+        return i if up[i] == i else root(up[i])
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+    d = spark.createDataFrame(list(enumerate(out)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in ngram_join.similar_documents(d).collect()} == {i: root(i) for i in range(len(sets))}
+    assert 3 < len({root(i) for i in range(len(sets))}) < 155
+
+
 def test_signature_tree_loses_no_pair():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 4000, rng.integers(20, 60)).astype(np.uint64)) for _ in range(120)]
     sets += [np.unique(np.concatenate([s[:-1], [np.uint64(10**6 + i)]])) for i, s in enumerate(sets[:40])]
-    maps = [ngram_join.bitmap(s) for s in sets]
-    size, bits = np.array([len(s) for s in sets]), np.array([int(np.bitwise_count(m).sum()) for m in maps])
-    tree = ngram_join.SignatureTree(size, np.stack([np.tile(m, ngram_join.WORDS64 // len(m)) for m in maps]), bits, np.arange(len(sets)))
+    tree = ngram_join.SignatureTree(np.array([len(s) for s in sets]), [ngram_join.bitmap(s) for s in sets], np.arange(len(sets)))
     found = {tuple(sorted(p)) for i, j in tree.pairs(80) for p in zip(i.tolist(), j.tolist(), strict=True)}
     want = {(i, j) for j in range(len(sets)) for i in range(j) if ngram_join._similar(sets[i], sets[j], 80)}
     assert len(want) >= 30 and want <= found and len(found) < 2000
