@@ -151,7 +151,7 @@ def test_signature_tree_loses_no_pair():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 4000, rng.integers(20, 60)).astype(np.uint64)) for _ in range(120)]
     sets += [np.unique(np.concatenate([s[:-1], [np.uint64(10**6 + i)]])) for i, s in enumerate(sets[:40])]
-    tree = ngram_join.SignatureTree(np.array([len(s) for s in sets]), [ngram_join.bitmap(s) for s in sets], np.arange(len(sets)))
+    tree = ngram_join.SignatureTree(np.array([len(s) for s in sets]), [ngram_join.bitmap(s) for s in sets], np.arange(len(sets)), np.full(len(sets), 99))
     found = {tuple(sorted(p)) for i, j in tree.pairs(80) for p in zip(i.tolist(), j.tolist(), strict=True)}
     want = {(i, j) for j in range(len(sets)) for i in range(j) if ngram_join._similar(sets[i], sets[j], 80)}
     assert len(want) >= 30 and want <= found and len(found) < 2000
