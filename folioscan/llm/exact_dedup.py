@@ -2,8 +2,12 @@
 
 A stream of slim rows (digest, stable identifier, content locator) updates one state row for each digest in
 RocksDB; the state has no watermark, so nothing expires and later batches meet all earlier ones. A digest
-seen more than once is a hit, and the full bytes of its rows are compared before they count as equal.
-Texts travel only once, for rows in groups of several (others are cut by a runtime filter where it is small).
+seen more than once is a hit: the locators in the state fetch the text of the row that stays, and the full bytes of
+every other row of the group are compared with it before they count as equal. While the groups of several and the bytes
+of their kept texts are counted to be few, they are broadcast and no text is shuffled; beyond that the texts of such groups
+are, with large groups salted.
+
+A locator is a hash of identifier and text, so it finds a row again in any order of reading.
 """
 
 from __future__ import annotations
@@ -13,6 +17,10 @@ from pyspark.sql import functions as F
 
 from .store import forget, new_path, prepare, written
 
+#: Rows and bytes of a table that is broadcast.
+FEW_ROWS, FEW_BYTES = 250_000, 32 << 20
+#: Rows of a group that are compared with one copy of the kept text.
+SALTED = 4096
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -21,7 +29,7 @@ def sha256_hex(text: Column) -> Column:
 
 
 def update_state(slim: DataFrame, checkpoint: str, out: str) -> None:
-    """Feed a stream of (digest, n_bytes, doc_id, loc) to the keyed state and append each batch's changed groups to out.
+    """Feed a stream of (digest, n_bytes, doc_id, loc, at) to the keyed state and append each batch's changed groups to out.
 
     Run again with the same checkpoint, it takes up only new files; a batch that is repeated after a failure
     overwrites its own folder.
@@ -29,9 +37,9 @@ def update_state(slim: DataFrame, checkpoint: str, out: str) -> None:
     spark = slim.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "200")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "96")
     spark.conf.set("spark.sql.streaming.minBatchesToRetain", "2")
-    groups = slim.groupBy("digest", "n_bytes").agg(F.max(F.struct("doc_id", "loc")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    groups = slim.groupBy("digest", "n_bytes").agg(F.max(F.struct("doc_id", "loc", "at")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
 
     def save(changed: DataFrame, batch: int) -> None:
         changed.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/b{batch:09d}")
@@ -43,51 +51,70 @@ def update_state(slim: DataFrame, checkpoint: str, out: str) -> None:
 def exact_dedup(docs: DataFrame, digest=sha256_hex, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Of equal texts the row with the largest doc_id stays; of several rows with that id, the one read last.
-    A null text counts as empty; a null doc_id is below all others; an empty table gives an empty result;
-    other columns are not read. digest may be any function of the text: rows that share a digest but not
-    their bytes are grouped by the text itself.
+    Of equal texts the row with the largest doc_id stays; of several rows with that id, any one of them (equal texts
+    have nothing else to choose by). A null text counts as empty; a null doc_id is below all others; an empty table gives an empty
+    result; other columns are not read. digest may be any function of the text: rows that share a digest but not their bytes are
+    grouped by the text itself.
     """
+    return _marked(docs, digest, doc_id, text).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def locator(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Column:
+    return F.xxhash64(docs[doc_id].cast("long"), F.coalesce(docs[text], F.lit("")))
+
+
+def _few(table: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    return F.broadcast(table) if table.count() <= most else table.hint("merge")
+
+
+def _marked(docs: DataFrame, digest, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of exact_dedup() with their locators and those of the rows that stay."""
     spark = prepare(docs.sparkSession)
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    texts = texts.withColumn("digest", digest(F.col("text")))
-    slim = written(texts.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"), sha256_hex(F.col("text")).alias("text_sha256"), F.monotonically_increasing_id().alias("loc")), "dedup-slim")
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), locator(docs, doc_id, text).alias("loc"))
+    texts = texts.withColumns({"digest": digest(F.col("text")), "n_bytes": F.octet_length("text").cast("long")})
+    slim = written(texts.select("doc_id", "digest", "n_bytes", sha256_hex(F.col("text")).alias("text_sha256"), "loc", F.monotonically_increasing_id().alias("at")), "dedup-slim")
     out = new_path(spark, "dedup-groups")
     update_state(spark.readStream.schema(slim.schema).parquet(slim._folioscan_path), new_path(spark, "dedup-state"), out)
-    schema = "digest string, n_bytes long, keep struct<doc_id: long, loc: long>, group_size long, batch int"
+    schema = "digest string, n_bytes long, keep struct<doc_id: long, loc: long, at: long>, group_size long, batch int"
     last = spark.read.schema(schema).parquet(f"{out}/*").groupBy("digest", "n_bytes").agg(F.max_by(F.struct("keep", "group_size"), "batch").alias("g"))
-    found = written(
-        slim.hint("merge").join(last, ["digest", "n_bytes"]).select("doc_id", "loc", "digest", "n_bytes", "text_sha256", F.col("g.keep.doc_id").alias("keep_id"), F.col("g.keep.loc").alias("keep_loc"), F.col("g.group_size").alias("group_size")),
-        "dedup-found",
-    )
+    several = written(last.where("g.group_size > 1").select("digest", "n_bytes", "g.keep", "g.group_size"), "dedup-several")
+    mine = F.struct("doc_id", "loc", "at")
+    found = slim.join(_few(several), ["digest", "n_bytes"], "left").withColumns({"keep": F.coalesce("keep", mine), "group_size": F.coalesce("group_size", F.lit(1))})
+    found = written(found, "dedup-found")
     forget(slim)
-    wrong = written(_collisions(texts, found), "dedup-collisions")
-    columns = ["doc_id", "keep_id", "group_size", (F.col("loc") == F.col("keep_loc")).alias("kept"), "text_sha256"]
+    wrong = _collisions(texts, several)
+    columns = ["doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("at") == F.col("keep.at")).alias("kept"), "text_sha256", "loc", F.col("keep.loc").alias("keep_loc")]
     if wrong.isEmpty():
         return found.select(*columns)
-    again = found.join(wrong, ["digest", "n_bytes"], "left_semi").drop("keep_id", "keep_loc", "group_size")
-    groups = again.groupBy("text_sha256", "n_bytes").agg(F.max(F.struct("doc_id", "loc")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    again = again.join(groups, ["text_sha256", "n_bytes"]).withColumns({"keep_id": F.col("keep.doc_id"), "keep_loc": F.col("keep.loc")})
-    return found.join(wrong, ["digest", "n_bytes"], "left_anti").select(*columns).unionByName(again.select(*columns))
+    again = found.join(wrong.hint("merge"), ["digest", "n_bytes"], "left_semi").drop("keep", "group_size")
+    groups = again.groupBy("text_sha256", "n_bytes").agg(F.max(mine).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    again = again.hint("merge").join(groups, ["text_sha256", "n_bytes"])
+    return found.join(wrong.hint("merge"), ["digest", "n_bytes"], "left_anti").select(*columns).unionByName(again.select(*columns))
 
 
-def _collisions(texts: DataFrame, found: DataFrame) -> DataFrame:
+def _collisions(texts: DataFrame, several: DataFrame) -> DataFrame:
     """(digest, n_bytes) of groups whose rows don't all have the bytes of the row that stays."""
-    spark = texts.sparkSession
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
-    ids = found.where((F.col("group_size") > 1) & F.col("doc_id").isNotNull()).select("doc_id", "digest", "n_bytes", "keep_id").distinct()
-    hits = written(texts.hint("merge").join(ids, ["doc_id", "digest"]), "dedup-bytes")
-    kept = hits.where(F.col("doc_id") == F.col("keep_id")).select("keep_id", "digest", "n_bytes", F.col("text").alias("keep_text"))
-    pairs = hits.where(F.col("doc_id") != F.col("keep_id")).hint("merge").join(kept, ["keep_id", "digest", "n_bytes"])
-    return pairs.where(F.col("text") != F.col("keep_text")).select("digest", "n_bytes").distinct()
+    groups = several.select("digest", "n_bytes", F.col("keep.loc").alias("keep_loc"), "group_size")
+    hits = texts.join(_few(groups), ["digest", "n_bytes"])
+    kept = written(hits.where("loc = keep_loc").select("digest", "n_bytes", F.col("text").alias("keep_text"), "group_size").dropDuplicates(["digest", "n_bytes"]), "dedup-kept")
+    others = hits.where("loc <> keep_loc").select("digest", "n_bytes", "text", "group_size")
+    rows, size = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    if rows <= FEW_ROWS and size <= FEW_BYTES:
+        pairs = others.join(F.broadcast(kept.drop("group_size")), ["digest", "n_bytes"])
+    else:
+        salts = F.ceil(F.col("group_size") / SALTED)
+        each = kept.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("group_size")
+        pairs = others.withColumn("salt", F.pmod(F.monotonically_increasing_id(), salts)).hint("merge").join(each, ["digest", "n_bytes", "salt"])
+    return written(pairs.where(F.col("text") != F.col("keep_text")).select("digest", "n_bytes").distinct(), "dedup-collisions")
 
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_dedup() drops, with all their columns."""
-    marks = exact_dedup(docs)
-    kept = marks.where("kept").select("doc_id", F.col("text_sha256").alias("_sha"))
-    left = docs.withColumn("_sha", sha256_hex(F.coalesce(F.col("text"), F.lit(""))))
-    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l._sha") == F.col("r._sha"))
-    out = left.alias("l").hint("merge").join(kept.alias("r"), same, "left_semi").drop("_sha")
-    repeated = marks.groupBy("doc_id", "text_sha256").count().where("count > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    """docs without the rows that exact_dedup() drops, with all their columns; of rows that repeat id and text any one stays."""
+    marks = written(_marked(docs, sha256_hex).select("loc", "keep_loc"), "dedup-marks")
+    gone = written(marks.where("loc <> keep_loc").select("loc").distinct(), "dedup-gone")
+    few = _few(gone)
+    out = docs.join(few, locator(docs) == few["loc"], "left_anti")
+    if marks.groupBy("loc").count().where("count > 1").isEmpty():
+        return out
+    key = new_path(docs.sparkSession, "loc")  # a name that no column of docs has
+    return out.withColumn(key, locator(out)).dropDuplicates([key]).drop(key)

@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import new_path, prepare
+from .store import forget, new_path, prepare
 from .text import text_bytes
-from .tokens import parts, slices, starts, tokenized
+from .tokens import Parts, slices, starts, tokenized
 
 MOST, STEP, BLOCK = 16, 64, 1 << 17
 BLOCKS = "part int, block long, start long, doc_ids array<long>, n_tokens array<long>, marks binary, payload binary"
@@ -141,26 +141,31 @@ def id_counts(tokens: DataFrame, kind: str) -> np.ndarray:
 
 
 def write_ids(docs: DataFrame, out: str, path: str | None = None) -> None:
-    """Write the ids of all texts of docs to the folder out."""
+    """Write the ids of all texts of docs to the folder out, in ascending doc_id order.
+
+    A null text is the end id alone; rows without a doc_id come first; rows that share one follow each other, shorter ones first;
+    an empty table gives an empty table of blocks; other columns are not read.
+    """
     spark = prepare(docs.sparkSession)
     tokens = tokenized(docs, path)
     kind = tokens._folioscan_kind
     lengths = code_lengths(id_counts(tokens, kind))
     codes = canonical(lengths)
     spark.createDataFrame([(bytearray(lengths.tobytes()), int(lengths.max(initial=0)))], "lengths binary, longest int").coalesce(1).write.parquet(f"{out}/codes")
-    part, n, sums = parts(tokens)
-    first = starts(sums)
+    dealing = Parts(tokens)
+    first, of = starts(dealing.sums), dealing.of
 
     def coded(batches):
         for b in batches:
             ids, _ = text_bytes(b.column(2))
             counts = b.column(1).to_numpy()
             payload, nbytes, marks, n_marks = encode(ids.view(kind), counts, lengths, codes)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), slices(marks, n_marks), slices(payload, nbytes)], ["doc_id", "n_tokens", "place", "part", "marks", "payload"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(of(b.column(3))), slices(marks, n_marks), slices(payload, nbytes)], ["doc_id", "n_tokens", "place", "part", "marks", "payload"])
 
-    rows = tokens.select("doc_id", "n_tokens", "ids", "place", part.alias("part")).mapInArrow(coded, "doc_id long, n_tokens long, place long, part int, marks binary, payload binary")
-    dealt = rows.repartitionById(n, F.col("part")).sortWithinPartitions("part", "place", "n_tokens", "payload")
+    rows = tokens.select("doc_id", "n_tokens", "ids", "place").mapInArrow(coded, "doc_id long, n_tokens long, place long, part int, marks binary, payload binary")
+    dealt = rows.repartitionById(dealing.n, F.col("part")).sortWithinPartitions("part", "place", "n_tokens", "payload")
     dealt.mapInArrow(lambda batches: _blocks(batches, first), BLOCKS).write.option("compression", "uncompressed").parquet(f"{out}/blocks")
+    forget(tokens)
 
 
 def _blocks(batches, first: dict[int, int]):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import mix, text_bytes
-from .tokens import END_ID, parts, starts, tokenized
+from .tokens import END_ID, Parts, starts, tokenized
 
 FEATURES, DIMS, BITS = 256, 3, 10
 
@@ -79,13 +79,15 @@ def pack(docs: DataFrame, length: int = 4096, path: str | None = None, end_id: i
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids (array<int>) of each piece.
 
     A document is cut where a sequence ends, however often; every id lies in one piece. Sequence ids count up from 0
-    along the curve. Null and empty texts are the end id alone. Rows that share a doc_id are packed one by one.
+    along the curve. Null and empty texts are the end id alone. Rows that share a doc_id are packed one by one, rows without one
+    have a null doc_id in their pieces; an empty table gives no piece; other columns are not read.
     """
     if length & (length - 1):
         raise ValueError("length must be a power of two")
     tokens = tokenized(docs, path, end_id, order=places(seed))
     kind = tokens._folioscan_kind
-    part, n, sums = parts(tokens)
+    dealing = Parts(tokens)
+    sums, of = dealing.sums, dealing.of
     first = starts({k: v // length + int(v % length).bit_count() for k, v in sums.items()})
 
     def run(batches):
@@ -117,5 +119,10 @@ def pack(docs: DataFrame, length: int = 4096, path: str | None = None, end_id: i
             if rows:
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: len(cols)])
 
-    dealt = tokens.select("doc_id", "n_tokens", "ids", part.alias("part"), "place").repartitionById(n, F.col("part")).sortWithinPartitions("part", "place", "doc_id", "n_tokens", "ids")
-    return dealt.drop("place").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * ids)
+    def deal(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(of(b.column(3)))], ["doc_id", "n_tokens", "ids", "place", "part"])
+
+    rows = tokens.select("doc_id", "n_tokens", "ids", "place").mapInArrow(deal, "doc_id long, n_tokens long, ids binary, place long, part int")
+    dealt = rows.repartitionById(dealing.n, F.col("part")).sortWithinPartitions("part", "place", "doc_id", "n_tokens", "ids")
+    return dealt.select("doc_id", "n_tokens", "ids", "part").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * ids)

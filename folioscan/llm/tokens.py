@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import parts_for, prepare, written
 from .text import text_bytes
 
 END_ID = 2
-#: Words whose ids a Python worker keeps in its newer and its older half each; some 200 MB together.
-KEEP_WORDS = 750_000
+#: Words whose ids a Python worker keeps in its newer and its older half each; some 100 MB together.
+KEEP_WORDS = 400_000
 #: Tokens in a part of a dealt table.
-PART_TOKENS = 40_000_000
+PART_TOKENS = 8_000_000
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
@@ -30,15 +30,22 @@ class WordEncoder:
     The tokenizer drops white space and no token spans it, so a text's ids are those of its words between ASCII white
     space, one after the other; each distinct word is encoded once. Words of Latin letters, digits and punctuation
     (no character that normalisation composes or maps to several) go straight to the BPE model, in the pieces of the
-    tokenizer's own pattern; all others, and those that may hold a special token, are encoded as a whole.
+    tokenizer's own pattern; all others, and those that may hold a special token, are encoded as a whole. A file with another
+    normalizer or pre-tokenizer than this rests on is used on whole texts instead.
     """
 
+    #: The normalizer and the pre-tokenizer of such a file, as the library prints them.
+    NORMALIZER = r'Sequence(normalizers=[NFC(), Replace(pattern=Regex("\s+"), content=" "), Lowercase()])'
+    SPLIT = r"""Split(pattern=Regex("'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), behavior=Removed, invert=True)"""
+    PRE_TOKENIZER = f"Sequence(pretokenizers=[{SPLIT}, ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])"
+
     def __init__(self, path: str, end_id: int = END_ID):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         self.model = self.tokenizer.model
+        self.by_word = (str(self.tokenizer.normalizer), str(self.tokenizer.pre_tokenizer)) == (self.NORMALIZER, self.PRE_TOKENIZER)
         self.plain = regex.compile("[!-~¡-įı-ɏ]+")
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -90,6 +97,8 @@ class WordEncoder:
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch's texts, each text's with the end id (null: the end id alone), and their counts."""
+        if not self.by_word:
+            return self._whole(column)
         data, off = text_bytes(column)
         if len(self.half) > KEEP_WORDS:
             self._age()
@@ -112,6 +121,10 @@ class WordEncoder:
         out[~at_end] = half.flat[np.repeat(first - before[:-1], size) + np.arange(before[-1])]
         return out, counts
 
+    def _whole(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [[*self.tokenizer.encode(t or "", add_special_tokens=False).ids, self.end_id] for t in column.to_pylist()]
+        return np.array([x for f in found for x in f], np.uint32), np.array([len(f) for f in found], np.int64)
+
 
 class _Half(dict):
     """Word to its number, given when it is first looked up; the ids of word k are flat[first[k] : first[k + 1]]."""
@@ -168,19 +181,35 @@ def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID, or
     return out
 
 
-def parts(table: DataFrame) -> tuple[Column, int, dict[int, int]]:
-    """The part of each row by place, the number of parts, and the tokens of each part.
+class Parts:
+    """Parts of a tokenized() table that follow the order of place and hold about PART_TOKENS tokens each.
 
-    Parts follow the order of place and hold about PART_TOKENS tokens each; bounds and totals, one for each part, are
-    what reaches the driver.
+    n is their number, sums the tokens of each; bounds and sums, one for each part, are what reaches the driver.
     """
-    spark = table.sparkSession
-    total = table.agg(F.sum("n_tokens")).first()[0] or 0
-    n = parts_for(spark, total, PART_TOKENS)
-    bounds = sorted(set(table.agg(F.percentile_approx("place", [i / n for i in range(1, n)], 10 * n)).first()[0] or [])) if n > 1 else []
-    part = (F.size(F.filter(F.lit(bounds).cast("array<long>"), lambda b: b < F.col("place"))) if bounds else F.lit(0)).cast("int")
-    sums = {r.part: r.n for r in table.groupBy(part.alias("part")).agg(F.sum("n_tokens").alias("n")).collect()}
-    return part, n, sums
+
+    def __init__(self, table: DataFrame):
+        total = table.agg(F.sum("n_tokens")).first()[0] or 0
+        self.n = parts_for(table.sparkSession, total, PART_TOKENS)
+        at = [i / self.n for i in range(1, self.n)]
+        found = table.agg(F.percentile_approx("place", at, 10 * self.n)).first()[0] if at else None
+        self.bounds = np.unique(np.array(found or [], np.int64))
+        of, most = self.of, len(self.bounds) + 1
+
+        def count(batches):
+            sums = np.zeros(most, np.int64)
+            for b in batches:
+                np.add.at(sums, of(b.column(0)), b.column(1).to_numpy())
+            k = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(sums[k])], ["part", "n"])
+
+        rows = table.select("place", "n_tokens").mapInArrow(count, "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).collect()
+        self.sums = {r.part: r.n for r in rows}
+
+    @property
+    def of(self):
+        """A function from places to parts."""
+        bounds = self.bounds
+        return lambda place: np.searchsorted(bounds, place.to_numpy(), "left").astype(np.int32)
 
 
 def starts(sums: dict[int, int]) -> dict[int, int]:

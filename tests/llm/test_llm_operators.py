@@ -84,6 +84,19 @@ def test_exact_dedup_repeated_rows(spark):
     assert exact_dedup.keep_first_copies(d).count() == 2
 
 
+@pytest.mark.parametrize("few", [10, 0])
+def test_exact_dedup_of_null_ids_with_colliding_digests(spark, monkeypatch, few):
+    monkeypatch.setattr(exact_dedup, "FEW_BYTES", few)  # 0: kept texts are merged with salts
+    monkeypatch.setattr(exact_dedup, "SALTED", 2)
+    rows = [(None, "aa"), (None, "bb"), (1, "cc"), (2, "cc"), (2, None), (2, ""), (3, "dd")]
+    d = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, loc string, _sha int")
+    got = sorted(map(tuple, exact_dedup.exact_dedup(d, digest=lambda t: F.lit("same")).select("doc_id", "keep_id", "group_size", "kept").collect()), key=str)
+    want = [(None, None, 1, True), (None, None, 1, True), (1, 2, 2, False), (2, 2, 2, True), (2, 2, 2, True), (2, 2, 2, False), (3, 3, 1, True)]
+    assert got == sorted(want, key=str)
+    kept = exact_dedup.keep_first_copies(d)
+    assert kept.columns == d.columns and sorted((r.doc_id, r.text or "") for r in kept.collect() if r.doc_id) == [(2, ""), (2, "cc"), (3, "dd")] and kept.count() == 5
+
+
 def shingles(t):
     w = lower(t).encode().split()
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
