@@ -2,10 +2,12 @@
 
 Each source's documents, in hashed order, form a line of words that is cut into blocks of equal length. A source
 draws whole passes over its line plus the first blocks of a permutation of it (the last one in part), so that the
-drawn words equal the rounded target. How many of each source's drawn blocks go to which output shard is decided
+drawn words equal the rounded target. How many blocks of each source every output shard draws is decided
 by a binary tree over the shards: at each node the vector of source quotas is split by multivariate hypergeometric
 draws, so all shards fill exactly and the shares in a shard vary as in a full shuffle, but no rows are moved for it.
-Each shard then owns a range of each source's permuted blocks and orders its pieces by a hash.
+Whole passes are dealt to the shards in runs of their quotas. For the last pass each shard owns a range of the
+source's permuted blocks, as long as its share of the quota, and draws the first blocks of that range up to its quota; so the
+tree decides which blocks, and with them which words, are taken. A shard orders its pieces by a hash.
 
 Only (doc_id, source, size) is shuffled, never the texts. The word positions come from sums over hashed buckets of
 about `BUCKET` documents, so a source that holds a third of all rows is spread over many tasks.
@@ -13,6 +15,8 @@ about `BUCKET` documents, so a source that holds a third of all rows is spread o
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,8 +92,10 @@ def _hypergeometric(pop: Column, marked: Column, draws: Column, key: Column) ->
 def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     """shard and quotas (array by sid) from one row (quotas: array<long>): the blocks of each source that each shard gets.
 
-    shards is a power of two; sums of the rows' quotas differ by one at most and add up to the given ones.
+    shards is a power of two (else a ValueError); sums of the rows' quotas differ by one at most and add up to the given ones.
     """
+    if shards < 1 or shards & (shards - 1):
+        raise ValueError("shards must be a power of two")
     node = quotas.select(F.lit(0).cast("long").alias("shard"), "quotas")
     total = F.aggregate("quotas", F.lit(0).cast("long"), lambda s, x: s + x)
     for level in range(shards.bit_length() - 1):
@@ -112,17 +118,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     """(spec, rows, pieces): spec has a row for each source, rows one for each row of docs; pieces has doc_id, rid, sid, copy, shard, ord, lo, hi.
 
     A piece is a run of words [lo, hi) of one document (row rid) that the mix takes in pass copy; a document has at most
-    most copies. Pieces of a shard are read in the order of ord. Null texts and texts without words have no piece.
+    most copies. Pieces of a shard are read in the order of ord. Null texts and texts without words have no piece. Rows that share
+    a doc_id or have none are documents of their own; an empty table gives empty ones.
     """
     spark = prepare(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), (F.col(rid) if rid else F.monotonically_increasing_id()).alias("rid"))
+    at = F.xxhash64(F.lit(seed), docs["doc_id"].cast("long"), docs["text"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), at.alias("h"), (F.col(rid) if rid else F.monotonically_increasing_id()).alias("rid"))
     rows = written(rows, "mix-sizes")
     spec = written(_draws(targets(rows, weights, share, most), seed), "mix-spec")
     line = _lines(rows, spec, seed)
     tree = splitting_tree(spec.agg(F.transform(F.sort_array(F.collect_list(F.struct("sid", "drawn"))), lambda x: x["drawn"]).alias("quotas")), shards, seed)
+    return spec, rows, _pieces(_with_small(line, written(_ends(tree), "mix-ends"), "sid"), seed)
+
+
+def _ends(tree: DataFrame) -> DataFrame:
+    """sid and ends: of the source's draws, those before each shard, and all of them at the end."""
     ends = tree.select("shard", F.posexplode("quotas").alias("sid", "n")).groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("shard", "n"))).alias("s"))
-    ends = ends.select("sid", F.aggregate("s", F.array(F.lit(0).cast("long")), lambda e, x: F.array_append(e, F.element_at(e, -1) + x["n"])).alias("ends"))
-    return spec, rows, _pieces(_with_small(line, written(ends, "mix-ends"), "sid"), seed)
+    return ends.select("sid", F.aggregate("s", F.array(F.lit(0).cast("long")), lambda e, x: F.array_append(e, F.element_at(e, -1) + x["n"])).alias("ends"))
 
 
 def _draws(spec: DataFrame, seed: int) -> DataFrame:
@@ -149,7 +161,7 @@ def _lines(rows: DataFrame, spec: DataFrame, seed: int) -> DataFrame:
     by = spec.withColumnRenamed("source", "s")
     by = F.broadcast(by) if spec.count() <= MANY_SOURCES else by.hint("merge")
     keyed = rows.join(by, rows["source"].eqNullSafe(F.col("s"))).drop("s", "source")
-    keyed = keyed.where("size > 0").withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
+    keyed = keyed.where("size > 0")
     keyed = keyed.withColumn("bucket", F.pmod(F.shiftright("h", 8), F.ceil(F.col("n_docs") / BUCKET)))
     sums = keyed.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     starts = sums.select("sid", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("from"))
@@ -164,11 +176,19 @@ def _pieces(line: DataFrame, seed: int) -> DataFrame:
     each = line.withColumn("b", F.explode(F.sequence(first, last))).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))))
     rank = F.when(F.col("b") == F.col("whole"), F.col("whole")).otherwise(F.pmod(F.col("step") * F.col("b") + F.col("shift") * (F.col("copy") + 1), F.col("whole")))
     each = each.withColumn("rank", rank)
-    last_pass = F.col("copy") == F.col("passes")
-    limit = F.when(~last_pass | (F.col("rank") < F.col("extra")), F.col("block")).when(F.col("rank") == F.col("extra"), F.col("part")).otherwise(0)
+    before = F.col("passes") * F.col("blocks")
+    quota = F.col("drawn") - before  # draws of the last pass
+    drawn = lambda e: F.greatest(F.lit(0), e - before)
+    from_rank = lambda e: F.floor(drawn(e) * F.col("whole") / quota)
+    own = F.size(F.filter("ends", lambda e: from_rank(e) <= F.col("rank")))
+    mine = F.struct(F.element_at("ends", own).alias("a"), F.element_at("ends", own + 1).alias("b"))
+    of_shard = _let(mine, lambda x: _let(F.col("rank") - from_rank(x["a"]), lambda k: F.when(k < drawn(x["b"]) - drawn(x["a"]), drawn(x["a"]) + k)))
+    last = F.when(F.col("extra") >= F.col("whole"), F.when(F.col("rank") < quota, F.col("rank"))).when((quota > 0) & (F.col("rank") < F.col("whole")), of_shard)
+    each = each.withColumn("at", F.when(F.col("copy") == F.col("passes"), last).otherwise(F.col("rank"))).where("at is not null")
+    limit = F.when((F.col("copy") == F.col("passes")) & (F.col("at") == F.col("extra")), F.col("part")).otherwise(F.col("block"))
     at = F.col("b") * F.col("block")
     each = each.withColumns({"lo": F.greatest("pos", at) - F.col("pos"), "hi": F.least(F.col("pos") + F.col("size"), at + limit) - F.col("pos")}).where("hi > lo")
-    each = each.withColumn("i", F.col("copy") * F.col("blocks") + F.col("rank"))
+    each = each.withColumn("i", F.col("copy") * F.col("blocks") + F.col("at"))
     shard = F.size(F.filter("ends", lambda e: e <= F.col("i"))) - 1
     return each.select("doc_id", "rid", "sid", "copy", shard.cast("int").alias("shard"), F.xxhash64(F.lit(seed), "sid", "i").alias("ord"), "lo", "hi")
 
@@ -192,15 +212,20 @@ def mixed(docs: DataFrame, **kw) -> DataFrame:
     A text that a pass takes whole is unchanged; of others the words are joined by one space. n_chars, where there is
     such a column, follows the text. Rows are dealt to the output shards and ordered within them.
     """
-    held = written(docs.withColumn("_rid", F.monotonically_increasing_id()), "mix-texts")
-    spec, rows, pieces = mix(held, rid="_rid", **kw)
+    p = uuid.uuid4().hex  # begins names that no column of docs has
+    held = written(docs.withColumn(f"{p}rid", F.monotonically_increasing_id()), "mix-texts")
+    shards = kw.setdefault("shards", 32)
+    spec, rows, pieces = mix(held, rid=f"{p}rid", **kw)
     runs = pieces.groupBy("rid", "copy").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs"), F.sum(F.col("hi") - F.col("lo")).alias("n"), F.min(F.struct("shard", "ord")).alias("at"))
-    runs = runs.select(F.col("rid").alias("_rid"), *(F.col(c).alias(f"_{c}") for c in ("copy", "runs", "n", "at")))
-    joined = held.hint("merge").join(runs, "_rid")
-    cut = F.flatten(F.transform("_runs", lambda r: F.slice("_words", (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int"))))
-    joined = joined.withColumn("_words", F.when(F.col("_n") < word_count(), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
-    joined = joined.withColumn("text", F.when(F.col("_words").isNull(), F.col("text")).otherwise(F.array_join(cut, " ")))
+    runs = runs.select(*(F.col(c).alias(f"{p}{c}") for c in ("rid", "copy", "runs", "n", "at")))
+    joined = held.hint("merge").join(runs, f"{p}rid")
+    words = F.col(f"{p}words")
+    cut = F.flatten(F.transform(f"{p}runs", lambda r: F.slice(words, (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int"))))
+    joined = joined.withColumn(f"{p}words", F.when(F.col(f"{p}n") < word_count(), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    joined = joined.withColumn("text", F.when(words.isNull(), F.col("text")).otherwise(F.array_join(cut, " ")))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_words").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    out = joined.repartition(F.col("_at.shard")).sortWithinPartitions("_at.shard", "_at.ord", "_rid", "_copy")
+        joined = joined.withColumn("n_chars", F.when(words.isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    shard, order = F.col(f"{p}at.shard"), F.col(f"{p}at.ord")
+    several = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)  # tasks of each shard
+    out = joined.repartition(shard, F.pmod(order, F.lit(several))).sortWithinPartitions(shard, order, f"{p}rid", f"{p}copy")
     return out.select(*docs.columns)

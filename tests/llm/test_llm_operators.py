@@ -198,6 +198,59 @@ def test_mixed_texts_hold_the_taken_words(docs):
     assert got == {k: v for k, v in taken.items() if v}
 
 
+def brute_taken(rows, spec, ends):
+    """Words taken of each row, by laying out every word of every source's line and drawing blocks as the quotas say."""
+    out = {}
+    for s in spec:
+        own = sorted((r for r in rows if r.source == s.source and r["size"]), key=lambda r: r.pos)
+        line = [r.rid for r in own for _ in range(r["size"])]
+        b, w, drawn = s.block, s.whole, s.drawn - s.passes * s.blocks
+        for rid in line * s.passes:
+            out[rid] = out.get(rid, 0) + 1
+        rank = lambda k: w if k == w else (s.step * k + s.shift * (s.passes + 1)) % w  # noqa: E731, B023
+        if s.extra >= w:
+            picked = list(range(drawn))
+        else:
+            c = [max(0, e - s.passes * s.blocks) for e in ends[s.sid]]
+            picked = [c[i] * w // drawn + k for i in range(len(c) - 1) for k in range(c[i + 1] - c[i])]
+        by_rank = {rank(k): k for k in range(s.blocks)}
+        for n, r in enumerate(picked):
+            words = line[by_rank[r] * b : by_rank[r] * b + b]
+            for rid in words[: s.part] if n == s.extra else words:
+                out[rid] = out.get(rid, 0) + 1
+    return out
+
+
+def test_mixing_takes_what_the_tree_decides(docs):
+    found = {}
+    for shards in (4, 16):
+        spec, rows, pieces = mixing.mix(docs, shards=shards)
+        got = {r.rid: r.n for r in pieces.groupBy("rid").agg(F.sum(F.col("hi") - F.col("lo")).alias("n")).collect()}
+        spec_rows = spec.collect()
+        tree = mixing.splitting_tree(spec.agg(F.transform(F.sort_array(F.collect_list(F.struct("sid", "drawn"))), lambda x: x["drawn"]).alias("quotas")), shards, 20)
+        ends = {r.sid: r.ends for r in mixing._ends(tree).collect()}
+        by_sid = {r.rid: r for r in mixing._lines(rows, spec, 20).select("rid", "sid", "size", "pos").collect()}
+        names = {s.sid: s.source for s in spec_rows}
+        lines = [type("Row", (dict,), {"__getattr__": dict.__getitem__})(rid=r.rid, source=names[r.sid], size=r["size"], pos=r.pos) for r in by_sid.values()]
+        assert got == brute_taken(lines, spec_rows, ends)
+        per = {}
+        for p in pieces.groupBy("sid", "shard").agg(F.countDistinct("ord").alias("n")).collect():
+            per[p.sid, p.shard] = p.n
+        assert all(per.get((sid, i), 0) == e[i + 1] - e[i] for sid, e in ends.items() for i in range(shards))
+        found[shards] = got
+    assert found[4] != found[16]
+    with pytest.raises(ValueError):
+        mixing.taken(docs, shards=12)
+
+
+def test_mixing_of_null_and_repeated_ids(spark):
+    rows = [(None, "a b c d", None, 1), (None, "a b c d", None, 2), (5, "e f g", "s", 3), (5, "h", "s", 4), (6, None, "s", 5), (6, "", "t", 6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, _n int").withColumn("_rid", F.lit("x"))
+    got = mixing.taken(d).collect()
+    assert len(got) == 6 and sum(r.taken for r in got) == 18 and all(r.taken <= 2 * r["size"] for r in got)
+    assert mixing.mixed(d).columns == d.columns and mixing.mixed(d).agg(F.sum(mixing.word_count())).first()[0] == 18
+
+
 def test_splitting_tree_is_exact(spark):
     leaves = mixing.splitting_tree(spark.createDataFrame([([100, 3, 0, 57],)], "quotas array<long>"), 8, 5).collect()
     q = np.array([r.quotas for r in leaves])
