@@ -36,6 +36,7 @@ def update_state(slim: DataFrame, checkpoint: str, out: str) -> None:
     """
     spark = slim.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # no megabytes set aside for each small store
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "96")
     spark.conf.set("spark.sql.streaming.minBatchesToRetain", "2")
