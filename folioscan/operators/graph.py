@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,11 @@ def first_parents(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.localCheckpoint()
+    """A checkpoint in the folder of spark.checkpoint.dir; where that is unset (tests), in one for this application."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
 
 
 def _jumped(step: DataFrame, most: int) -> DataFrame:

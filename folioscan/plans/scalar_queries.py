@@ -125,9 +125,10 @@ def language(t):
     return t.documents.groupBy("lang", T.language(F.col("text")).alias("detected")).agg(F.count(F.lit(1)).alias("n"))
 
 
-TOPIC = "SELECT doc_id, concat(CASE CAST(doc_id % 9 AS INT) WHEN 0 THEN 'On jurisdiction: ' WHEN 1 THEN 'ICT risk ' WHEN 2 THEN 'Outsourcing of ' WHEN 3 THEN 'Cloud amending ' WHEN 4 THEN 'Repeal of ' WHEN 5 THEN 'Consultation Paper on ' ELSE 'About ' END, source) AS title, substring(text, 1, 300) AS text, CASE CAST(doc_id % 7 AS INT) WHEN 0 THEN '52022PC0123' WHEN 1 THEN '32022R2554' WHEN 2 THEN '32016L0097' END AS celex, CASE WHEN doc_id % 11 = 0 THEN 'http://data.legilux.public.lu/eli/etat/projet-de-loi/1' ELSE 'http://x' END AS url, CASE WHEN doc_id % 2 = 0 THEN DATE '2025-01-17' ELSE DATE '2023-01-01' END AS applies FROM {documents}"
+TOPIC = "SELECT doc_id, concat(CASE CAST(doc_id % 9 AS INT) WHEN 0 THEN 'On jurisdiction: ' WHEN 1 THEN 'ICT risk ' WHEN 2 THEN 'Outsourcing of ' WHEN 3 THEN 'Cloud amending ' WHEN 4 THEN 'Repeal of ' WHEN 5 THEN 'Consultation Paper on ' ELSE 'About ' END, source) AS title, text, CASE CAST(doc_id % 7 AS INT) WHEN 0 THEN '52022PC0123' WHEN 1 THEN '32022R2554' WHEN 2 THEN '32016L0097' END AS celex, CASE WHEN doc_id % 11 = 0 THEN 'http://data.legilux.public.lu/eli/etat/projet-de-loi/1' ELSE 'http://x' END AS url, CASE WHEN doc_id % 2 = 0 THEN DATE '2025-01-17' ELSE DATE '2023-01-01' END AS applies FROM {documents}"
 SUB = " OR ".join(f"contains(lower(title || ' ' || text), '{w}')" for w in T.TOPIC_SUBSTRINGS)
-WRD = r"regexp_matches(lower(title || ' ' || text), '\b(?:" + "|".join(T.TOPIC_WORDS) + r")\b') OR " + " OR ".join(f"contains(lower(title || ' ' || text), '{w}')" for w in T.TOPIC_PHRASES)
+EDGE = r"[^\p{L}\p{N}_]"  # letters of any script are part of a word, which \b of this dialect doesn't know
+WRD = rf"regexp_matches(lower(title || ' ' || text), '(?:^|{EDGE})(?:" + "|".join(T.TOPIC_WORDS) + rf")(?:$|{EDGE})') OR " + " OR ".join(f"contains(lower(title || ' ' || text), '{w}')" for w in T.TOPIC_PHRASES)
 AMD = " OR ".join(f"contains(lower(title), '{w}')" for w in T.AMENDMENT_MARKERS)
 
 
@@ -142,7 +143,7 @@ AMD = " OR ".join(f"contains(lower(title), '{w}')" for w in T.AMENDMENT_MARKERS)
 def classify(t):
     c = {n: F.col(n) for n in ("title", "text", "celex", "url", "applies")}
     word = T.topic_by_word(c["title"], c["text"])
-    return t.rows(TOPIC.replace("substring(text, 1, 300) AS text", "text")).select(
+    return t.rows(TOPIC).select(
         "doc_id",
         T.topic_by_substring(F.concat_ws(" ", "title", "text")).alias("by_substring"),
         word.alias("by_word"),

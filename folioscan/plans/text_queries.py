@@ -45,18 +45,20 @@ def chunk_totals(t):
     return per.where("n = top + 1").agg(F.count(F.lit(1)).alias("n_versions"))
 
 
-Q_DENSE = "SELECT a.vec_id AS question_id, b.vec_id AS chunk_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6), b.vec_id) - 1 AS r FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id < 20"
+Q_DENSE = "SELECT a.vec_id AS question_id, b.vec_id AS chunk_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6), b.vec_id) - 1 AS r FROM embeddings a CROSS JOIN embeddings b WHERE $asked"
 
 
 def _vectors(t):
-    """Every vector as a chunk, and every vector as a question."""
+    """Every vector as a chunk, and every vector as a possible question."""
     c = t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding")
     return c, c.withColumnRenamed("chunk_id", "question_id")
 
 
-@query("T6_W12_dense", f"SELECT question_id, chunk_id, CAST(r AS INT) AS dense_rank FROM ({Q_DENSE}) WHERE r < 30")
+@query("T6_W12_dense", f"SELECT question_id, chunk_id, CAST(r AS INT) AS dense_rank FROM ({Q_DENSE.replace('$asked', 'a.vec_id % 100 = 0')}) WHERE r < 30")
 def dense(t):
-    return retrieval.dense(*_vectors(t), 30)
+    """The query set of a search: every vector whose id is divisible by 100, against all vectors."""
+    c, q = _vectors(t)
+    return retrieval.dense(c, q.where("question_id % 100 = 0"), 30)
 
 
 TOK = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
@@ -83,7 +85,7 @@ def corpus(t):
 
 @query(
     "A11_T9_U5_fusion",
-    f"""WITH {BM25}, d AS ({Q_DENSE}), u AS (SELECT question_id, chunk_id, min(dr) AS dr, min(sr) AS sr FROM (SELECT question_id, chunk_id, r AS dr, NULL AS sr FROM d WHERE r < 30 UNION ALL SELECT question_id, chunk_id, NULL, r FROM r WHERE r < 30 AND question_id < 20) GROUP BY 1, 2)
+    f"""WITH {BM25}, d AS ({Q_DENSE.replace('$asked', 'a.vec_id IN (SELECT item_id FROM benchmark)')}), u AS (SELECT question_id, chunk_id, min(dr) AS dr, min(sr) AS sr FROM (SELECT question_id, chunk_id, r AS dr, NULL AS sr FROM d WHERE r < 30 UNION ALL SELECT question_id, chunk_id, NULL, r FROM r WHERE r < 30) GROUP BY 1, 2)
     SELECT question_id, chunk_id, round(coalesce(1.0::DOUBLE / (60 + dr + 1), 0) + coalesce(1.0::DOUBLE / (60 + sr + 1), 0), 9) AS rrf, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(coalesce(1.0::DOUBLE / (60 + dr + 1), 0) + coalesce(1.0::DOUBLE / (60 + sr + 1), 0), 9) DESC, dr ASC NULLS LAST, sr ASC NULLS LAST, chunk_id) - 1 AS INT) AS fused_rank FROM u""",
 )
 def fusion(t):
@@ -93,10 +95,10 @@ def fusion(t):
 
 
 def _chunks(t):
-    """Every document as a chunk with a vector, a version of five chunks, and a heading path."""
+    """Every document as a chunk, with a vector where there is one, a version of five chunks, and a heading path."""
     v = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
     art = F.concat(F.lit("Article "), (F.col("doc_id") % 3).cast("string"))
-    return t.documents.join(v, "doc_id").select(
+    return t.documents.join(v, "doc_id", "left").select(
         F.col("doc_id").alias("chunk_id"), "text", "embedding", F.floor(F.col("doc_id") / 5).cast("long").alias("version_id"), (F.col("doc_id") % 5).cast("int").alias("chunk_index"), (F.col("doc_id") % 40).alias("entity_id"),
         F.when(F.col("doc_id") % 4 > 0, F.array(F.lit("Chapter I"), art)).otherwise(F.array(F.lit("Chapter I"))).alias("heading_path"), (F.col("doc_id") % 5 == 4).alias("is_definition"), (F.col("doc_id") % 2 == 0).alias("topic"), F.when(F.col("doc_id") % 3 > 0, F.array(F.lit("AIFM"))).alias("kinds"),
     )
@@ -116,18 +118,18 @@ def retrieve(t):
     return _core(t).select("question_id", "chunk_id", "rank", F.round("score", 9).alias("score"))
 
 
-@query("P9_chunk_filter", "SELECT entity_id, count(*) AS n FROM (SELECT doc_id % 40 AS entity_id FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings) AND doc_id % 2 = 0 AND doc_id % 3 > 0 AND doc_id % 40 IN (2, 4, 6)) GROUP BY 1")
+@query("P9_chunk_filter", "SELECT entity_id, count(*) AS n FROM (SELECT doc_id % 40 AS entity_id FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 > 0 AND doc_id % 40 IN (2, 4, 6)) GROUP BY 1")
 def chunk_filter(t):
     return _chunks(t).where(retrieval.chunk_filter(topic=True, entities=[2, 4, 6], versions=[], kind="AIFM")).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("A10_T8_pool_size", "SELECT count(*) AS scoped, greatest(2 * count(*), 60, 100) AS pool FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings) AND doc_id % 2 = 0")
+@query("A10_T8_pool_size", "SELECT count(*) AS scoped, greatest(2 * count(*), 60, 100) AS pool FROM documents WHERE doc_id % 2 = 0")
 def pool(t):
     n = F.count(F.lit(1))
     return _chunks(t).where(retrieval.chunk_filter(topic=True)).agg(n.alias("scoped"), F.greatest(2 * n, F.lit(60).cast("long"), F.lit(100).cast("long")).alias("pool"))
 
 
-CORE = "SELECT q, q * 11 AS chunk_id, CAST(floor(q * 11 / 5) AS BIGINT) AS version_id, q * 11 % 4 > 0 AS has, q * 11 % 3 AS art FROM (SELECT DISTINCT vec_id AS q FROM embeddings WHERE vec_id < 20)"
+CORE = "SELECT q, c AS chunk_id, CAST(floor(c / 5) AS BIGINT) AS version_id, c % 4 > 0 AS has, c % 3 AS art FROM (SELECT DISTINCT vec_id AS q, vec_id * 11 % (SELECT max(doc_id) + 1 FROM documents) AS c FROM embeddings) WHERE c IN (SELECT doc_id FROM documents)"
 
 
 def _hits(t, chunks):
@@ -138,7 +140,7 @@ def _hits(t, chunks):
 
 @query(
     "J16_expand",
-    f"""WITH core AS ({CORE}), d AS (SELECT doc_id, CAST(floor(doc_id / 5) AS BIGINT) AS version_id FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)),
+    f"""WITH core AS ({CORE}), d AS (SELECT doc_id, CAST(floor(doc_id / 5) AS BIGINT) AS version_id FROM documents),
     more AS (SELECT q, doc_id FROM core JOIN d USING (version_id) WHERE has AND doc_id <> chunk_id AND ((doc_id % 4 > 0 AND doc_id % 3 = art) OR doc_id % 5 = 4))
     SELECT q AS question_id, chunk_id, false AS is_context FROM core UNION ALL SELECT q, doc_id, true FROM more""",
 )

@@ -31,7 +31,7 @@ def test_keywords_count_in_the_whole_text(spark, tmp_path):
 
 
 def test_every_question_is_asked(spark, tmp_path, monkeypatch):
-    n, dim = 60, 4
+    n, dim = 230, 4
     vectors = [[float((i * 37 + j * 11) % 101) for j in range(dim)] for i in range(n)]
     d = documents(spark, tmp_path, [(i, f"common word{i}", "en", "s", 0) for i in range(n)])
     spark.createDataFrame([(i, v, 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
@@ -40,10 +40,10 @@ def test_every_question_is_asked(spark, tmp_path, monkeypatch):
     want = set()
     for i, a in enumerate(vectors):
         near = sorted((round(sum((x - y) ** 2 for x, y in zip(a, b, strict=True)) ** 0.5, 6), j) for j, b in enumerate(vectors))
-        want |= {(i, j, k) for k, (_, j) in enumerate(near[:30])}
+        want |= {(i, j, k) for k, (_, j) in enumerate(near[:30])} if i % 100 == 0 else set()
     ask = lambda name: plans.QUERIES[name](spark, d).collect()
     assert {tuple(r) for r in ask("T6_W12_dense")} == want
-    monkeypatch.setattr("folioscan.operators.retrieval.MOST_QUESTIONS", 25)
+    monkeypatch.setattr("folioscan.operators.retrieval.MOST_QUESTIONS", 2)
     assert {tuple(r) for r in ask("T6_W12_dense")} == want
     for name, k in (("A11_T9_U5_fusion", 30), ("P9_T8_J13_F57_retrieve", 30), ("J16_expand", n), ("J14_citations", n)):
         assert {r.question_id for r in ask(name)} == set(range(k)), name
