@@ -76,6 +76,19 @@ def suggested(replies: DataFrame, catalog: DataFrame, overrides: DataFrame, kind
     return r.withColumn("kind", F.when(F.col("kind").isin(*kinds), F.col("kind")).otherwise(default))
 
 
+def refresh_catalog(catalog: DataFrame, results: DataFrame, replies: DataFrame, overrides: DataFrame, kinds: tuple[str, ...], default: str, cancelled: bool = False) -> DataFrame:
+    """reference, topic, needs_review, pillar, kind, suggested: the catalog with all model classifications written back, then the rows
+    that the model found missing, to be reviewed. A cancelled run has the classifications only."""
+    c = classify_results(results, overrides).select("reference", F.col("topic").alias("_topic"), "needs_review", "pillar")
+    known = catalog.join(c, "reference", "left").select(
+        "reference", F.coalesce("_topic", "topic").alias("topic"), F.coalesce("needs_review", F.lit(False)).alias("needs_review"), "pillar", F.lit(None).cast("string").alias("kind"), F.lit(False).alias("suggested")
+    )
+    if cancelled:
+        return known
+    new = suggested(replies, catalog, overrides, kinds, default)
+    return known.unionByName(new.select("reference", F.lit(None).cast("boolean").alias("topic"), F.lit(True).alias("needs_review"), F.lit(None).cast("string").alias("pillar"), "kind", F.lit(True).alias("suggested")))
+
+
 def write_back(catalog: DataFrame, current: DataFrame, analyses: DataFrame, overrides: DataFrame, resolved: DataFrame) -> DataFrame:
     """Catalog after analyses (entity_id, version_id, topic, deadline, relation, replaces) of current versions.
 

@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, inference, retrieval
+from ..operators import chunking, indexing, inference, retrieval
 from ..sources import feeds, pages
 from ..streaming import ingest
 from .registry import query
@@ -32,6 +32,41 @@ def heading_lines(t):
     return chunking.headings(d, "doc_id").groupBy("level", "heading").agg(F.count(F.lit(1)).alias("n"))
 
 
+VERSIONS = "SELECT doc_id AS version_id, doc_id % 40 AS entity_id, text, doc_id % 17 = 0 AS protected FROM {documents}"
+INDEXED = "SELECT DISTINCT entity_id, CASE WHEN entity_id % 3 = 0 THEN 'IN_FORCE' ELSE 'REPEALED' END AS stage, entity_id % 2 = 0 AS topic, CASE WHEN entity_id % 5 > 0 THEN 'AIFM' END AS kind FROM (SELECT doc_id % 40 AS entity_id FROM {documents})"
+
+
+def _catalog(t):
+    return t.rows(INDEXED).withColumn("kinds", F.when(F.col("kind").isNotNull(), F.array("kind")))
+
+
+@query("M25_index_build", r"SELECT version_id, stage, topic, kind FROM $v JOIN $c USING (entity_id) WHERE NOT protected AND regexp_matches(text, '\S')", v=VERSIONS, c=INDEXED)
+def index_build(t):
+    """The catalog values on the chunks of every version."""
+    c = indexing.build_index(t.rows(VERSIONS), _catalog(t))
+    return c.select("version_id", "stage", "topic", F.col("kinds")[0].alias("kind")).distinct()
+
+
+@query("M25_postings", r"SELECT count(DISTINCT version_id) AS n_versions FROM $v WHERE NOT protected AND regexp_matches(text, '[\p{L}\p{N}]')", v=VERSIONS.replace("{documents}", "documents"))
+def index_postings(t):
+    p = indexing.index_postings(indexing.build_index(t.rows(VERSIONS), _catalog(t)))
+    return p.where("tf > 0 and tf <= n_terms").agg(F.countDistinct("version_id").alias("n_versions"))
+
+
+@query(
+    "M17_reindex",
+    r"SELECT version_id, false AS stale, stage FROM $v JOIN $c USING (entity_id) WHERE entity_id % 4 = 0 AND NOT protected AND regexp_matches(text, '\S') UNION ALL SELECT version_id, true, 'OLD' FROM $v WHERE entity_id % 4 > 0",
+    v=VERSIONS,
+    c=INDEXED,
+)
+def reindex(t):
+    """Of every version one old chunk; the versions of every fourth entity are built again."""
+    v = t.rows(VERSIONS)
+    old = v.select("version_id", F.lit(0).alias("chunk_index"), F.lit("stale").alias("text"), F.lit("OLD").alias("stage"))
+    c = indexing.reindex(old, v, _catalog(t), v.where("entity_id % 4 = 0").select("entity_id"))
+    return c.select("version_id", (F.col("text") == "stale").alias("stale"), "stage").distinct()
+
+
 @query("F16_F17_M25_chunks")
 def chunks(t):
     d = t.rows(LEGAL).withColumn("meta", F.lit("doc"))

@@ -215,16 +215,37 @@ def reclassify(t):
     return maintenance.reclassify(t.rows(ENTITIES), o).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("M11_classify_results", "SELECT reference, CASE WHEN entity_id % 5 = 0 THEN true ELSE topic END AS topic, entity_id % 5 > 0 AND entity_id % 10 < 7 AS needs_review, CASE WHEN (entity_id % 5 = 0 OR topic) AND entity_id % 2 = 0 THEN 'TESTING' END AS pillar FROM $ent WHERE entity_id % 13 > 0", ent=ENTITIES)
+M11_SQL = "SELECT reference, CASE WHEN entity_id % 5 = 0 THEN true ELSE topic END AS topic, entity_id % 5 > 0 AND entity_id % 10 < 7 AS needs_review, CASE WHEN (entity_id % 5 = 0 OR topic) AND entity_id % 2 = 0 THEN 'TESTING' END AS pillar FROM $ent WHERE entity_id % 13 > 0"
+M12_SQL = "WITH m AS (SELECT max(p_partkey) AS m FROM part) SELECT DISTINCT CAST(p_partkey + 500 AS VARCHAR) AS reference, CASE WHEN p_size % 2 = 0 THEN 'LAW' ELSE 'OTHER' END AS kind FROM part, m WHERE p_partkey + 500 > m AND p_partkey % 3 > 0"
+
+
+def _results(t):
+    return t.rows(ENTITIES).select("reference", "topic", ((F.col("entity_id") % 10) / 10).alias("confidence"), F.when(F.col("entity_id") % 2 == 0, "TESTING").otherwise("NONSENSE").alias("pillar"))
+
+
+def _replies(t):
+    r = t.part.select(F.when(F.col("p_partkey") % 3 > 0, (F.col("p_partkey") + 500).cast("string")).otherwise(" ").alias("reference"), F.when(F.col("p_size") % 2 == 0, "LAW").otherwise("?").alias("kind"))
+    return r.unionByName(r)
+
+
+@query("M11_classify_results", M11_SQL, ent=ENTITIES)
 def classify_results(t):
-    r = t.rows(ENTITIES).select("reference", "topic", ((F.col("entity_id") % 10) / 10).alias("confidence"), F.when(F.col("entity_id") % 2 == 0, "TESTING").otherwise("NONSENSE").alias("pillar"))
-    return maintenance.classify_results(r, t.rows(OVERRIDES).where("action <> 'UNSET_ICT'"))
+    return maintenance.classify_results(_results(t), t.rows(OVERRIDES).where("action <> 'UNSET_ICT'"))
 
 
-@query("M12_suggested", "WITH m AS (SELECT max(p_partkey) AS m FROM part) SELECT DISTINCT CAST(p_partkey + 500 AS VARCHAR) AS reference, CASE WHEN p_size % 2 = 0 THEN 'LAW' ELSE 'OTHER' END AS kind FROM part, m WHERE p_partkey + 500 > m AND p_partkey % 3 > 0")
+@query("M12_suggested", M12_SQL)
 def suggested(t):
-    r = t.part.select(F.when(F.col("p_partkey") % 3 > 0, (F.col("p_partkey") + 500).cast("string")).otherwise(" ").alias("reference"), F.when(F.col("p_size") % 2 == 0, "LAW").otherwise("?").alias("kind"))
-    return maintenance.suggested(r.unionByName(r), t.rows(ENTITIES), t.rows(OVERRIDES), ("LAW", "EU_DIRECTIVE"), "OTHER")
+    return maintenance.suggested(_replies(t), t.rows(ENTITIES), t.rows(OVERRIDES), ("LAW", "EU_DIRECTIVE"), "OTHER")
+
+
+@query(
+    "M26_refresh_catalog",
+    f"""WITH c AS ({M11_SQL}), s AS ({M12_SQL}) SELECT e.reference, coalesce(c.topic, e.topic) AS topic, coalesce(needs_review, false) AS needs_review, pillar, CAST(NULL AS VARCHAR) AS kind, false AS suggested FROM $ent e LEFT JOIN c ON c.reference = e.reference
+    UNION ALL SELECT reference, NULL, true, NULL, kind, true FROM s""",
+    ent=ENTITIES,
+)
+def refresh_catalog(t):
+    return maintenance.refresh_catalog(t.rows(ENTITIES), _results(t), _replies(t), t.rows(OVERRIDES).where("action <> 'UNSET_ICT'"), ("LAW", "EU_DIRECTIVE"), "OTHER")
 
 
 @query(
