@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from .store import prepare
 
 SLOTS = 4096
-#: Characters that are counted at a time; longer texts are read in pieces, cut after a space where there is one.
+#: Characters that are counted at a time; longer texts are read in pieces, cut after a space where there is one (the run
+#: over that space is not counted). A piece that is cut elsewhere begins with the two characters before the cut.
 SPAN = 1 << 20
 
 
@@ -33,9 +34,9 @@ def _pieces(text: str):
         if j < len(text) and (k := text.rfind(" ", i + 1, j)) > 0:
             j = k + 1
         yield text[i:j]
-        i = j
-        if not text:
+        if j >= len(text):
             return
+        i = j if text[j - 1] == " " else j - 2
 
 
 class Encoder:
@@ -81,7 +82,8 @@ class Encoder:
         small[used] = np.arange(len(used))
         x, n = small[slot], len(used)
         run, of = (x[:-2] * n + x[1:-1]) * n + x[2:], piece[1:-1] - 1  # a run belongs to the piece of its middle letter
-        run, of = run[of >= 0], of[of >= 0]
+        own = (of >= 0) & (piece[2:] == piece[1:-1])  # none reaches into the next text
+        run, of = run[own], of[own]
         if n**3 <= 1 << 23:
             found = np.flatnonzero(np.bincount(run, minlength=n**3))
             place = np.zeros(n**3, np.int64)
@@ -100,7 +102,11 @@ class Encoder:
 
 
 def prototypes(docs: DataFrame, lang: str, train: Column, dims: int = 512, seed: int = 7) -> dict[str, np.ndarray]:
-    """Each language's prototype; what reaches the driver is one vector for each language."""
+    """Each language's prototype; what reaches the driver is one vector for each language.
+
+    Learns from the rows that meet train and have a lang and a letter in their text, each row once, repeated ones as often as they
+    are there; without such rows there is no language.
+    """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(lang).cast("string").alias("lang"), "text").where(train & F.col(lang).isNotNull())
 
@@ -126,7 +132,8 @@ def predict(docs: DataFrame, known: dict[str, np.ndarray], dims: int = 512, seed
     """doc_id, lang_pred and score (cosine with the nearest prototype, 0 at least) for each row of docs.
 
     A text that is null or has no letter gets `und` and 0, as do all texts if no language is known.
-    Of equal cosines the first language by name wins.
+    Of equal cosines the first language by name wins. Every row has a result of its own, repeated ones the same one, rows
+    without a doc_id a null one; an empty table gives an empty result; other columns are not read.
     """
     prepare(docs.sparkSession)
     names = sorted(known)

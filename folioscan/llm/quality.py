@@ -93,7 +93,11 @@ def fit_texts(good: list[str], bad: list[str], dictionary_bytes: int = 65536, pi
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = 3000, fit_chars: int = 16384, **kw) -> CompressionModel:
-    """Fit on rows of docs that labels marks 0 or 1 in quality; train is a condition on doc_id."""
+    """Fit on rows of docs that labels marks 0 or 1 in quality; train is a condition on doc_id.
+
+    Ids with both labels, labels without an id and empty texts are left out; repeated rows count once. With rows of one label or
+    none, or an empty table, the score is a constant.
+    """
     marked = labels.select("doc_id", "quality").where(F.col("doc_id").isNotNull() & train)
     ids = [marked.where(F.col("quality") == q).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).withColumn("quality", F.lit(q)) for q in (0, 1)]
     chosen = {(r.doc_id, r.quality) for x in ids for r in x.collect()}
@@ -108,7 +112,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = 3000,
 
 
 def score(docs: DataFrame, model: CompressionModel) -> DataFrame:
-    """doc_id, difference, ratio and score for each row of docs; whole texts, null as empty (difference 0, ratio 1)."""
+    """doc_id, difference, ratio and score for each row of docs; whole texts, null as empty (difference 0, ratio 1).
+
+    Repeated rows score alike, rows without a doc_id have a null one, an empty table gives an empty result; other columns are not read.
+    """
     prepare(docs.sparkSession)
 
     def run(batches):

@@ -67,8 +67,8 @@ def parts_for(spark: SparkSession, rows: int, per_part: int) -> int:
 
 
 def remainder(doc_id: str, m: int):
-    """crc32 of the id as text, modulo m."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % m
+    """crc32 of the id as text, modulo m; -1 without an id, so that such rows are never held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % m, F.lit(-1))
 
 
 def release(spark: SparkSession) -> None:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscan.llm import embedding_dedup, exact_dedup, huffman, katz, language, mixing, ngram_join, packing, quality, substring_dedup, text, tokens
+from folioscan.llm.store import remainder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, part int, size string"
 EXTRA = ("x", 7, "y")
@@ -342,6 +343,30 @@ def test_language(spark):
     assert (got[900].lang_pred, got[900].score, got[901].lang_pred) == ("und", 0.0, "und") and got[902].lang_pred == "aa"
     assert all(0 <= r.score <= 1 for r in got.values())
     assert {r.lang_pred for r in language.predict(d, {}).collect()} == {"und"}
+    assert language.predict(d.where("doc_id < 0"), known).count() == 0 and not language.prototypes(d.where("doc_id < 0"), "lang", F.lit(True))
+
+
+def test_language_vectors_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(language, "SPAN", 40)
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abcé 1"), n)) for n in (3, 50, 170)] + ["a" * 130 + "bcd" * 40, "", "12 3"]
+    got, has = language.Encoder(64, 7)(texts)
+    table = language.letters(64, 7).astype(int)
+    for t, v, h in zip(texts, got, has, strict=True):
+        s = "".join(c if c.isalpha() else " " for c in t.lower())
+        s = f" {' '.join(s.split())} " if s.split() else " "
+        slot = [0 if c == " " else 1 + ord(c) % (language.SLOTS - 1) for c in s]
+        want = sum((np.roll(table[a], 2) * np.roll(table[b], 1) * table[c] for a, b, c in zip(slot, slot[1:], slot[2:], strict=False)), np.zeros(64, int))
+        assert h == any(c.isalpha() for c in t)
+        if h and len(t) < 40:
+            assert (v == want).all()
+        elif h:  # pieces are set off by spaces of their own
+            assert v @ want / np.linalg.norm(v) / np.linalg.norm(want) > 0.98
+
+
+def test_null_ids_are_not_held_out(spark):
+    d = spark.createDataFrame([(None,), (1,)], "doc_id long").select((remainder("doc_id", 4) == 2).alias("held_out"))
+    assert {r.held_out for r in d.collect()} <= {True, False}
 
 
 def test_quality(spark):
