@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import parts_for, prepare, written
-from .text import text_bytes
+from .text import LOWER, text_bytes
 
 END_ID = 2
-#: Words whose ids a Python worker keeps in its newer and its older half each; some 100 MB together.
-KEEP_WORDS = 400_000
+#: Words whose ids a Python worker keeps in its newer and its older half each; some 130 MB together.
+KEEP_WORDS = 500_000
 #: Tokens in a part of a dealt table.
 PART_TOKENS = 8_000_000
+LETTER, STOP = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+STOP[list(b".,;:!?")] = True
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
@@ -28,7 +31,8 @@ class WordEncoder:
     """The ids that tokenizers gives for whole texts, found a word at a time.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its words between ASCII white
-    space, one after the other; each distinct word is encoded once. Words of Latin letters, digits and punctuation
+    space, one after the other; each distinct word is encoded once. So that there are fewer of them, A-Z are lower-cased, as the normalizer
+    does anyway, and a stop after a letter counts as a word, as the pattern splits there anyway. Words of Latin letters, digits and punctuation
     (no character that normalisation composes or maps to several) go straight to the BPE model, in the pieces of the
     tokenizer's own pattern; all others, and those that may hold a special token, are encoded as a whole. A file with another
     normalizer or pre-tokenizer than this rests on is used on whole texts instead.
@@ -103,8 +107,12 @@ class WordEncoder:
         if len(self.half) > KEEP_WORDS:
             self._age()
         half, found, words = self.half, [], np.zeros(len(off) - 1, np.int64)
+        easy, ends = plainer(data, off)
         for i in range(len(words)):
-            w = data[off[i] : off[i + 1]].tobytes().split()
+            w = easy[ends[i] : ends[i + 1]].tobytes()
+            if b"<|" in w:  # may be a special token, which is so in lower case only
+                w = data[off[i] : off[i + 1]].tobytes()
+            w = w.split()
             words[i] = len(w)
             found.append(np.fromiter(map(half.__getitem__, w), np.int32, len(w)))
         if half.new:
@@ -126,6 +134,16 @@ class WordEncoder:
         return np.array([x for f in found for x in f], np.uint32), np.array([len(f) for f in found], np.int64)
 
 
+def plainer(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts in lower case (A-Z) with a space between each such letter and a stop after it, and where each begins."""
+    cut = np.flatnonzero(LETTER[data[:-1]] & STOP[data[1:]]) + 1
+    out = np.full(len(data) + len(cut), 32, np.uint8)
+    keep = np.ones(len(out), bool)
+    keep[cut + np.arange(len(cut))] = False
+    out[keep] = LOWER[data]
+    return out, off + np.searchsorted(cut, off, "left")
+
+
 class _Half(dict):
     """Word to its number, given when it is first looked up; the ids of word k are flat[first[k] : first[k + 1]]."""
 
@@ -176,7 +194,7 @@ def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID, or
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts), slices(ids.astype(kind), counts), place], ["doc_id", "n_tokens", "ids", "place"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = written(rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary, place long"), "tokens")
+    out = written(rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary, place long"), "tokens", "snappy")
     out._folioscan_kind = kind
     return out
 

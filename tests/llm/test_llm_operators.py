@@ -266,7 +266,7 @@ def brute_ids(t):
 
 
 def test_word_encoder_equals_the_tokenizer():
-    odd = ["It's İstanbul ŉ <|endoftext|>x Ａ ﬁ ǆ café é a\x1cb ΑΣ. ² ½ 123ab WE'LL 's x's's \u0085  …", "", None, " \n", "😀 ok ﷺ 한국어", "A,b.C! don't"]
+    odd = ["It's İstanbul ŉ <|endoftext|>x Ａ ﬁ ǆ café é a\x1cb ΑΣ. ² ½ 123ab WE'LL 's x's's \u0085  …", "", None, " \n", "😀 ok ﷺ 한국어", "A,b.C! don't", "X.'S <|ENDOFTEXT|> Y", "a.\u0301 A\u0301. é.", "end.", ".Begin", "END. It's.'s"]
     ids, counts = tokens.encoder(tokens.tokenizer_path())(pa.array(odd))
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [brute_ids(t) for t in odd]
 
