@@ -5,17 +5,18 @@ discounts leave. Discounts follow Katz for counts up to `DISCOUNTED`; all pairs
 probabilities after v add up to one. Longer contexts are the same over shorter ones: P(w | u v) = d(c) c(u v w) / c(u v), else
 alpha(u v) P(w | v), or P(w | v) after a context that training doesn't have. A text's first word has only its start as context.
 
-All pairs (v, w) of all texts are dealt out once by their first word, as packed arrays that also say which document each
-came from; a first word that makes up more than 1 / `SHARE` of all words is spread by the second one. Each part counts
-its pairs in the training texts and keeps its places (context, document, kept pair or not). The word and pair counts
-are ordinary tables; joins and aggregations on them give discounts, alpha and each kept pair's probability, partitioned like the
+Words and the numbers of n-grams seen r times (for the discounts) are counted first. Then contexts are taken in `rounds` turns,
+by their last word, so that only a part of all places is on disk at once; a context and all the shorter ones it backs off to
+have the same turn. In a turn, all pairs (v, w) of all texts are dealt out by their first word, as packed arrays that also say
+which document each came from; a first word that makes up more than 1 / `SHARE` of all words is spread by the second one. Each
+part counts its pairs in the training texts and keeps its places (context, document, kept pair or not). The word and pair
+counts are ordinary tables; joins and aggregations on them give alpha and each kept pair's probability, partitioned like the
 places, and a cogroup by part sums them for each document. Each longer context is another such pass, with a hash of the
 context as first word: a seen n-gram adds what it gains over the shorter context, which has it too; any other place adds alpha.
 """
 
 from __future__ import annotations
 
-import zlib
 from functools import reduce
 
 import numpy as np
@@ -23,15 +24,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import forget, parts_for, prepare, release, written
+from .store import forget, parts_for, prepare, release, remainder, told_apart, written
 from .text import batch_words, mix
 
 DISCOUNTED, SHARE = 5, 1000
 BUFFER_WORDS, PART_WORDS, ROW_PLACES = 4_000_000, 3_000_000, 250_000
+ROUNDS, ROUND_WORDS = 8, 2_000_000
 STEP, START, END = np.uint64(0x4E2D6772616D), np.uint64(0x5354415254), np.uint64(0x454E44)
 NAMES = ["part", "kind", "w1", "w2", "n", "low", "a", "b", "c", "d", "e"]
 SCHEMA = "part int, kind int, w1 long, w2 long, n long, low long, a binary, b binary, c binary, d binary, e binary"
-PAIRS, PLACES, WORD, PAIR = range(4)
+PAIRS, PLACES, PAIR = range(3)
 
 
 def _rows(kind: int, part=None, w1=None, w2=None, n=None, low=None, cells=None) -> pa.RecordBatch:
@@ -55,68 +57,94 @@ def discounts(counts: dict[int, int], first: int = 1) -> dict[int, float]:
     return out
 
 
-def is_training(doc_id: int | None, m: int) -> bool:
-    return doc_id is None or zlib.crc32(str(doc_id).encode()) % m != 0
-
-
-def score(docs: DataFrame, held_out_of: int = 10, order: int = 3) -> DataFrame:
+def score(docs: DataFrame, held_out_of: int = 10, order: int = 3, rounds: int | None = None) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     Tokens are words (runs of anything but ASCII white space, A-Z lower-cased), told apart by 64-bit hashes, then one end.
     The model learns from rows whose crc32(doc_id as text) mod held_out_of is not 0, and from rows without a doc_id. Null
-    texts are empty. Rows that share a doc_id are trained on one by one and get their mean score and counts;
-    an empty table gives an empty result; other columns are not read.
+    texts are empty. Rows that share a doc_id are trained on and scored one by one; an empty table gives an empty result;
+    other columns are not read. rounds (a power of two; ROUNDS, but fewer where a round has under ROUND_WORDS words) changes no
+    result: the texts are read order - 1 times in each round, and about one in `rounds` of all places is on disk at once.
     """
-    if order < 2:
-        raise ValueError("order is 2 or more")
+    if order < 2 or rounds is not None and (rounds < 1 or rounds & (rounds - 1)):
+        raise ValueError("order is 2 or more, rounds a power of two")
     spark = prepare(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
-    slim = written(texts.mapInArrow(_sizes(held_out_of), "doc_id long, n long, train boolean, hot array<struct<w: long, n: long>>"), "lm-sizes")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id")
+    texts = told_apart(docs.select(key, "text"))
+    own_id = F.when(F.col("id") != F.lit(-(1 << 63)), F.col("id"))
+    texts = texts.select("doc_id", own_id.alias("id"), "text").withColumn("train", remainder("id", held_out_of) != 0)
+    slim = written(texts.mapInArrow(_sizes, "doc_id long, id long, n long, train boolean, hot array<struct<w: long, n: long>>"), "lm-sizes")
+    texts = texts.select("doc_id", "text", "train")
     rows = slim.where("hot is null")
     totals = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("train"), 1)), F.coalesce(F.sum(F.when(F.col("train"), F.col("n") + 1)), F.lit(0))).first()
     words, train_docs, train_tokens = (int(x) for x in totals)
+    rounds = rounds or min(ROUNDS, 1 << (words // ROUND_WORDS).bit_length())
     hot = slim.where("hot is not null").select(F.explode("hot").alias("h")).groupBy("h.w").agg(F.sum("h.n").alias("n")).where(F.col("n") * SHARE >= words).select("w")
-    hot = np.sort(np.array([r.w for r in hot.collect()], np.int64).view(np.uint64))  # SHARE words at most
-    n_parts = parts_for(spark, words, PART_WORDS)
+    hot = {2: np.sort(np.array([r.w for r in hot.collect()], np.int64).view(np.uint64))}  # SHARE words at most
 
-    def count(level, hot):
-        dealt = texts.mapInArrow(_deal(hot, n_parts, held_out_of, level), SCHEMA).repartitionById(n_parts, F.col("part"))
-        out = written(dealt.mapInArrow(_count(level), SCHEMA), "lm-counts")
+    def grams(level):
+        n = parts_for(spark, words, PART_WORDS)
+        dealt = texts.mapInArrow(_grams(level, n), GRAMS).repartitionById(n, F.col("part"))
+        out = written(dealt.mapInArrow(_gram_counts(level, train_tokens), "g long, c long, n long"), "lm-grams")
         release(spark)
         return out
 
-    counted = count(2, hot)
-    model = Model(counted, hot, n_parts, train_docs, train_tokens)
-    places = lambda t: t.where(F.col("kind") == PLACES).select("part", "a", "b", "c", "d", "e").groupBy("part")
+    d = {}
+    for level in range(2, order + 1):
+        seen = grams(level)
+        d[level] = discounts({r.c: r.n for r in seen.where("g is null").groupBy("c").agg(F.sum("n").alias("n")).collect()})
+        often = [r.g for r in seen.where("g is not null").select("g").collect()] if level < order else []  # SHARE at most
+        hot[level + 1] = np.sort(np.array(often, np.int64).view(np.uint64))
+        forget(seen)
+    model = Model(grams(1).select(F.col("g").alias("w"), "c"), d[2], hot[2], train_docs, train_tokens)
     base = F.log10((F.col("c") + 0.1) / (train_tokens + 0.1 * (model.types + 1)))
-    lookup = model.lookup(base)
-    sums = [written(places(counted).cogroup(lookup.groupBy("part")).applyInArrow(_place_sums(n_parts), SUMS), "lm-part-sums")]
-    shorter = lookup.where("w2 is not null").select(F.col("w1").alias("low"), "w2", F.col("x").alias("p"))
-    for level in range(3, order + 1):
-        often = counted.where((F.col("kind") == PAIR) & (F.col("n") * SHARE >= train_tokens)).select("w1", "w2").collect()  # SHARE at most
-        hot = np.sort(longer(*(np.array([r[i] for r in often], np.int64).view(np.uint64) for i in (0, 1))))
+    n_parts = parts_for(spark, words // rounds, PART_WORDS)
+    places = lambda t: t.where(F.col("kind") == PLACES).select("part", "a", "b", "c", "d", "e").groupBy("part")
+    found_of = lambda t: t.where(F.col("kind") == PAIR).select("part", "w1", "w2", "low", F.col("n").alias("c"))
+
+    def count(level, turn):
+        dealt = texts.mapInArrow(_deal(hot[level], n_parts, level, rounds, turn), SCHEMA).repartitionById(n_parts, F.col("part"))
+        out = written(dealt.mapInArrow(_count(level), SCHEMA), "lm-counts")
+        release(spark)
+        return out
+
+    sums = []
+    for turn in range(rounds):
+        counted = count(2, turn)
+        lookup = model.lookup(found_of(counted), base, n_parts, F.col("w1").bitwiseAND(F.lit(rounds - 1)) == turn)
+        sums.append(written(places(counted).cogroup(lookup.groupBy("part")).applyInArrow(_place_sums(n_parts), SUMS), "lm-part-sums"))
         forget(counted)
         release(spark)
-        counted = count(level, hot)
-        found = counted.where(F.col("kind") == PAIR).select("part", "w1", "w2", "low", F.col("n").alias("c"))
-        d = discounts({r.c: r.n for r in found.where(f"c <= {DISCOUNTED + 1}").groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()})
-        found = written(found.hint("merge").join(shorter.hint("merge"), ["low", "w2"], "left").select("part", "w1", "w2", "c", "p"), "lm-found")
-        mass = [F.sum("c"), F.sum(Model.discounted("c", d)), F.sum(F.pow(F.lit(10.0), "p"))]
-        whole = found.where(F.col("w1").isin(hot.view(np.int64).tolist())).groupBy("w1").agg(*mass).collect() if len(hot) else []
-        sums.append(written(places(counted).cogroup(found.groupBy("part")).applyInArrow(_gain_sums(n_parts, d, [tuple(r) for r in whole]), SUMS), "lm-part-sums"))
-        if level < order:
-            per = found.groupBy("w1").agg(mass[0].alias("n"), mass[1].alias("mass"))
-            div = F.when(1 - F.col("mass") / F.col("n") < 1e-9, F.col("mass") + 1).otherwise(F.col("n"))
-            p = F.log10(Model.discounted("c", d) / div)
-            shorter = written(found.hint("merge").join(per, "w1").select(F.col("w1").alias("low"), "w2", p.alias("p")), "lm-shorter")
-    sums = reduce(DataFrame.unionByName, sums)
+        spent, shorter = [lookup], lookup.where("w2 is not null").select(F.col("w1").alias("low"), "w2", F.col("x").alias("p"))
+        for level in range(3, order + 1):
+            counted = count(level, turn)
+            found = written(found_of(counted).hint("merge").join(shorter.hint("merge"), ["low", "w2"], "left").select("part", "w1", "w2", "c", "p"), "lm-found")
+            forget(*spent)
+            release(spark)
+            mass = [F.sum("c"), F.sum(Model.discounted("c", d[level])), F.sum(F.pow(F.lit(10.0), "p"))]
+            several = hot[level].view(np.int64).tolist()
+            whole = found.where(F.col("w1").isin(several)).groupBy("w1").agg(*mass).collect() if several else []
+            sums.append(written(places(counted).cogroup(found.groupBy("part")).applyInArrow(_gain_sums(n_parts, d[level], [tuple(r) for r in whole]), SUMS), "lm-part-sums"))
+            spent = [found]
+            if level < order:
+                per = found.groupBy("w1").agg(mass[0].alias("n"), mass[1].alias("mass"))
+                div = F.when(1 - F.col("mass") / F.col("n") < 1e-9, F.col("mass") + 1).otherwise(F.col("n"))
+                p = F.log10(Model.discounted("c", d[level]) / div)
+                shorter = written(found.hint("merge").join(per, "w1").select(F.col("w1").alias("low"), "w2", p.alias("p")), "lm-shorter")
+                spent.append(shorter)
+            forget(counted)
+            release(spark)
+        forget(*spent)
+    parts = sums
+    sums = reduce(DataFrame.unionByName, parts)
     sums = written(sums.repartitionById(n_parts, F.col("part")).mapInArrow(_summed, "doc_id long, known long, base double, score double"), "lm-sums")
+    forget(*parts, model.words)
     end = model.end()
-    per = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("same"))
-    out = rows.select("doc_id", "n").hint("merge").join(sums.hint("merge").join(per, "doc_id"), "doc_id")
+    per = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("same"))  # equal texts of one doc_id have equal figures
+    out = rows.select("doc_id", "id", "n").hint("merge").join(sums.hint("merge").join(per, "doc_id"), "doc_id")
     mean = lambda c: F.col(c) / F.col("same")
     return out.select(
-        F.when(F.col("doc_id") != F.lit(-(1 << 63)), F.col("doc_id")).alias("doc_id"),
+        F.col("id").alias("doc_id"),
         (F.col("n") + 1).alias("n_tokens"),
         (mean("known") + int(train_docs > 0)).cast("long").alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
@@ -130,24 +158,100 @@ def longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(context ^ STEP) + word
 
 
-def _sizes(held_out_of: int):
+def _sizes(batches):
     """A row for each document, and one for each task with words that may be frequent everywhere."""
+    names = ["doc_id", "id", "n", "train", "hot"]
+    kind = pa.list_(pa.struct([("w", pa.int64()), ("n", pa.int64())]))
+    counts: dict[int, int] = {}
+    for b in batches:
+        h, first = batch_words(b, lower=True)
+        w, n = np.unique(h, return_counts=True)
+        often = n * SHARE * 2 >= len(h)
+        for x, k in zip(w[often].view(np.int64).tolist(), n[often].tolist(), strict=True):
+            counts[x] = counts.get(x, 0) + k
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(first)), b.column(3), pa.nulls(b.num_rows, kind)], names)
+    if counts:
+        empty = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.bool_())]
+        yield pa.RecordBatch.from_arrays([*empty, pa.array([[{"w": w, "n": n} for w, n in counts.items()]], kind)], names)
+
+
+def _contexts(b: pa.RecordBatch, level: int):
+    """Of a batch with the texts' starts and ends as words: each word's document and hash, the hashes of the level - 1 and
+    level - 2 words up to it, and whether these lie in one text with a word after them."""
+    h, first = batch_words(b, lower=True)
+    n = np.diff(first)
+    doc = np.repeat(np.arange(len(n)), n + 2)
+    at = first[:-1] + 2 * np.arange(len(n))  # each document's start
+    words, inner = np.empty(len(doc), np.uint64), np.ones(len(doc), bool)
+    inner[at], inner[at + n + 1] = False, False
+    words[at], words[at + n + 1], words[inner] = START, END, h
+    key = low = words
+    for _ in range(level - 2):
+        low, key = key, np.concatenate([key[:1], longer(key[:-1], words[1:])])
+    pos = np.arange(len(doc)) - at[doc]
+    return doc, words, key, low, (pos >= level - 2) & (pos <= n[doc])
+
+
+GRAMS = "part int, g binary, n binary"
+
+
+def _grams(level: int, n_parts: int):
+    """The n-grams of a task's documents and how often training texts have them; of words (level 1) also those they don't have."""
+
+    def deal(held):
+        g, train = (np.concatenate(x) for x in zip(*held, strict=True))
+        g, of = np.unique(g, return_inverse=True)
+        n = np.bincount(of, train, len(g)).astype("<u4")
+        part = (mix(g ^ STEP) % np.uint64(n_parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=n_parts))])
+        for p in np.flatnonzero(np.diff(ends)):
+            s = order[ends[p] : ends[p + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([x[s].tobytes()], pa.binary()) for x in (g, n))], ["part", "g", "n"])
 
     def run(batches):
-        names = ["doc_id", "n", "train", "hot"]
-        kind = pa.list_(pa.struct([("w", pa.int64()), ("n", pa.int64())]))
-        counts: dict[int, int] = {}
+        held, size = [], 0
+        for b in batches:
+            train = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            if level == 1:
+                h, first = batch_words(b, lower=True)
+                held.append((h, np.repeat(train, np.diff(first))))
+            else:
+                doc, words, key, _, inside = _contexts(b, level)
+                last = np.flatnonzero(inside & train[doc])
+                held.append((longer(key[last], words[last + 1]), np.ones(len(last), bool)))
+            size += len(held[-1][0])
+            if size >= BUFFER_WORDS:
+                yield from deal(held)
+                held, size = [], 0
+        if size:
+            yield from deal(held)
+
+    return run
+
+
+def _gram_counts(level: int, train_tokens: int):
+    """(g, c) for each word; of longer n-grams (c, n): how many are seen c times, and (g, c) for very frequent ones."""
+
+    def run(batches):
+        g, n = [], []
         for b in batches:
-            h, first = batch_words(b, lower=True)
-            w, n = np.unique(h, return_counts=True)
-            often = n * SHARE * 2 >= len(h)
-            for x, k in zip(w[often].view(np.int64).tolist(), n[often].tolist(), strict=True):
-                counts[x] = counts.get(x, 0) + k
-            ids = b.column(0).to_pylist()
-            train = [is_training(None if i == -(1 << 63) else i, held_out_of) for i in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first)), pa.array(train, pa.bool_()), pa.nulls(len(ids), kind)], names)
-        if counts:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.array([[{"w": w, "n": n} for w, n in counts.items()]], kind)], names)
+            for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                g.append(np.frombuffer(x, np.uint64))
+                n.append(np.frombuffer(y, "<u4"))
+        if not g:
+            return
+        g, of = np.unique(np.concatenate(g), return_inverse=True)
+        c = np.rint(np.bincount(of, np.concatenate(n), len(g))).astype(np.int64)
+        names = ["g", "c", "n"]
+        if level > 1:
+            seen = np.bincount(c[c <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)[1:]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(seen), pa.int64()), pa.array(np.arange(1, DISCOUNTED + 2)), pa.array(seen.astype(np.int64))], names)
+            often = c * SHARE >= train_tokens
+            g, c = g[often], c[often]
+        for i in range(0, len(g), 65536):
+            s = slice(i, i + 65536)
+            yield pa.RecordBatch.from_arrays([pa.array(g[s].view(np.int64)), pa.array(c[s]), pa.nulls(len(g[s]), pa.int64())], names)
 
     return run
 
@@ -159,8 +263,8 @@ def _is_hot(w: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return out
 
 
-def _deal(hot: np.ndarray, n_parts: int, held_out_of: int, level: int):
-    """All pairs of a task's documents: rows of (document ids, training flags, first words and how often, second words, documents).
+def _deal(hot: np.ndarray, n_parts: int, level: int, rounds: int, turn: int):
+    """All pairs of a task's documents whose context has this turn: rows of (document ids, training flags, first words and how often, second words, documents).
 
     Above level 2 first words are hashes of level - 1 words; those of their last level - 2 words follow how often.
     """
@@ -170,13 +274,13 @@ def _deal(hot: np.ndarray, n_parts: int, held_out_of: int, level: int):
         base = np.cumsum([0, *(len(x[0]) for x in held)])
         doc = np.concatenate([x[1] + b for x, b in zip(held, base, strict=False)]).astype(np.int32)
         w1, w2, low = (np.concatenate([x[k] for x in held]) for k in (2, 3, 4))
-        train = np.array([is_training(None if i == -(1 << 63) else i, held_out_of) for i in ids.tolist()], bool)
+        train = np.concatenate([x[5] for x in held])
         part = (np.where(_is_hot(w1, hot), mix(w1 ^ mix(w2)), mix(w1)) % np.uint64(n_parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         ends = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=n_parts))])
         for p in np.flatnonzero(np.diff(ends)):
             s = order[ends[p] : ends[p + 1]]
-            s = s[np.argsort(w1[s], kind="stable")]
+            s = s[np.lexsort((w1[s], low[s]))] if level > 2 else s[np.argsort(w1[s], kind="stable")]
             first = np.flatnonzero(np.concatenate([[True], w1[s][1:] != w1[s][:-1]]))
             used, local = np.unique(doc[s], return_inverse=True)
             n = np.diff(np.concatenate([first, [len(s)]])).astype("<u4")
@@ -186,20 +290,11 @@ def _deal(hot: np.ndarray, n_parts: int, held_out_of: int, level: int):
     def run(batches):
         held, size = [], 0
         for b in batches:
-            h, first = batch_words(b, lower=True)
-            n = np.diff(first)
-            doc = np.repeat(np.arange(len(n)), n + 2)
-            at = first[:-1] + 2 * np.arange(len(n))  # each document's start
-            words, inner = np.empty(len(doc), np.uint64), np.ones(len(doc), bool)
-            inner[at], inner[at + n + 1] = False, False
-            words[at], words[at + n + 1], words[inner] = START, END, h
-            key = low = words
-            for _ in range(level - 2):
-                low, key = key, np.concatenate([key[:1], longer(key[:-1], words[1:])])
-            pos = np.arange(len(doc)) - at[doc]
-            last = np.flatnonzero((pos >= level - 2) & (pos <= n[doc]))
+            doc, words, key, low, inside = _contexts(b, level)
+            last = np.flatnonzero(inside & ((words & np.uint64(rounds - 1)) == np.uint64(turn)))
             doc = doc[last]
-            held.append((b.column(0).to_numpy(), doc, key[last], words[last + 1], low[last] if level > 2 else low[:0]))
+            train = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            held.append((b.column(0).to_numpy(), doc, key[last], words[last + 1], low[last] if level > 2 else low[:0], train))
             size += len(doc)
             if size >= BUFFER_WORDS:
                 yield from deal(held)
@@ -211,7 +306,7 @@ def _deal(hot: np.ndarray, n_parts: int, held_out_of: int, level: int):
 
 
 def _count(level: int):
-    """A part's word counts (level 2), its pairs seen in training, and its places."""
+    """A part's pairs seen in training, and its places."""
 
     def run(batches):
         ids, train, w1, w2, low, doc, base, part = [], [], [], [], [], [], 0, None
@@ -237,9 +332,6 @@ def _count(level: int):
         pair = np.flatnonzero(new)
         c = np.add.reduceat(learnt, pair)
         context = np.flatnonzero(np.concatenate([[True], w1[1:] != w1[:-1]]))
-        cw = np.add.reduceat(learnt, context)
-        for i in range(0, len(context) if level == 2 else 0, 65536):
-            yield _rows(WORD, w1=w1[context[i : i + 65536]], n=cw[i : i + 65536])
         kept = np.flatnonzero(c)
         for i in range(0, len(kept), 65536):
             s = kept[i : i + 65536]
@@ -259,16 +351,11 @@ def _count(level: int):
 
 
 class Model:
-    """Word and pair tables with their probabilities."""
-
-    def __init__(self, counted: DataFrame, hot: np.ndarray, n_parts: int, train_docs: int, train_tokens: int):
-        self.hot, self.n_parts, self.train_docs, self.n = hot, n_parts, train_docs, train_tokens
-        i64 = lambda x: int(np.uint64(x).view(np.int64))
-        words = counted.where((F.col("kind") == WORD) & (F.col("w1") != i64(START))).groupBy(F.col("w1").alias("w")).agg(F.sum("n").alias("c"))
-        self.words = written(words, "lm-words")
-        pairs = counted.where(F.col("kind") == PAIR)
-        self.pairs = pairs.select("part", "w1", "w2", F.col("n").alias("c"))
-        self.start_id, self.end_id = i64(START), i64(END)
+    """Words with their probabilities, and those of the pairs of a turn."""
+
+    def __init__(self, words: DataFrame, d2: dict[int, float], hot: np.ndarray, train_docs: int, train_tokens: int):
+        self.words, self.d2, self.hot, self.train_docs, self.n = written(words, "lm-words"), d2, hot, train_docs, train_tokens
+        self.start_id, self.end_id = (int(x.view(np.int64)) for x in (START, END))
         few = {r.c: r.n for r in self.words.where(f"c between 1 and {DISCOUNTED + 1}").groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
         if 0 < train_docs <= DISCOUNTED + 1:
             few[train_docs] = few.get(train_docs, 0) + 1
@@ -277,8 +364,6 @@ class Model:
         seen = self.words.where("c > 0").agg(F.coalesce(F.sum(self.discounted("c", self.d1)), F.lit(0.0))).first()[0] + (self.d1.get(train_docs, 1.0) * train_docs)
         self.scale = 1.0 / self.n if seen < self.n - 1e-9 and self.n else 1.0 / (self.n + 1)  # nothing left over: one token's share
         self.unknown = float(np.log10(max(1 - seen * self.scale, 1e-300))) if self.n else 0.0
-        few = {r.c: r.n for r in self.pairs.where(f"c <= {DISCOUNTED + 1}").groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
-        self.d2 = discounts(few)
 
     @staticmethod
     def discounted(c: str, d: dict[int, float]) -> Column:
@@ -293,11 +378,11 @@ class Model:
             return 0.0
         return float(np.log10(self.d1.get(self.train_docs, 1.0) * self.train_docs * self.scale)) if self.train_docs else self.unknown
 
-    def after(self) -> tuple[DataFrame, DataFrame]:
+    def after(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(pairs with log10 P(w2 | w1) and log10 P(w2); contexts with log10 alpha)."""
         p1 = self.words.where("c > 0").select(F.col("w").alias("w2"), (self.discounted("c", self.d1) * self.scale).alias("p1"))
         end = 10.0 ** self.end()
-        b = self.pairs.hint("merge").join(p1, "w2", "left").withColumn("p1", F.when(F.col("w2") == self.end_id, F.lit(end)).otherwise(F.col("p1")))
+        b = pairs.select("part", "w1", "w2", "c").hint("merge").join(p1, "w2", "left").withColumn("p1", F.when(F.col("w2") == self.end_id, F.lit(end)).otherwise(F.col("p1")))
         b = written(b, "lm-pairs-p1")
         c1 = self.words.select(F.col("w").alias("w1"), F.col("c").alias("c1"))
         per = b.groupBy("w1").agg(F.sum(self.discounted("c", self.d2)).alias("mass"), F.sum("p1").alias("p1"))
@@ -311,18 +396,17 @@ class Model:
         b = b.hint("merge").join(per.select("w1", "div"), "w1")
         return b.select("part", "w1", "w2", F.log10(self.discounted("c", self.d2) / F.col("div")).alias("p"), F.log10("p1").alias("p1")), per
 
-    def lookup(self, base: Column) -> DataFrame:
-        """part, w1, w2 (null: the word itself), known, x (its base term or log10 P(w2 | w1)), y (log10 P(w1) or P(w2)), alpha; hot words in every part."""
-        pairs, alpha = self.after()
+    def lookup(self, pairs: DataFrame, base: Column, n_parts: int, in_turn: Column) -> DataFrame:
+        """Of a turn's words and pairs: part, w1, w2 (null: the word itself), known, x (its base term or log10 P(w2 | w1)), y (log10 P(w1) or P(w2)), alpha; hot words in every part."""
+        pairs, alpha = self.after(pairs)
         own = F.when(F.col("c") > 0, F.log10(self.discounted("c", self.d1) * self.scale)).otherwise(self.unknown)
         words = self.words.select(F.col("w").alias("w1"), (F.col("c") > 0).alias("known"), base.alias("x"), own.alias("y"))
         start = self.words.sparkSession.createDataFrame([(self.start_id, False, 0.0, 0.0)], "w1 long, known boolean, x double, y double")
-        words = words.unionByName(start).hint("merge").join(alpha.select("w1", "alpha"), "w1", "left")
+        words = words.unionByName(start).where(in_turn).hint("merge").join(alpha.select("w1", "alpha"), "w1", "left")
         hot = F.col("w1").isin([self.start_id, *self.hot.view(np.int64).tolist()])
 
         cols = ["w1", "known", "x", "y", "alpha"]
         schema = "w1 long, known boolean, x double, y double, alpha double, part int"
-        n_parts = self.n_parts
         cold = words.where(~hot).select(*cols).mapInArrow(_part_of(n_parts), schema)
         spread = words.where(hot).select(*cols).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
         own_rows = cold.unionByName(spread).select("part", "w1", F.lit(None).cast("long").alias("w2"), "known", "x", "y", "alpha")

@@ -61,6 +61,20 @@ def forget(*tables: DataFrame) -> None:
             p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def told_apart(texts: DataFrame) -> DataFrame:
+    """texts (doc_id, text) with id, the doc_id; where a doc_id has several texts, all doc_ids become numbers in the order
+    of doc_id and the text's digest, one for each different pair of them."""
+    fp = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    several = texts.select("doc_id", fp.alias("fp")).groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b")
+    if several.isEmpty():
+        return texts.select("doc_id", F.col("doc_id").alias("id"), "text")
+    named = texts.select("doc_id", "text", fp.alias("fp"))
+    numbers = named.select("doc_id", "fp").distinct().orderBy("doc_id", "fp")
+    numbers = written(numbers.select("doc_id", "fp", F.monotonically_increasing_id().alias("row")), "row-numbers")
+    out = named.hint("merge").join(numbers, ["doc_id", "fp"])
+    return written(out.select(F.col("row").alias("doc_id"), F.col("doc_id").alias("id"), "text"), "row-texts")
+
+
 def parts_for(spark: SparkSession, rows: int, per_part: int) -> int:
     """Parts so that each holds about per_part rows, at least as many as the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_part), 1)

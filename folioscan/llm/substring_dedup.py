@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import parts_for, prepare, release, written
+from .store import parts_for, prepare, release, told_apart, written
 from .text import batch_words, inside, mix, windows
 from .tokens import slices
 
@@ -37,14 +37,14 @@ def dedup_substrings(docs: DataFrame, window: int = 20, block: int = 10) -> Data
 
     A word goes if a window of `window` consecutive words covers it whose word sequence also starts earlier: in a
     document of smaller doc_id, or earlier in the same one. Words are runs of anything but ASCII white space, unchanged.
-    Null texts have no words. A null doc_id comes before all others; rows that share a doc_id are compared by their texts
-    and, if these are equal too, all count as the first. An empty table gives an empty result.
+    Null texts have no words. A null doc_id comes before all others; rows that share a doc_id come in the order of their
+    texts' SHA-256 digests; if their texts are equal too, all count as the first. An empty table gives an empty result.
     """
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block")
     prepare(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
-    marks = repeats(texts, window, block)
+    texts = told_apart(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text"))
+    marks = repeats(texts.select("doc_id", "text"), window, block)
 
     def cut(batches):
         for b in batches:
@@ -65,7 +65,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, block: int = 10) -> Data
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_words", "n_removed", "kept"])
 
     joined = texts.join(_small(marks, "gone"), "doc_id", "left")
-    out = joined.select("doc_id", "text", "gone").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    out = joined.select(F.col("id").alias("doc_id"), "text", "gone").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(-(1 << 63)), F.col("doc_id")))
 
 
