@@ -63,7 +63,11 @@ def synthetic_reference(url: Column, prefix: Column) -> Column:
 
 def snippet(text: Column, pattern: Column, radius: int = 60) -> Column:
     """The first match with so many characters on either side, trimmed; null without a match."""
-    start, size = F.regexp_instr(text, pattern), F.length(F.regexp_substr(text, pattern))
+    return around(text, F.regexp_instr(text, pattern), F.length(F.regexp_substr(text, pattern)), radius)
+
+
+def around(text: Column, start: Column, size: Column, radius: int = 60) -> Column:
+    """So many characters on either side of a place (from 1) and the place itself, trimmed; null for place 0."""
     low = F.greatest(start - radius, F.lit(1)).cast("int")
     return F.when(start > 0, strip(text.substr(low, (start + size + radius - low).cast("int"))))
 

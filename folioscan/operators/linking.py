@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Up to so many patterns are unrolled into the plan as literals; more are joined as a broadcast of checked size.
-MOST_LITERALS, MOST_PATTERNS = 200, 20_000
+#: Patterns are broadcast in blocks of about so many rows and bytes.
+BLOCK_PATTERNS, BLOCK_BYTES = 20_000, 32 << 20
+
+
+def _blocks(patterns: DataFrame, column: str, find) -> DataFrame:
+    """find(patterns) for all patterns, in as many blocks as their number and bytes need."""
+    n, size = patterns.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()
+    k = max(-(-n // BLOCK_PATTERNS), -(-size // BLOCK_BYTES), 1)
+    parts = [patterns.where(F.pmod(F.xxhash64(*patterns.columns), F.lit(k)) == i) for i in range(k)] if k > 1 else [patterns]
+    return reduce(DataFrame.unionByName, map(find, parts))
 
 
 def alias_pattern(pattern: Column, kind: Column) -> Column:
@@ -35,25 +45,28 @@ def link_aliases(docs: DataFrame, aliases: list[tuple[int, str, str]], key: str
 
 
 def link_alias_table(docs: DataFrame, aliases: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """link_aliases() for a table of more aliases (entity_id, pattern, kind, ord): a nested-loop join with the patterns, whose number is checked."""
-    if (n := aliases.count()) > MOST_PATTERNS:
-        raise ValueError(f"{n} patterns; split the alias table")
-    p = F.broadcast(aliases.withColumn("regex", alias_pattern(F.col("pattern"), F.col("kind"))).where("regex is not null").select("entity_id", "regex", "ord"))
-    found = docs.select(key, text).join(p, F.rlike(F.col(text), F.col("regex")))
-    best = found.groupBy(key, "entity_id").agg(F.min_by(F.struct(text, "regex"), "ord").alias("h"))
-    best = best.withColumn("snippet", T.snippet(F.col(f"h.{text}"), F.col("h.regex")))
+    """link_aliases() for a table of more aliases (entity_id, pattern, kind, ord): nested-loop joins with blocks of the patterns.
+
+    Snippets are cut at each hit, so that texts are not shuffled."""
+    p = aliases.withColumn("regex", alias_pattern(F.col("pattern"), F.col("kind"))).where("regex is not null").select("entity_id", "regex", "ord")
+
+    def find(block):
+        hit = docs.select(key, text).join(F.broadcast(block), F.rlike(F.col(text), F.col("regex")))
+        return hit.select(key, "entity_id", "ord", T.snippet(F.col(text), F.col("regex")).alias("snippet"))
+
+    best = _blocks(p, "regex", find).groupBy(key, "entity_id").agg(F.min_by("snippet", "ord").alias("snippet"))
     return best.select(key, "entity_id", F.lit("REGEX_ALIAS").alias("method"), F.lit(1.0).alias("confidence"), "snippet")
 
 
 def link_ids(docs: DataFrame, catalog: DataFrame, pattern: str, id_column: str, method: str, trim: str = "", key: str = "doc_id", text: str = "text") -> DataFrame:
     """Identifiers in the text that are in the catalog (entity_id, id_column): one row for each document and entity, at the first place."""
-    ids = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+    ids = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)))
     found = docs.select(key, text, F.posexplode(ids).alias("pos", "raw"))
-    found = found.withColumn("id", F.rtrim(F.col("raw"), F.lit(trim)) if trim else F.col("raw"))
-    hit = found.join(catalog.select("entity_id", F.col(id_column).alias("id")), "id")
-    best = hit.groupBy(key, "entity_id").agg(F.min_by(F.struct("raw", text), "pos").alias("b"))
-    quoted = F.concat(F.lit(r"\Q"), F.col("b.raw"), F.lit(r"\E"))
-    return best.select(key, "entity_id", F.lit(method).alias("method"), F.lit(1.0).alias("confidence"), T.snippet(F.col(f"b.{text}"), quoted).alias("snippet"))
+    id_ = F.rtrim(F.col("raw"), F.lit(trim)) if trim else F.col("raw")
+    found = found.select(key, "pos", id_.alias("id"), T.around(F.col(text), F.instr(F.col(text), F.col("raw")), F.length("raw")).alias("snippet"))
+    hit = found.hint("merge").join(catalog.select("entity_id", F.col(id_column).alias("id")), "id")
+    best = hit.groupBy(key, "entity_id").agg(F.min_by("snippet", "pos").alias("snippet"))
+    return best.select(key, "entity_id", F.lit(method).alias("method"), F.lit(1.0).alias("confidence"), "snippet")
 
 
 def combine(rules: DataFrame, docs: DataFrame, extract, key: str = "doc_id") -> DataFrame:
@@ -75,8 +88,7 @@ def resolve_references(refs: DataFrame, catalog: DataFrame, ref: str = "ref") ->
 
 
 def match_labels(labels: DataFrame, patterns: DataFrame, key: str, label: str) -> DataFrame:
-    """key, slugs: the slugs (sorted) of all patterns that a label contains, case ignored; a broadcast of checked size."""
-    if (n := patterns.count()) > MOST_PATTERNS:
-        raise ValueError(f"{n} patterns; split the table")
-    hit = labels.join(F.broadcast(patterns.select("pattern", "slug")), F.contains(F.lower(F.trim(F.col(label))), F.lower("pattern")))
+    """key, slugs: the slugs (sorted) of all patterns that a label contains, case ignored; patterns are broadcast in blocks."""
+    holds = F.contains(F.lower(F.trim(F.col(label))), F.lower("pattern"))
+    hit = _blocks(patterns.select("pattern", "slug"), "pattern", lambda p: labels.join(F.broadcast(p), holds).select(key, "slug"))
     return hit.groupBy(key).agg(F.sort_array(F.collect_set("slug")).alias("slugs"))
