@@ -1,48 +1,53 @@
 """A Katz back-off n-gram model (trigrams by default): Good-Turing discounts, exactly normalised back-off weights, scores for whole texts.
 
-P(w | v) = d(c) c(v w) / c(v) if the table has v w, else alpha(v) P(w);  P(w) = d(c) c(w) / N, unknown words share what the
-discounts leave. Discounts follow Katz for counts up to `DISCOUNTED`; all pairs seen are kept. alpha(v) makes the
+P(w | v) = d(c) c(v w) / c(v) if training has v w, else alpha(v) P(w);  P(w) = d(c) c(w) / N, unknown words share what the
+discounts leave. Discounts follow Katz for counts up to `DISCOUNTED`; all n-grams seen are kept. alpha(v) makes the
 probabilities after v add up to one. Longer contexts are the same over shorter ones: P(w | u v) = d(c) c(u v w) / c(u v), else
 alpha(u v) P(w | v), or P(w | v) after a context that training doesn't have. A text's first word has only its start as context.
 
-Words and the numbers of n-grams seen r times (for the discounts) are counted first. Then contexts are taken in `rounds` turns,
-by their last word, so that only a part of all places is on disk at once; a context and all the shorter ones it backs off to
-have the same turn. In a turn, all pairs (v, w) of all texts are dealt out by their first word, as packed arrays that also say
-which document each came from; a first word that makes up more than 1 / `SHARE` of all words is spread by the second one. Each
-part counts its pairs in the training texts and keeps its places (context, document, kept pair or not). The word and pair
-counts are ordinary tables; joins and aggregations on them give alpha and each kept pair's probability, partitioned like the
-places, and a cogroup by part sums them for each document. Each longer context is another such pass, with a hash of the
-context as first word: a seen n-gram adds what it gains over the shorter context, which has it too; any other place adds alpha.
+1. Words are counted, in parts by a hash of the word.
+2. Every place of a text (a token with the words before it) goes to the part of the word just before it, so that all n-grams that
+   end in one pair, and all contexts that end in one word, are in one part. Places travel as indexes into the words of their block.
+   A part numbers its n-grams and contexts, counts them, and keeps its places by n-gram: this is the table of the model.
+3. Parts ask the parts of the words for their words' counts.
+4. A frequent word's places are dealt to many parts by the token after it. Its n-grams still are in one part each; what a context
+   adds up over its n-grams is summed over the parts that have it, level by level.
+5. Each part evaluates its n-grams from words upward and sums them for each document; these sums are added up by document.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import forget, parts_for, prepare, release, remainder, told_apart, written
 from .text import batch_words, mix
 
-DISCOUNTED, SHARE = 5, 1000
-BUFFER_WORDS, PART_WORDS, ROW_PLACES = 4_000_000, 3_000_000, 250_000
-ROUNDS, ROUND_WORDS = 8, 2_000_000
-STEP, START, END = np.uint64(0x4E2D6772616D), np.uint64(0x5354415254), np.uint64(0x454E44)
-NAMES = ["part", "kind", "w1", "w2", "n", "low", "a", "b", "c", "d", "e"]
-SCHEMA = "part int, kind int, w1 long, w2 long, n long, low long, a binary, b binary, c binary, d binary, e binary"
-PAIRS, PLACES, PAIR = range(3)
+#: Counts up to this are discounted. A word is spread if it has more than 1 / SHARE of a part's words.
+DISCOUNTED, SHARE = 5, 2
+#: Words of a block and of a part; at most some 3 * MOST_SPREAD words are spread (8 bytes each are sent to the tasks).
+BLOCK_WORDS, PART_WORDS, MOST_SPREAD = 4_000_000, 3_000_000, 300_000
+#: Bytes that a word is taken to have when parts are planned, with the space after it.
+WORD_BYTES = 6
+STEP, START, END, PAD = (np.uint64(x) for x in (0x4E2D6772616D, 0x5354415254, 0x454E44, 0x504144))
+WORDS, FIGURES, OFTEN, PLACES, SPREAD, WANTED = range(6)
+TABLE = "part int, kind int, x long, n long, a binary, b binary, c binary, d binary, e binary, f binary"
+NAMES = ["part", "kind", "x", "n", *"abcdef"]
+NO_ID = -(1 << 63)
+
+
+def _row(part: int, kind: int, x: int | None = None, n: int | None = None, *cells: np.ndarray) -> pa.RecordBatch:
+    values = [pa.array([part], pa.int32()), pa.array([kind], pa.int32()), pa.array([x], pa.int64()), pa.array([n], pa.int64())]
+    values += [pa.array([c.tobytes()], pa.binary()) for c in cells] + [pa.nulls(1, pa.binary())] * (6 - len(cells))
+    return pa.RecordBatch.from_arrays(values, NAMES)
 
 
-def _rows(kind: int, part=None, w1=None, w2=None, n=None, low=None, cells=None) -> pa.RecordBatch:
-    size = len(w1) if w1 is not None else 1
-    column = lambda x, t: pa.nulls(size, t) if x is None else pa.array(x, t)
-    cols = [pa.array(np.full(size, -1 if part is None else part, np.int32)), pa.array(np.full(size, kind, np.int32))]
-    cols += [column(None if x is None else np.ascontiguousarray(x).view(np.int64) if getattr(x, "dtype", None) == np.uint64 else x, pa.int64()) for x in (w1, w2, n, low)]
-    cols += [pa.array([c.tobytes()], pa.binary()) for c in cells] if cells is not None else [pa.nulls(size, pa.binary())] * 5
-    return pa.RecordBatch.from_arrays(cols, NAMES)
+def _cells(b: pa.RecordBatch, i: int, *kinds) -> list[np.ndarray]:
+    """The packed arrays of a row, from column a on."""
+    first = b.schema.get_field_index("a")
+    return [np.frombuffer(b.column(first + k)[i].as_buffer(), t) for k, t in enumerate(kinds)]
 
 
 def discounts(counts: dict[int, int], first: int = 1) -> dict[int, float]:
@@ -57,171 +62,139 @@ def discounts(counts: dict[int, int], first: int = 1) -> dict[int, float]:
     return out
 
 
-def score(docs: DataFrame, held_out_of: int = 10, order: int = 3, rounds: int | None = None) -> DataFrame:
+def discounted(c: np.ndarray, d: dict[int, float]) -> np.ndarray:
+    return c * np.array([1.0, *(d[r] for r in range(1, DISCOUNTED + 1)), 1.0])[np.minimum(c, DISCOUNTED + 1)]
+
+
+def score(docs: DataFrame, held_out_of: int = 10, order: int = 3) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     Tokens are words (runs of anything but ASCII white space, A-Z lower-cased), told apart by 64-bit hashes, then one end.
     The model learns from rows whose crc32(doc_id as text) mod held_out_of is not 0, and from rows without a doc_id. Null
     texts are empty. Rows that share a doc_id are trained on and scored one by one; an empty table gives an empty result;
-    other columns are not read. rounds (a power of two; ROUNDS, but fewer where a round has under ROUND_WORDS words) changes no
-    result: the texts are read order - 1 times in each round, and about one in `rounds` of all places is on disk at once.
+    other columns are not read.
     """
-    if order < 2 or rounds is not None and (rounds < 1 or rounds & (rounds - 1)):
-        raise ValueError("order is 2 or more, rounds a power of two")
+    if order < 2:
+        raise ValueError("order is 2 or more")
     spark = prepare(docs.sparkSession)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id")
-    texts = told_apart(docs.select(key, "text"))
-    own_id = F.when(F.col("id") != F.lit(-(1 << 63)), F.col("id"))
-    texts = texts.select("doc_id", own_id.alias("id"), "text").withColumn("train", remainder("id", held_out_of) != 0)
-    slim = written(texts.mapInArrow(_sizes, "doc_id long, id long, n long, train boolean, hot array<struct<w: long, n: long>>"), "lm-sizes")
-    texts = texts.select("doc_id", "text", "train")
-    rows = slim.where("hot is null")
-    totals = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("train"), 1)), F.coalesce(F.sum(F.when(F.col("train"), F.col("n") + 1)), F.lit(0))).first()
-    words, train_docs, train_tokens = (int(x) for x in totals)
-    rounds = rounds or min(ROUNDS, 1 << (words // ROUND_WORDS).bit_length())
-    hot = slim.where("hot is not null").select(F.explode("hot").alias("h")).groupBy("h.w").agg(F.sum("h.n").alias("n")).where(F.col("n") * SHARE >= words).select("w")
-    hot = {2: np.sort(np.array([r.w for r in hot.collect()], np.int64).view(np.uint64))}  # SHARE words at most
-
-    def grams(level):
-        n = parts_for(spark, words, PART_WORDS)
-        dealt = texts.mapInArrow(_grams(level, n), GRAMS).repartitionById(n, F.col("part"))
-        out = written(dealt.mapInArrow(_gram_counts(level, train_tokens), "g long, c long, n long"), "lm-grams")
-        release(spark)
-        return out
-
-    d = {}
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")
+    rows = told_apart(docs.select(key, "text"))
+    renumbered = hasattr(rows, "_folioscan_path")
+    own_id = F.when(F.col("id") != F.lit(NO_ID), F.col("id"))
+    texts = rows.select("doc_id", own_id.alias("id"), "text").select("doc_id", "text", (remainder("id", held_out_of) != 0).alias("train"))
+    planned = int(docs.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]) // WORD_BYTES
+    n_parts = parts_for(spark, planned, PART_WORDS)
+    often = max(planned // (n_parts * SHARE), planned // MOST_SPREAD, 1)
+
+    words = written(texts.mapInArrow(_deal_words(n_parts), TABLE).repartitionById(n_parts, F.col("part")).mapInArrow(_count_words(often), TABLE), "lm-words")
+    release(spark)
+    spread = np.sort(np.array([START.view(np.int64), *(r.x for r in words.where(F.col("kind") == OFTEN).select("x").collect())], np.int64).view(np.uint64))
+    counted = written(texts.mapInArrow(_deal(spread, n_parts, order), TABLE).repartitionById(n_parts, F.col("part")).mapInArrow(_count(n_parts, order, spread), TABLE), "lm-places")
+    release(spark)
+    found = words.unionByName(counted).where(F.col("kind") == FIGURES).groupBy("part", "x").agg(F.sum("n").alias("n")).collect()
+    model = Model({(r.part, r.x): r.n for r in found}, order)
+
+    asked = counted.where(F.col("kind") == WANTED).unionByName(words.where(F.col("kind") == WORDS))
+    known = written(asked.select("part", "kind", "x", "a", "b").repartitionById(n_parts, F.col("part")).mapInArrow(_answers, ANSWERS), "lm-known")
+    forget(words)
     for level in range(2, order + 1):
-        seen = grams(level)
-        d[level] = discounts({r.c: r.n for r in seen.where("g is null").groupBy("c").agg(F.sum("n").alias("n")).collect()})
-        often = [r.g for r in seen.where("g is not null").select("g").collect()] if level < order else []  # SHARE at most
-        hot[level + 1] = np.sort(np.array(often, np.int64).view(np.uint64))
-        forget(seen)
-    model = Model(grams(1).select(F.col("g").alias("w"), "c"), d[2], hot[2], train_docs, train_tokens)
-    base = F.log10((F.col("c") + 0.1) / (train_tokens + 0.1 * (model.types + 1)))
-    n_parts = parts_for(spark, words // rounds, PART_WORDS)
-    places = lambda t: t.where(F.col("kind") == PLACES).select("part", "a", "b", "c", "d", "e").groupBy("part")
-    found_of = lambda t: t.where(F.col("kind") == PAIR).select("part", "w1", "w2", "low", F.col("n").alias("c"))
-
-    def count(level, turn):
-        dealt = texts.mapInArrow(_deal(hot[level], n_parts, level, rounds, turn), SCHEMA).repartitionById(n_parts, F.col("part"))
-        out = written(dealt.mapInArrow(_count(level), SCHEMA), "lm-counts")
+        units = counted.where(F.col("kind") == SPREAD).select("part", "c", "d", "e", "f")
+        sums = units.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_context_sums(model, n_parts, level), ANSWERS)
+        more = written(sums.repartitionById(n_parts, F.col("part")).mapInArrow(_totals(level), ANSWERS), "lm-contexts")
+        both = written(known.unionByName(more), "lm-known")
+        forget(known, more)
+        known = both
         release(spark)
-        return out
+    units = counted.where(F.col("kind").isin(PLACES, SPREAD)).select("part", *"abcdef")
+    parts = units.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_document_sums(model, n_parts), PACKED)
+    out = written(parts.repartitionById(n_parts, F.col("part")).mapInArrow(_documents, "doc_id long, same long, n_tokens long, n_known long, base_score double, score double"), "lm-scores")
+    forget(counted, known)
+    release(spark)
+    if renumbered:
+        out = out.hint("merge").join(rows.select("doc_id", "id").distinct().hint("merge"), "doc_id")
+    else:
+        out = out.withColumn("id", F.col("doc_id"))
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("same").cast("int"))))  # equal texts of one doc_id have equal figures
+    return out.select(own_id.alias("doc_id"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
-    sums = []
-    for turn in range(rounds):
-        counted = count(2, turn)
-        lookup = model.lookup(found_of(counted), base, n_parts, F.col("w1").bitwiseAND(F.lit(rounds - 1)) == turn)
-        sums.append(written(places(counted).cogroup(lookup.groupBy("part")).applyInArrow(_place_sums(n_parts), SUMS), "lm-part-sums"))
-        forget(counted)
-        release(spark)
-        spent, shorter = [lookup], lookup.where("w2 is not null").select(F.col("w1").alias("low"), "w2", F.col("x").alias("p"))
-        for level in range(3, order + 1):
-            counted = count(level, turn)
-            found = written(found_of(counted).hint("merge").join(shorter.hint("merge"), ["low", "w2"], "left").select("part", "w1", "w2", "c", "p"), "lm-found")
-            forget(*spent)
-            release(spark)
-            mass = [F.sum("c"), F.sum(Model.discounted("c", d[level])), F.sum(F.pow(F.lit(10.0), "p"))]
-            several = hot[level].view(np.int64).tolist()
-            whole = found.where(F.col("w1").isin(several)).groupBy("w1").agg(*mass).collect() if several else []
-            sums.append(written(places(counted).cogroup(found.groupBy("part")).applyInArrow(_gain_sums(n_parts, d[level], [tuple(r) for r in whole]), SUMS), "lm-part-sums"))
-            spent = [found]
-            if level < order:
-                per = found.groupBy("w1").agg(mass[0].alias("n"), mass[1].alias("mass"))
-                div = F.when(1 - F.col("mass") / F.col("n") < 1e-9, F.col("mass") + 1).otherwise(F.col("n"))
-                p = F.log10(Model.discounted("c", d[level]) / div)
-                shorter = written(found.hint("merge").join(per, "w1").select(F.col("w1").alias("low"), "w2", p.alias("p")), "lm-shorter")
-                spent.append(shorter)
-            forget(counted)
-            release(spark)
-        forget(*spent)
-    parts = sums
-    sums = reduce(DataFrame.unionByName, parts)
-    sums = written(sums.repartitionById(n_parts, F.col("part")).mapInArrow(_summed, "doc_id long, known long, base double, score double"), "lm-sums")
-    forget(*parts, model.words)
-    end = model.end()
-    per = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("same"))  # equal texts of one doc_id have equal figures
-    out = rows.select("doc_id", "id", "n").hint("merge").join(sums.hint("merge").join(per, "doc_id"), "doc_id")
-    mean = lambda c: F.col(c) / F.col("same")
-    return out.select(
-        F.col("id").alias("doc_id"),
-        (F.col("n") + 1).alias("n_tokens"),
-        (mean("known") + int(train_docs > 0)).cast("long").alias("n_known"),
-        F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (mean("base") + float(np.log10((train_docs + 0.1) / (train_tokens + 0.1 * (model.types + 1))))).alias("base_score"),
-        (mean("score") + end).alias("score"),
-    )
-
-
-def longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The hash of a context with one more word at its end."""
-    return mix(context ^ STEP) + word
-
-
-def _sizes(batches):
-    """A row for each document, and one for each task with words that may be frequent everywhere."""
-    names = ["doc_id", "id", "n", "train", "hot"]
-    kind = pa.list_(pa.struct([("w", pa.int64()), ("n", pa.int64())]))
-    counts: dict[int, int] = {}
-    for b in batches:
-        h, first = batch_words(b, lower=True)
-        w, n = np.unique(h, return_counts=True)
-        often = n * SHARE * 2 >= len(h)
-        for x, k in zip(w[often].view(np.int64).tolist(), n[often].tolist(), strict=True):
-            counts[x] = counts.get(x, 0) + k
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(first)), b.column(3), pa.nulls(b.num_rows, kind)], names)
-    if counts:
-        empty = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.bool_())]
-        yield pa.RecordBatch.from_arrays([*empty, pa.array([[{"w": w, "n": n} for w, n in counts.items()]], kind)], names)
-
-
-def _contexts(b: pa.RecordBatch, level: int):
-    """Of a batch with the texts' starts and ends as words: each word's document and hash, the hashes of the level - 1 and
-    level - 2 words up to it, and whether these lie in one text with a word after them."""
-    h, first = batch_words(b, lower=True)
-    n = np.diff(first)
-    doc = np.repeat(np.arange(len(n)), n + 2)
-    at = first[:-1] + 2 * np.arange(len(n))  # each document's start
-    words, inner = np.empty(len(doc), np.uint64), np.ones(len(doc), bool)
-    inner[at], inner[at + n + 1] = False, False
-    words[at], words[at + n + 1], words[inner] = START, END, h
-    key = low = words
-    for _ in range(level - 2):
-        low, key = key, np.concatenate([key[:1], longer(key[:-1], words[1:])])
-    pos = np.arange(len(doc)) - at[doc]
-    return doc, words, key, low, (pos >= level - 2) & (pos <= n[doc])
-
-
-GRAMS = "part int, g binary, n binary"
-
-
-def _grams(level: int, n_parts: int):
-    """The n-grams of a task's documents and how often training texts have them; of words (level 1) also those they don't have."""
+
+class Model:
+    """What all parts need: discounts of each level, the numbers of tokens and types, and the scale of word probabilities."""
+
+    def __init__(self, figures: dict[tuple[int, int], int], order: int):
+        self.order = order
+        self.tokens, self.types = figures.get((1, -1), 0), figures.get((1, 0), 0)
+        of = lambda level: {r: n for (k, r), n in figures.items() if k == level and r > 0 and n}
+        self.d = {level: discounts(of(level)) for level in range(1, order + 1)}
+        seen = self.tokens - sum(r * n * (1 - self.d[1][r]) for r, n in of(1).items() if r <= DISCOUNTED)
+        self.scale = 1 / self.tokens if seen < self.tokens - 1e-9 and self.tokens else 1 / (self.tokens + 1)  # nothing left over: one token's share
+        self.unknown = max(1 - seen * self.scale, 1e-300)
+
+    def words(self, c: np.ndarray) -> np.ndarray:
+        return np.where(c > 0, discounted(c, self.d[1]) * self.scale, self.unknown)
+
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 0.1) / (self.tokens + 0.1 * (self.types + 1)))
+
+    def evaluate(self, unit: Unit, p: np.ndarray, totals: dict[int, np.ndarray], upto: int):
+        """The probabilities of a unit's longest n-grams from those of its words (upto: 0), or what its contexts of one level add up.
+
+        totals has these sums over all parts for each level's spread contexts.
+        """
+        for level in range(2, self.order + 1):
+            parent, context, c = unit.grams[level - 2]
+            lower, seen, less = p[parent], c > 0, discounted(c, self.d[level])
+            n_contexts = unit.contexts[level - 2]
+            n, mass, below = (np.bincount(context, v * seen, n_contexts) for v in (c, less, lower))
+            if level == upto:
+                return n, mass, below
+            if unit.spread:
+                n, mass, below = totals[level]
+            has = n > 0
+            n = np.where(has, n, 1)
+            div = np.where(1 - mass / n < 1e-9, mass + 1, n)  # all that follow are undiscounted: one more is set aside
+            alpha = np.where(has, (1 - mass / div) / np.maximum(1 - below, 1e-12), 1.0)
+            p = np.maximum(np.where(seen, less / div[context], alpha[context] * lower), 1e-300)
+        return p
+
+
+def _figures(level: int, c: np.ndarray):
+    """How many types are seen r times; with r = 0 for all types seen, and -1 for their tokens."""
+    few = np.bincount(c[c <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)
+    for r, n in [(0, int((c > 0).sum())), (-1, int(c.sum())), *((r, int(few[r])) for r in range(1, DISCOUNTED + 2))]:
+        yield _row(level, FIGURES, r, n)
+
+
+def _by_part(part: np.ndarray, n_parts: int):
+    """(part, its rows) for each part that has some."""
+    order = np.argsort(part.astype(np.int16) if n_parts < 1 << 15 else part, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=n_parts))])
+    for p in np.flatnonzero(np.diff(ends)).tolist():
+        yield p, order[ends[p] : ends[p + 1]]
+
+
+def _word_part(w: np.ndarray, n_parts: int) -> np.ndarray:
+    return (mix(w ^ STEP) % np.uint64(n_parts)).astype(np.int32)
+
+
+def _deal_words(n_parts: int):
+    """The words (and ends) of a task's documents, with how often they have them and how often in training."""
 
     def deal(held):
-        g, train = (np.concatenate(x) for x in zip(*held, strict=True))
-        g, of = np.unique(g, return_inverse=True)
-        n = np.bincount(of, train, len(g)).astype("<u4")
-        part = (mix(g ^ STEP) % np.uint64(n_parts)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        ends = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=n_parts))])
-        for p in np.flatnonzero(np.diff(ends)):
-            s = order[ends[p] : ends[p + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([x[s].tobytes()], pa.binary()) for x in (g, n))], ["part", "g", "n"])
+        w, train = (np.concatenate(x) for x in zip(*held, strict=True))
+        w, of, n = np.unique(w, return_inverse=True, return_counts=True)
+        c = np.bincount(of, train, len(w)).astype("<u4")
+        for p, s in _by_part(_word_part(w, n_parts), n_parts):
+            yield _row(p, WORDS, None, None, w[s], c[s], n[s].astype("<u4"))
 
     def run(batches):
         held, size = [], 0
         for b in batches:
+            h, first = batch_words(b, lower=True)
             train = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            if level == 1:
-                h, first = batch_words(b, lower=True)
-                held.append((h, np.repeat(train, np.diff(first))))
-            else:
-                doc, words, key, _, inside = _contexts(b, level)
-                last = np.flatnonzero(inside & train[doc])
-                held.append((longer(key[last], words[last + 1]), np.ones(len(last), bool)))
-            size += len(held[-1][0])
-            if size >= BUFFER_WORDS:
+            held += [(h, np.repeat(train, np.diff(first))), (np.full(len(train), END), train)]
+            size += len(h) + len(train)
+            if size >= BLOCK_WORDS:
                 yield from deal(held)
                 held, size = [], 0
         if size:
@@ -230,73 +203,59 @@ def _grams(level: int, n_parts: int):
     return run
 
 
-def _gram_counts(level: int, train_tokens: int):
-    """(g, c) for each word; of longer n-grams (c, n): how many are seen c times, and (g, c) for very frequent ones."""
-
+def _count_words(often: int):
     def run(batches):
-        g, n = [], []
-        for b in batches:
-            for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                g.append(np.frombuffer(x, np.uint64))
-                n.append(np.frombuffer(y, "<u4"))
-        if not g:
+        rows = [(b.column(0)[i].as_py(), *_cells(b, i, np.uint64, "<u4", "<u4")) for b in batches for i in range(b.num_rows)]
+        if not rows:
             return
-        g, of = np.unique(np.concatenate(g), return_inverse=True)
-        c = np.rint(np.bincount(of, np.concatenate(n), len(g))).astype(np.int64)
-        names = ["g", "c", "n"]
-        if level > 1:
-            seen = np.bincount(c[c <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)[1:]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(seen), pa.int64()), pa.array(np.arange(1, DISCOUNTED + 2)), pa.array(seen.astype(np.int64))], names)
-            often = c * SHARE >= train_tokens
-            g, c = g[often], c[often]
-        for i in range(0, len(g), 65536):
-            s = slice(i, i + 65536)
-            yield pa.RecordBatch.from_arrays([pa.array(g[s].view(np.int64)), pa.array(c[s]), pa.nulls(len(g[s]), pa.int64())], names)
+        w, of = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
+        c, n = (np.rint(np.bincount(of, np.concatenate([r[k] for r in rows]), len(w))).astype(np.int64) for k in (2, 3))
+        yield _row(rows[0][0], WORDS, None, None, w[c > 0], c[c > 0])
+        yield from _figures(1, c)
+        for x in w[n >= often].view(np.int64).tolist():
+            yield _row(-1, OFTEN, x)
 
     return run
 
 
-def _is_hot(w: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    out = w == START
-    if len(hot):
-        out |= hot[np.minimum(np.searchsorted(hot, w), len(hot) - 1)] == w
-    return out
-
-
-def _deal(hot: np.ndarray, n_parts: int, level: int, rounds: int, turn: int):
-    """All pairs of a task's documents whose context has this turn: rows of (document ids, training flags, first words and how often, second words, documents).
+def _deal(spread: np.ndarray, n_parts: int, order: int):
+    """Blocks of places for each part: documents, training flags, words, each place's token and the words before it, documents again."""
 
-    Above level 2 first words are hashes of level - 1 words; those of their last level - 2 words follow how often.
-    """
+    def places(b: pa.RecordBatch):
+        """Each place's document, token and order - 1 words before it, the nearest first."""
+        h, first = batch_words(b, lower=True)
+        n = np.diff(first)
+        at = np.cumsum(n + order) - n - order
+        doc = np.repeat(np.arange(len(n)), n + order)
+        pos = np.arange(len(doc)) - at[doc]
+        seq = np.full(len(doc), PAD)
+        last = pos == n[doc] + order - 1
+        seq[at + order - 2], seq[last] = START, END
+        seq[(pos >= order - 1) & ~last] = h
+        token = np.flatnonzero(pos >= order - 1)
+        return doc[token], [seq[token - k] for k in range(order)]
 
     def deal(held):
-        ids = np.concatenate([x[0] for x in held])
         base = np.cumsum([0, *(len(x[0]) for x in held)])
-        doc = np.concatenate([x[1] + b for x, b in zip(held, base, strict=False)]).astype(np.int32)
-        w1, w2, low = (np.concatenate([x[k] for x in held]) for k in (2, 3, 4))
-        train = np.concatenate([x[5] for x in held])
-        part = (np.where(_is_hot(w1, hot), mix(w1 ^ mix(w2)), mix(w1)) % np.uint64(n_parts)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        ends = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=n_parts))])
-        for p in np.flatnonzero(np.diff(ends)):
-            s = order[ends[p] : ends[p + 1]]
-            s = s[np.lexsort((w1[s], low[s]))] if level > 2 else s[np.argsort(w1[s], kind="stable")]
-            first = np.flatnonzero(np.concatenate([[True], w1[s][1:] != w1[s][:-1]]))
+        ids, train = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        doc = np.concatenate([x[2] + b for x, b in zip(held, base, strict=False)]).astype(np.int32)
+        columns = [np.concatenate([x[3][k] for x in held]) for k in range(order)]
+        v = columns[1]
+        hot = spread[np.minimum(np.searchsorted(spread, v), len(spread) - 1)] == v
+        part = (mix(np.where(hot, v ^ mix(columns[0]), v)) % np.uint64(n_parts)).astype(np.int32)
+        for p, s in _by_part(part, n_parts):
+            words, at = np.unique(np.stack([c[s] for c in columns]), return_inverse=True)
             used, local = np.unique(doc[s], return_inverse=True)
-            n = np.diff(np.concatenate([first, [len(s)]])).astype("<u4")
-            cells = [np.concatenate([ids[used][:1], np.diff(ids[used])]), train[used], np.concatenate([w1[s][first], n.astype(np.uint64), *([low[s][first]] if level > 2 else [])]), w2[s], local.astype("<u2" if len(used) <= 1 << 16 else "<u4")]
-            yield _rows(PAIRS, part=p, cells=cells)
+            small = lambda a, n: a.astype("<u2" if n <= 1 << 16 else "<u4")
+            yield _row(p, PLACES, None, len(s), ids[used], train[used], words, small(at.ravel(), len(words)), small(local, len(used)))
 
     def run(batches):
         held, size = [], 0
         for b in batches:
-            doc, words, key, low, inside = _contexts(b, level)
-            last = np.flatnonzero(inside & ((words & np.uint64(rounds - 1)) == np.uint64(turn)))
-            doc = doc[last]
-            train = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            held.append((b.column(0).to_numpy(), doc, key[last], words[last + 1], low[last] if level > 2 else low[:0], train))
+            doc, columns = places(b)
+            held.append((b.column(0).to_numpy(), b.column(2).to_numpy(zero_copy_only=False).astype(bool), doc, columns))
             size += len(doc)
-            if size >= BUFFER_WORDS:
+            if size >= BLOCK_WORDS:
                 yield from deal(held)
                 held, size = [], 0
         if size:
@@ -305,219 +264,228 @@ def _deal(hot: np.ndarray, n_parts: int, level: int, rounds: int, turn: int):
     return run
 
 
-def _count(level: int):
-    """A part's pairs seen in training, and its places."""
+def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each key, keys in order, where in that order each number begins)."""
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(key), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    number = np.empty(len(key), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, order, np.flatnonzero(new)
+
+
+class Unit:
+    """A part's n-grams: for each level the shorter n-gram (of pairs: the token), the context and the count in training of each."""
+
+    def __init__(self, row: pa.RecordBatch, i: int):
+        cell = lambda c, t: np.frombuffer(row.column(c)[i].as_buffer(), t)
+        self.words, meta, flat, self.names = cell("c", np.uint64), cell("d", "<i8").tolist(), cell("e", "<u4"), cell("f", np.uint64)
+        self.spread, self.grams, self.contexts = bool(meta[0]), [], meta[2::2]
+        at = 0
+        for n in meta[1::2]:
+            step, context, c = flat[at : at + n], flat[at + n : at + 2 * n], flat[at + 2 * n : at + 3 * n]
+            self.grams.append((np.cumsum(step.view("<i4"), dtype=np.int64), context.astype(np.int64), c.astype(np.int64)))
+            at += 3 * n
+
+    def context_names(self, level: int) -> np.ndarray:
+        at = sum(self.contexts[: level - 2])
+        return self.names[at : at + self.contexts[level - 2]]
+
+    def tokens(self) -> np.ndarray:
+        """The word of each of the longest n-grams."""
+        out = np.arange(len(self.grams[-1][0]))
+        for parent, _, _ in reversed(self.grams):
+            out = parent[out]
+        return out
+
+
+def _count(n_parts: int, order: int, spread: np.ndarray):
+    """A part's n-grams with their counts, its places by n-gram, the words whose counts it needs, and how many n-grams are seen r times."""
+
+    def unit(part, kind, ids, doc, train, words, at):
+        """Rows of the places of one kind."""
+        n_words = len(words)
+        gram, by, begin = _numbered(at[1] * n_words + at[0])
+        parent = at[0][by[begin]]
+        context, first, start = _numbered(at[1][by[begin]])
+        name = words[at[1][by[begin]][first[start]]]
+        meta, flat, names, counts = [int(kind == SPREAD)], [], [], []
+        for level in range(2, order + 1):
+            learnt = train
+            if level > 2:
+                above, old_context, old_name = gram, context, name
+                gram, by, begin = _numbered(above * n_words + at[level - 1])
+                parent = above[by[begin]]
+                older = at[level - 1][by[begin]]
+                context, first, start = _numbered(old_context[parent] * n_words + older)
+                one = first[start]
+                name = mix(old_name[old_context[parent[one]]] ^ STEP) + words[older[one]]
+                learnt = train & (words[at[level - 1]] != PAD)
+            c = np.bincount(gram, learnt, len(begin)).astype(np.int64)
+            counts.append((level, c))
+            meta += [len(begin), len(start)]
+            flat += [np.diff(parent, prepend=0).astype("<i4").view("<u4"), context.astype("<u4"), c.astype("<u4")]
+            names.append(name)
+        runs = np.diff(np.append(begin, len(gram)))
+        of = doc[by]
+        cells = [ids, np.concatenate([[len(runs)], runs, of]).astype("<u4"), words, np.array(meta, "<i8"), np.concatenate(flat), np.concatenate(names) if kind == SPREAD else words[:0]]
+        yield _row(part, kind, None, None, *cells)
+        for level, c in counts:
+            yield from _figures(level, c)
 
     def run(batches):
-        ids, train, w1, w2, low, doc, base, part = [], [], [], [], [], [], 0, None
+        held, n_docs, part = [], 0, None
         for b in batches:
-            for p, a, t, c, d, e in zip(b.column(0).to_pylist(), *(b.column(i).to_pylist() for i in range(6, 11)), strict=True):
-                part = p
-                i, words = np.cumsum(np.frombuffer(a, np.int64)), np.frombuffer(c, np.uint64)
-                ids.append(i)
-                train.append(np.frombuffer(t, bool))
-                m = len(words) // min(level, 3)
-                w1.append(np.repeat(words[:m], words[m : 2 * m].astype(np.int64)))
-                low.append(np.repeat(words[2 * m :], words[m : 2 * m].astype(np.int64)) if level > 2 else words[:0])
-                w2.append(np.frombuffer(d, np.uint64))
-                doc.append(np.frombuffer(e, "<u2" if len(e) == 2 * len(w2[-1]) else "<u4").astype(np.int32) + base)
-                base += len(i)
+            for i in range(b.num_rows):
+                part, n = b.column(0)[i].as_py(), b.column(3)[i].as_py()
+                ids, train, words = _cells(b, i, np.int64, bool, np.uint64)
+                at, doc = b.column(7)[i].as_buffer(), b.column(8)[i].as_buffer()
+                at = np.frombuffer(at, "<u2" if at.size == 2 * n * order else "<u4").reshape(order, n)
+                doc = np.frombuffer(doc, "<u2" if doc.size == 2 * n else "<u4").astype(np.int64)
+                held.append((ids, train[doc], words, at, doc + n_docs))
+                n_docs += len(ids)
         if part is None:
             return
-        ids, train, w1, w2, low, doc = (np.concatenate(x) for x in (ids, train, w1, w2, low, doc))
-        order = np.lexsort((w2, w1))
-        w1, w2, doc = w1[order], w2[order], doc[order]
-        learnt = train[doc].astype(np.int64)
-        new = np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])
-        pair = np.flatnonzero(new)
-        c = np.add.reduceat(learnt, pair)
-        context = np.flatnonzero(np.concatenate([[True], w1[1:] != w1[:-1]]))
-        kept = np.flatnonzero(c)
-        for i in range(0, len(kept), 65536):
-            s = kept[i : i + 65536]
-            yield _rows(PAIR, part=part, w1=w1[pair[s]], w2=w2[pair[s]], n=c[s], low=low[order[pair[s]]] if level > 2 else None)
-        code = np.zeros(len(pair), np.int32)
-        code[kept] = 1 + np.arange(len(kept))
-        n = np.diff(np.concatenate([context, [len(w1)]])).astype("<u4")
-        which = np.cumsum(new) - 1
-        cuts = np.unique(np.searchsorted(context, np.arange(0, len(w1), ROW_PLACES)))  # rows of some ROW_PLACES places, whole contexts each
-        for k, i in enumerate(cuts):
-            j = cuts[k + 1] if k + 1 < len(cuts) else len(context)
-            at = slice(context[i], context[j] if j < len(context) else len(w1))
-            cells = [ids if not k else ids[:0], np.concatenate([w1[context[i:j]], n[i:j].astype(np.uint64)]), doc[at].astype("<u4"), code[which[at]].astype("<i4"), ids[:0]]
-            yield _rows(PLACES, part=part, cells=cells)
+        ids, train, doc = (np.concatenate([x[k] for x in held]) for k in (0, 1, 4))
+        words = np.unique(np.concatenate([x[2] for x in held]))
+        at = np.concatenate([np.searchsorted(words, x[2])[x[3]] for x in held], axis=1)
+        held.clear()
+        hot = np.isin(words, spread)[at[1]]
+        for kind, which in ((PLACES, ~hot), (SPREAD, hot)):
+            if which.any():
+                yield from unit(part, kind, ids, doc[which], train[which], words, at[:, which])
+        wanted = words[np.unique(at[0])]
+        for p, s in _by_part(_word_part(wanted, n_parts), n_parts):
+            yield _row(p, WANTED, part, None, wanted[s])
 
     return run
 
 
-class Model:
-    """Words with their probabilities, and those of the pairs of a turn."""
-
-    def __init__(self, words: DataFrame, d2: dict[int, float], hot: np.ndarray, train_docs: int, train_tokens: int):
-        self.words, self.d2, self.hot, self.train_docs, self.n = written(words, "lm-words"), d2, hot, train_docs, train_tokens
-        self.start_id, self.end_id = (int(x.view(np.int64)) for x in (START, END))
-        few = {r.c: r.n for r in self.words.where(f"c between 1 and {DISCOUNTED + 1}").groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
-        if 0 < train_docs <= DISCOUNTED + 1:
-            few[train_docs] = few.get(train_docs, 0) + 1
-        self.types = self.words.where("c > 0").count() + int(train_docs > 0)
-        self.d1 = discounts(few)
-        seen = self.words.where("c > 0").agg(F.coalesce(F.sum(self.discounted("c", self.d1)), F.lit(0.0))).first()[0] + (self.d1.get(train_docs, 1.0) * train_docs)
-        self.scale = 1.0 / self.n if seen < self.n - 1e-9 and self.n else 1.0 / (self.n + 1)  # nothing left over: one token's share
-        self.unknown = float(np.log10(max(1 - seen * self.scale, 1e-300))) if self.n else 0.0
-
-    @staticmethod
-    def discounted(c: str, d: dict[int, float]) -> Column:
-        out = F.col(c).cast("double")
-        for r, x in d.items():
-            out = F.when(F.col(c) == r, F.lit(r * x)).otherwise(out)
-        return out
+ANSWERS = "part int, x long, a binary, b binary"
+PACKED = "part int, a binary, b binary"
 
-    def end(self) -> float:
-        """log10 P(end) in the word model."""
-        if not self.n:
-            return 0.0
-        return float(np.log10(self.d1.get(self.train_docs, 1.0) * self.train_docs * self.scale)) if self.train_docs else self.unknown
-
-    def after(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(pairs with log10 P(w2 | w1) and log10 P(w2); contexts with log10 alpha)."""
-        p1 = self.words.where("c > 0").select(F.col("w").alias("w2"), (self.discounted("c", self.d1) * self.scale).alias("p1"))
-        end = 10.0 ** self.end()
-        b = pairs.select("part", "w1", "w2", "c").hint("merge").join(p1, "w2", "left").withColumn("p1", F.when(F.col("w2") == self.end_id, F.lit(end)).otherwise(F.col("p1")))
-        b = written(b, "lm-pairs-p1")
-        c1 = self.words.select(F.col("w").alias("w1"), F.col("c").alias("c1"))
-        per = b.groupBy("w1").agg(F.sum(self.discounted("c", self.d2)).alias("mass"), F.sum("p1").alias("p1"))
-        per = per.hint("merge").join(c1, "w1", "left").withColumn("c1", F.when(F.col("w1") == self.start_id, F.lit(self.train_docs)).otherwise(F.col("c1")))
-        left = 1 - F.col("mass") / F.col("c1")
-        tight = left < 1e-9  # all successors kept undiscounted: one more occurrence is set aside
-        per = per.withColumn("div", F.when(tight, F.col("mass") + 1).otherwise(F.col("c1")))
-        per = per.withColumn("alpha", F.log10(F.greatest((1 - F.col("mass") / F.col("div")) / F.greatest(1 - F.col("p1"), F.lit(1e-12)), F.lit(1e-300))))
-        per = written(per.select("w1", "div", "alpha"), "lm-alpha")
-        self.spent = [b, per]
-        b = b.hint("merge").join(per.select("w1", "div"), "w1")
-        return b.select("part", "w1", "w2", F.log10(self.discounted("c", self.d2) / F.col("div")).alias("p"), F.log10("p1").alias("p1")), per
-
-    def lookup(self, pairs: DataFrame, base: Column, n_parts: int, in_turn: Column) -> DataFrame:
-        """Of a turn's words and pairs: part, w1, w2 (null: the word itself), known, x (its base term or log10 P(w2 | w1)), y (log10 P(w1) or P(w2)), alpha; hot words in every part."""
-        pairs, alpha = self.after(pairs)
-        own = F.when(F.col("c") > 0, F.log10(self.discounted("c", self.d1) * self.scale)).otherwise(self.unknown)
-        words = self.words.select(F.col("w").alias("w1"), (F.col("c") > 0).alias("known"), base.alias("x"), own.alias("y"))
-        start = self.words.sparkSession.createDataFrame([(self.start_id, False, 0.0, 0.0)], "w1 long, known boolean, x double, y double")
-        words = words.unionByName(start).where(in_turn).hint("merge").join(alpha.select("w1", "alpha"), "w1", "left")
-        hot = F.col("w1").isin([self.start_id, *self.hot.view(np.int64).tolist()])
-
-        cols = ["w1", "known", "x", "y", "alpha"]
-        schema = "w1 long, known boolean, x double, y double, alpha double, part int"
-        cold = words.where(~hot).select(*cols).mapInArrow(_part_of(n_parts), schema)
-        spread = words.where(hot).select(*cols).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
-        own_rows = cold.unionByName(spread).select("part", "w1", F.lit(None).cast("long").alias("w2"), "known", "x", "y", "alpha")
-        pair_rows = pairs.select("part", "w1", "w2", F.lit(True).alias("known"), F.col("p").alias("x"), F.col("p1").alias("y"), F.lit(None).cast("double").alias("alpha"))
-        out = written(own_rows.unionByName(pair_rows), "lm-lookup")
-        forget(*self.spent)
-        return out
 
+def _answer(part, level, a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([level], pa.int64()), pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())], ["part", "x", "a", "b"])
 
-def _part_of(n_parts: int):
-    def run(batches):
-        for b in batches:
-            p = (mix(b.column(0).to_numpy().view(np.uint64)) % np.uint64(n_parts)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], [*b.schema.names, "part"])
 
-    return run
+def _answers(batches):
+    """For each part that asks: its words and their counts (level 1)."""
+    asked, words = [], []
+    for b in batches:
+        for i in range(b.num_rows):
+            if b.column(1)[i].as_py() == WANTED:
+                asked.append((b.column(2)[i].as_py(), *_cells(b, i, np.uint64)))
+            else:
+                words.append(_cells(b, i, np.uint64, np.int64))
+    w, c = (np.concatenate(x) for x in zip(*words, strict=True)) if words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for part, a in asked:
+        yield _answer(part, 1, a, _looked_up(w, c, a))
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """The value of each of a by its sorted key; zeros without one."""
+    if not len(keys):
+        return np.zeros((len(a), *values.shape[1:]), values.dtype)
+    at = np.minimum(np.searchsorted(keys, a), len(keys) - 1)
+    out = values[at]
+    out[keys[at] != a] = 0
+    return out
+
 
+def _sorted_answers(known: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """level -> (names, values): counts of words (1), sums of contexts (2 and more)."""
+    held: dict[int, list] = {}
+    for level, a, b in zip(known.column("x").to_pylist(), known.column("a"), known.column("b"), strict=True):
+        value = np.frombuffer(b.as_buffer(), np.int64 if level == 1 else np.float64)
+        held.setdefault(level, []).append((np.frombuffer(a.as_buffer(), np.uint64), value if level == 1 else value.reshape(-1, 3)))
+    out = {}
+    for level, rows in held.items():
+        a, b = (np.concatenate(x) for x in zip(*rows, strict=True))
+        order = np.argsort(a)
+        out[level] = a[order], b[order]
+    return out
 
-SUMS = "part int, ids binary, known binary, base binary, score binary"
 
+def _units(places: pa.Table, model: Model, known: pa.Table):
+    """(row, unit, counts of its words, sums of its contexts by level) of each unit of a part."""
+    answers = _sorted_answers(known)
+    rows = places.combine_chunks().to_batches()
+    for b in rows:
+        for i in range(b.num_rows):
+            unit = Unit(b, i)
+            totals = {}
+            if unit.spread:
+                totals = {k: _looked_up(*answers[k], unit.context_names(k)).T for k in range(2, model.order + 1) if k in answers}
+            yield b, i, unit, _looked_up(*answers.get(1, (np.zeros(0, np.uint64), np.zeros(0, np.int64))), unit.words), totals
+
+
+def _context_sums(model: Model, n_parts: int, level: int):
+    """What each context of the spread words adds up in this part at one level, for the part of the context."""
+
+    def run(places: pa.Table, known: pa.Table) -> pa.Table:
+        out = []
+        for b, i, unit, c, totals in _units(places, model, known):
+            part = b.column("part")[i].as_py()
+            names = unit.context_names(level)
+            sums = np.stack(model.evaluate(unit, model.words(c), totals, level), 1)
+            some = sums[:, 0] > 0
+            to = (mix(names) % np.uint64(n_parts)).astype(np.int32)
+            # contexts that training doesn't have here may be in other parts: they ask, too
+            out += [(p, part, names[s].tobytes(), np.where(some[s, None], sums[s], 0.0).tobytes()) for p, s in _by_part(to, n_parts)]
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        columns = zip(*out, strict=True) if out else [[]] * 4
+        return pa.table({n: pa.array(x, t) for n, x, t in zip(("part", "x", "a", "b"), columns, kinds, strict=True)})
+
+    return run
 
-def _summed(batches):
-    """A row for each document of a part, from packed sums."""
-    rows = [[np.frombuffer(x, t) for x, t in zip(r, ("<i8", "<i8", "<f8", "<f8"), strict=True)] for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True)]
-    if rows:
-        ids, known, base, score = (np.concatenate(x) for x in zip(*rows, strict=True))
-        names, at = np.unique(ids, return_inverse=True)
-        sums = [np.bincount(at, v, len(names)) for v in (known, base, score)]
-        for i in range(0, len(names), 65536):
-            s = slice(i, i + 65536)
-            yield pa.RecordBatch.from_arrays([pa.array(names[s]), pa.array(np.rint(sums[0][s]).astype(np.int64)), pa.array(sums[1][s]), pa.array(sums[2][s])], ["doc_id", "known", "base", "score"])
-
-
-def _packed(ids: np.ndarray, sums: np.ndarray, n_parts: int) -> pa.Table:
-    """Sums of known words, base terms and scores of documents, packed by a hash of the document."""
-    to = (mix(ids.view(np.uint64)) % np.uint64(n_parts)).astype(np.int32)
-    order = np.argsort(to, kind="stable")
-    ends = np.concatenate([[0], np.cumsum(np.bincount(to, minlength=n_parts))])
-    out = [(int(p), order[ends[p] : ends[p + 1]]) for p in np.flatnonzero(np.diff(ends))]
-    cells = {"ids": ids, "known": np.rint(sums[0]).astype(np.int64), "base": sums[1], "score": sums[2]}
-    return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), **{c: pa.array([v[s].tobytes() for _, s in out], pa.binary()) for c, v in cells.items()}})
-
-
-def _gain_sums(n_parts: int, d: dict[int, float], whole: list[tuple]):
-    """For each document of a part: what longer contexts add to the log10 probabilities by shorter ones.
-
-    whole has the counts, discounted counts and shorter contexts' probabilities of contexts that are in several parts.
-    """
-    hot = np.array([r[0] for r in whole], np.int64).view(np.uint64)
-    hot_sums = np.array([r[1:] for r in whole], np.float64).reshape(-1, 3)
-
-    def run(places: pa.Table, found: pa.Table) -> pa.Table:
-        if not places.num_rows:
-            return _packed(np.zeros(0, np.int64), np.zeros((3, 0)), n_parts)
-        w1, w2 = (found.column(c).to_numpy().view(np.uint64) for c in ("w1", "w2"))
-        order = np.lexsort((w2, w1))
-        w1, c, p = w1[order], found.column("c").to_numpy()[order].astype(np.float64), found.column("p").to_numpy()[order]
-        less = c.copy()
-        for r, x in d.items():
-            less[c == r] = r * x
-        first = np.flatnonzero(np.concatenate([[True], w1[1:] != w1[:-1]])) if len(w1) else np.zeros(0, np.int64)
-        sums = np.stack([np.add.reduceat(v, first) for v in (c, less, 10.0**p)], 1) if len(w1) else np.zeros((0, 3))
-        own = ~np.isin(w1[first], hot)
-        key, sums = np.concatenate([w1[first][own], hot]), np.concatenate([sums[own], hot_sums])
-        by = np.argsort(key)
-        key, (n, mass, below) = key[by], sums[by].T
-        div = np.where(1 - mass / n < 1e-9, mass + 1, n)
-        alpha = np.log10(np.maximum((1 - mass / div) / np.maximum(1 - below, 1e-12), 1e-300))
-        gain = np.concatenate([[0.0], np.log10(less / div[np.searchsorted(key, w1)]) - p])
-        cells = [places.column(c).combine_chunks() for c in "abcd"]
-        ids = np.frombuffer(max((v.as_py() for v in cells[0]), key=len), np.int64)
-        score = np.zeros(len(ids))
-        for k in range(places.num_rows):
-            ctx, doc, code = (np.frombuffer(cells[c][k].as_py(), t) for c, t in ((1, np.uint64), (2, "<u4"), (3, "<i4")))
-            ctx, times = ctx[: len(ctx) // 2], ctx[len(ctx) // 2 :].astype(np.int64)
-            back = np.zeros(len(ctx))
-            if len(key):
-                at = np.minimum(np.searchsorted(key, ctx), len(key) - 1)
-                back = np.where(key[at] == ctx, alpha[at], 0.0)
-            score += np.bincount(doc, np.where(code > 0, gain[code], np.repeat(back, times)), len(ids))
-        return _packed(ids, np.stack([np.zeros(len(ids)), np.zeros(len(ids)), score]), n_parts)
+
+def _totals(level: int):
+    """The sums over all parts, for each part that has the context."""
+
+    def run(batches):
+        rows = [(b.column(1)[i].as_py(), *_cells(b, i, np.uint64, np.float64)) for b in batches for i in range(b.num_rows)]
+        if not rows:
+            return
+        rows.sort(key=lambda r: r[0])  # the same sums in every run
+        names, of = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
+        each = np.concatenate([r[2].reshape(-1, 3) for r in rows])
+        sums = np.stack([np.bincount(of, v, len(names)) for v in each.T], 1)
+        for part, a, _ in rows:
+            yield _answer(part, level, a, np.ascontiguousarray(_looked_up(names, sums, a)))
 
     return run
 
 
-def _place_sums(n_parts: int):
-    """For each document of a part: known words, base terms, and log10 probabilities but for P(end); packed by a hash of the document."""
-
-    def run(places: pa.Table, lookup: pa.Table) -> pa.Table:
-        if not places.num_rows:
-            return pa.table({c: pa.array([], pa.int32() if c == "part" else pa.binary()) for c in ("part", "ids", "known", "base", "score")})
-        col = lambda c: lookup.column(c).to_numpy()
-        w1, x, y, alpha, known = col("w1").view(np.uint64), col("x"), col("y"), np.nan_to_num(col("alpha").astype(np.float64)), col("known").astype(bool)
-        pairs = ~lookup.column("w2").combine_chunks().is_null().to_numpy(zero_copy_only=False) if lookup.num_rows else np.zeros(0, bool)
-        w2 = lookup.column("w2").fill_null(0).to_numpy().view(np.uint64)
-        own, two = np.flatnonzero(~pairs), np.flatnonzero(pairs)
-        own = own[np.argsort(w1[own], kind="stable")]
-        two = two[np.lexsort((w2[two], w1[two]))]
-        two = (x[two] - y[two]) if len(two) else np.zeros(0)
-        gain = np.concatenate([[0.0], two])
-        cells = [places.column(c).combine_chunks() for c in "abcd"]
-        ids = np.frombuffer(max((v.as_py() for v in cells[0]), key=len), np.int64)
-        sums = np.zeros((3, len(ids)))
-        for k in range(places.num_rows):
-            ctx, doc, code = (np.frombuffer(cells[c][k].as_py(), t) for c, t in ((1, np.uint64), (2, "<u4"), (3, "<i4")))
-            ctx, n = ctx[: len(ctx) // 2], ctx[len(ctx) // 2 :].astype(np.int64)
-            at = np.repeat(own[np.searchsorted(w1[own], ctx)], n)
-            score = y[at] + np.where(code > 0, gain[code], alpha[at])
-            for row, v in zip(sums, (known[at].astype(float), x[at], score), strict=True):
-                row += np.bincount(doc, v, len(ids))
-        return _packed(ids, sums, n_parts)
+def _document_sums(model: Model, n_parts: int):
+    """For each document of a part: its ends, places, known tokens, base terms and log10 probabilities, for the part of the document."""
+
+    def run(places: pa.Table, known: pa.Table) -> pa.Table:
+        out = []
+        for b, i, unit, c, totals in _units(places, model, known):
+            p = np.log10(model.evaluate(unit, model.words(c), totals, 0))
+            ids, of = np.frombuffer(b.column("a")[i].as_buffer(), np.int64), np.frombuffer(b.column("b")[i].as_buffer(), "<u4")
+            runs, doc = of[1 : 1 + of[0]].astype(np.int64), of[1 + of[0] :]
+            w = unit.tokens()
+            each = ((unit.words == END)[w], np.ones(len(w)), (c > 0)[w], model.base(c)[w], p)
+            used = np.flatnonzero(np.bincount(doc, minlength=len(ids)))
+            sums = np.stack([np.bincount(doc, np.repeat(v, runs), len(ids))[used] for v in each], 1)
+            to = (mix(ids[used].view(np.uint64)) % np.uint64(n_parts)).astype(np.int32)
+            out += [(q, ids[used[s]].tobytes(), sums[s].tobytes()) for q, s in _by_part(to, n_parts)]
+        columns = zip(*out, strict=True) if out else [[]] * 3
+        return pa.table({n: pa.array(x, t) for n, x, t in zip(("part", "a", "b"), columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)})
 
     return run
 
+
+def _documents(batches):
+    """A row for each document of a part, from packed sums."""
+    rows = [_cells(b, i, np.int64, np.float64) for b in batches for i in range(b.num_rows)]
+    if not rows:
+        return
+    ids, of = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
+    each = np.concatenate([r[1].reshape(-1, 5) for r in rows])
+    same, n, known, base, total = (np.bincount(of, v, len(ids)) for v in each.T)
+    columns = [ids, np.rint(same).astype(np.int64), np.rint(n / same).astype(np.int64), np.rint(known / same).astype(np.int64), base / same, total / same]
+    for i in range(0, len(ids), 65536):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 65536]) for c in columns], ["doc_id", "same", "n_tokens", "n_known", "base_score", "score"])
