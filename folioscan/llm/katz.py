@@ -8,7 +8,8 @@ alpha(u v) P(w | v), or P(w | v) after a context that training doesn't have. A t
 1. Words are counted, in parts by a hash of the word.
 2. Every place of a text (a token with the words before it) goes to the part of the word just before it, so that all n-grams that
    end in one pair, and all contexts that end in one word, are in one part. Places travel as indexes into the words of their block.
-   A part numbers its n-grams and contexts, counts them, and keeps its places by n-gram: this is the table of the model.
+   A part numbers its n-grams and contexts, counts them, and keeps its places by n-gram: this is the table of the model. This is
+   done in `ROUNDS` turns, each for other words before the place.
 3. Parts ask the parts of the words for their words' counts.
 4. A frequent word's places are dealt to many parts by the token after it. Its n-grams still are in one part each; what a context
    adds up over its n-grams is summed over the parts that have it, level by level.
@@ -17,6 +18,8 @@ alpha(u v) P(w | v), or P(w | v) after a context that training doesn't have. A t
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +32,9 @@ from .text import batch_words, mix
 DISCOUNTED, SHARE = 5, 2
 #: Words of a block and of a part; at most some 3 * MOST_SPREAD words are spread (8 bytes each are sent to the tasks).
 BLOCK_WORDS, PART_WORDS, MOST_SPREAD = 4_000_000, 3_000_000, 300_000
+#: Words before a place are taken in so many turns, each of which reads the texts, so that shuffle files are a part of the model at once; in fewer
+#: where a turn would have under ROUND_WORDS words.
+ROUNDS, ROUND_WORDS = 3, 2_000_000
 #: Bytes that a word is taken to have when parts are planned, with the space after it.
 WORD_BYTES = 6
 STEP, START, END, PAD = (np.uint64(x) for x in (0x4E2D6772616D, 0x5354415254, 0x454E44, 0x504144))
@@ -89,26 +95,33 @@ def score(docs: DataFrame, held_out_of: int = 10, order: int = 3) -> DataFrame:
     words = written(texts.mapInArrow(_deal_words(n_parts), TABLE).repartitionById(n_parts, F.col("part")).mapInArrow(_count_words(often), TABLE), "lm-words")
     release(spark)
     spread = np.sort(np.array([START.view(np.int64), *(r.x for r in words.where(F.col("kind") == OFTEN).select("x").collect())], np.int64).view(np.uint64))
-    counted = written(texts.mapInArrow(_deal(spread, n_parts, order), TABLE).repartitionById(n_parts, F.col("part")).mapInArrow(_count(n_parts, order, spread), TABLE), "lm-places")
-    release(spark)
-    found = words.unionByName(counted).where(F.col("kind") == FIGURES).groupBy("part", "x").agg(F.sum("n").alias("n")).collect()
+    rounds, turns = min(ROUNDS, 1 + planned // ROUND_WORDS), []
+    for turn in range(rounds):
+        dealt = texts.mapInArrow(_deal(spread, n_parts, order, rounds, turn), TABLE).repartitionById(n_parts, F.col("part"))
+        turns.append(written(dealt.mapInArrow(_count(n_parts, order, spread), TABLE), "lm-places"))
+        release(spark)
+    found = reduce(DataFrame.unionByName, [words, *turns]).where(F.col("kind") == FIGURES).groupBy("part", "x").agg(F.sum("n").alias("n")).collect()
     model = Model({(r.part, r.x): r.n for r in found}, order)
 
-    asked = counted.where(F.col("kind") == WANTED).unionByName(words.where(F.col("kind") == WORDS))
-    known = written(asked.select("part", "kind", "x", "a", "b").repartitionById(n_parts, F.col("part")).mapInArrow(_answers, ANSWERS), "lm-known")
-    forget(words)
-    for level in range(2, order + 1):
-        units = counted.where(F.col("kind") == SPREAD).select("part", "c", "d", "e", "f")
-        sums = units.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_context_sums(model, n_parts, level), ANSWERS)
-        more = written(sums.repartitionById(n_parts, F.col("part")).mapInArrow(_totals(level), ANSWERS), "lm-contexts")
-        both = written(known.unionByName(more), "lm-known")
-        forget(known, more)
-        known = both
+    def evaluated(counted):
+        asked = counted.where(F.col("kind") == WANTED).unionByName(words.where(F.col("kind") == WORDS))
+        known = [written(asked.select("part", "kind", "x", "a", "b").repartitionById(n_parts, F.col("part")).mapInArrow(_answers, ANSWERS), "lm-known")]
+        so_far = lambda: reduce(DataFrame.unionByName, known).groupBy("part")
+        units = counted.where(F.col("kind") == SPREAD).select("part", "c", "d", "e", "f").groupBy("part")
+        for level in range(2, order + 1):
+            sums = units.cogroup(so_far()).applyInArrow(_context_sums(model, n_parts, level), ANSWERS)
+            known.append(written(sums.repartitionById(n_parts, F.col("part")).mapInArrow(_totals(level), ANSWERS), "lm-contexts"))
+            release(spark)
+        units = counted.where(F.col("kind").isin(PLACES, SPREAD)).select("part", *"abcdef").groupBy("part")
+        out = written(units.cogroup(so_far()).applyInArrow(_document_sums(model, n_parts), PACKED), "lm-sums")
+        forget(counted, *known)
         release(spark)
-    units = counted.where(F.col("kind").isin(PLACES, SPREAD)).select("part", *"abcdef")
-    parts = units.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_document_sums(model, n_parts), PACKED)
-    out = written(parts.repartitionById(n_parts, F.col("part")).mapInArrow(_documents, "doc_id long, same long, n_tokens long, n_known long, base_score double, score double"), "lm-scores")
-    forget(counted, known)
+        return out
+
+    parts = [evaluated(counted) for counted in turns]
+    sums = reduce(DataFrame.unionByName, parts).repartitionById(n_parts, F.col("part"))
+    out = written(sums.mapInArrow(_documents, "doc_id long, same long, n_tokens long, n_known long, base_score double, score double"), "lm-scores")
+    forget(words, *parts)
     release(spark)
     if renumbered:
         out = out.hint("merge").join(rows.select("doc_id", "id").distinct().hint("merge"), "doc_id")
@@ -158,6 +171,16 @@ class Model:
         return p
 
 
+def _planes(a: np.ndarray) -> np.ndarray:
+    """An array with the first bytes of all values first, which compresses better."""
+    return np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T)
+
+
+def _unplaned(data, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
 def _figures(level: int, c: np.ndarray):
     """How many types are seen r times; with r = 0 for all types seen, and -1 for their tokens."""
     few = np.bincount(c[c <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)
@@ -218,8 +241,8 @@ def _count_words(often: int):
     return run
 
 
-def _deal(spread: np.ndarray, n_parts: int, order: int):
-    """Blocks of places for each part: documents, training flags, words, each place's token and the words before it, documents again."""
+def _deal(spread: np.ndarray, n_parts: int, order: int, rounds: int, turn: int):
+    """Blocks of a turn's places for each part: documents, training flags, words, each place's token and the words before it, documents again."""
 
     def places(b: pa.RecordBatch):
         """Each place's document, token and order - 1 words before it, the nearest first."""
@@ -233,6 +256,7 @@ def _deal(spread: np.ndarray, n_parts: int, order: int):
         seq[at + order - 2], seq[last] = START, END
         seq[(pos >= order - 1) & ~last] = h
         token = np.flatnonzero(pos >= order - 1)
+        token = token[mix(seq[token - 1]) // np.uint64(n_parts) % np.uint64(rounds) == np.uint64(turn)]
         return doc[token], [seq[token - k] for k in range(order)]
 
     def deal(held):
@@ -246,8 +270,8 @@ def _deal(spread: np.ndarray, n_parts: int, order: int):
         for p, s in _by_part(part, n_parts):
             words, at = np.unique(np.stack([c[s] for c in columns]), return_inverse=True)
             used, local = np.unique(doc[s], return_inverse=True)
-            small = lambda a, n: a.astype("<u2" if n <= 1 << 16 else "<u4")
-            yield _row(p, PLACES, None, len(s), ids[used], train[used], words, small(at.ravel(), len(words)), small(local, len(used)))
+            next_one = np.packbits(np.diff(local, prepend=0).astype(bool))  # documents come in order
+            yield _row(p, PLACES, None, len(s), ids[used], train[used], _planes(np.diff(words, prepend=np.uint64(0))), _planes(at.ravel().astype("<u4")), next_one)
 
     def run(batches):
         held, size = [], 0
@@ -279,7 +303,7 @@ class Unit:
 
     def __init__(self, row: pa.RecordBatch, i: int):
         cell = lambda c, t: np.frombuffer(row.column(c)[i].as_buffer(), t)
-        self.words, meta, flat, self.names = cell("c", np.uint64), cell("d", "<i8").tolist(), cell("e", "<u4"), cell("f", np.uint64)
+        self.words, meta, flat, self.names = cell("c", np.uint64), cell("d", "<i8").tolist(), _unplaned(cell("e", np.uint8), "<u4"), cell("f", np.uint64)
         self.spread, self.grams, self.contexts = bool(meta[0]), [], meta[2::2]
         at = 0
         for n in meta[1::2]:
@@ -306,7 +330,8 @@ def _count(n_parts: int, order: int, spread: np.ndarray):
         """Rows of the places of one kind."""
         n_words = len(words)
         gram, by, begin = _numbered(at[1] * n_words + at[0])
-        parent = at[0][by[begin]]
+        tokens, parent = np.unique(at[0][by[begin]], return_inverse=True)
+        tokens = words[tokens]
         context, first, start = _numbered(at[1][by[begin]])
         name = words[at[1][by[begin]][first[start]]]
         meta, flat, names, counts = [int(kind == SPREAD)], [], [], []
@@ -328,7 +353,8 @@ def _count(n_parts: int, order: int, spread: np.ndarray):
             names.append(name)
         runs = np.diff(np.append(begin, len(gram)))
         of = doc[by]
-        cells = [ids, np.concatenate([[len(runs)], runs, of]).astype("<u4"), words, np.array(meta, "<i8"), np.concatenate(flat), np.concatenate(names) if kind == SPREAD else words[:0]]
+        of = np.concatenate([[len(runs)], runs, of]).astype("<u4")
+        cells = [ids, _planes(of), tokens, np.array(meta, "<i8"), _planes(np.concatenate(flat)), np.concatenate(names) if kind == SPREAD else words[:0]]
         yield _row(part, kind, None, None, *cells)
         for level, c in counts:
             yield from _figures(level, c)
@@ -338,10 +364,10 @@ def _count(n_parts: int, order: int, spread: np.ndarray):
         for b in batches:
             for i in range(b.num_rows):
                 part, n = b.column(0)[i].as_py(), b.column(3)[i].as_py()
-                ids, train, words = _cells(b, i, np.int64, bool, np.uint64)
-                at, doc = b.column(7)[i].as_buffer(), b.column(8)[i].as_buffer()
-                at = np.frombuffer(at, "<u2" if at.size == 2 * n * order else "<u4").reshape(order, n)
-                doc = np.frombuffer(doc, "<u2" if doc.size == 2 * n else "<u4").astype(np.int64)
+                ids, train, words, at, doc = _cells(b, i, np.int64, bool, np.uint8, np.uint8, np.uint8)
+                words = np.cumsum(_unplaned(words, np.uint64), dtype=np.uint64)
+                at = _unplaned(at, "<u4").reshape(order, n)
+                doc = np.cumsum(np.unpackbits(doc, count=n), dtype=np.int64)
                 held.append((ids, train[doc], words, at, doc + n_docs))
                 n_docs += len(ids)
         if part is None:
@@ -464,7 +490,7 @@ def _document_sums(model: Model, n_parts: int):
         out = []
         for b, i, unit, c, totals in _units(places, model, known):
             p = np.log10(model.evaluate(unit, model.words(c), totals, 0))
-            ids, of = np.frombuffer(b.column("a")[i].as_buffer(), np.int64), np.frombuffer(b.column("b")[i].as_buffer(), "<u4")
+            ids, of = np.frombuffer(b.column("a")[i].as_buffer(), np.int64), _unplaned(b.column("b")[i].as_buffer(), "<u4")
             runs, doc = of[1 : 1 + of[0]].astype(np.int64), of[1 + of[0] :]
             w = unit.tokens()
             each = ((unit.words == END)[w], np.ones(len(w)), (c > 0)[w], model.base(c)[w], p)
