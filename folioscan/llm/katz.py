@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import forget, parts_for, prepare, release, remainder, told_apart, written
+from .store import forget, prepare, release, remainder, told_apart, written
 from .text import batch_words, mix
 
 #: Counts up to this are discounted. A word is spread if it has more than 1 / SHARE of a part's words.
 DISCOUNTED, SHARE = 5, 2
-#: Words of a block and of a part; at most some 3 * MOST_SPREAD words are spread (8 bytes each are sent to the tasks).
-BLOCK_WORDS, PART_WORDS, MOST_SPREAD = 4_000_000, 3_000_000, 300_000
+#: Words of a block and of a part, and the least parts. Parts write to each other, so their number follows the data alone. At most some 3 * MOST_SPREAD words are spread (8 bytes each are sent to the tasks).
+BLOCK_WORDS, PART_WORDS, LEAST_PARTS, MOST_SPREAD = 4_000_000, 3_000_000, 8, 300_000
 #: Words before a place are taken in so many turns, each of which reads the texts, so that shuffle files are a part of the model at once; in fewer
 #: where a turn would have under ROUND_WORDS words.
 ROUNDS, ROUND_WORDS = 3, 2_000_000
@@ -89,7 +89,7 @@ def score(docs: DataFrame, held_out_of: int = 10, order: int = 3) -> DataFrame:
     own_id = F.when(F.col("id") != F.lit(NO_ID), F.col("id"))
     texts = rows.select("doc_id", own_id.alias("id"), "text").select("doc_id", "text", (remainder("id", held_out_of) != 0).alias("train"))
     planned = int(docs.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]) // WORD_BYTES
-    n_parts = parts_for(spark, planned, PART_WORDS)
+    n_parts = max(LEAST_PARTS, -(-planned // PART_WORDS))
     often = max(planned // (n_parts * SHARE), planned // MOST_SPREAD, 1)
 
     words = written(texts.mapInArrow(_deal_words(n_parts), TABLE).repartitionById(n_parts, F.col("part")).mapInArrow(_count_words(often), TABLE), "lm-words")

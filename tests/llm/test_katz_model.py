@@ -69,5 +69,7 @@ def test_spread_contexts_give_the_same_scores(spark, monkeypatch):
     monkeypatch.setattr(katz, "SHARE", 1)
     one = {r.doc_id: r.score for r in katz.score(docs).collect()}
     monkeypatch.setattr(katz, "SHARE", 20)
+    monkeypatch.setattr(katz, "PART_WORDS", 30)
+    monkeypatch.setattr(katz, "ROUND_WORDS", 100)
     many = {r.doc_id: r.score for r in katz.score(docs).collect()}
     assert one.keys() == many.keys() and all(abs(one[i] - many[i]) < 1e-6 for i in one)
