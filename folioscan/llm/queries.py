@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, huffman, katz, language, mixing, ngram_join, packing, quality, substring_dedup
+from . import alignment, embedding_dedup, huffman, katz, language, mixing, ngram_join, packing, quality, substring_dedup
 from .exact_dedup import exact_dedup
 from .store import remainder
 
@@ -74,6 +74,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 def queries() -> dict:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -86,6 +90,7 @@ def queries() -> dict:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_katz_scores": op9_katz_scores,
         "op10_quality_classifier": op10_quality_classifier,
+        "op12_token_alignment": op12_token_alignment,
         "pipeline": pipeline,
     }
 
