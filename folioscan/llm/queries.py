@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, embedding_dedup, huffman, katz, language, mixing, ngram_join, packing, quality, substring_dedup
+from . import alignment, embedding_dedup, huffman, katz, language, mixing, ngram_join, packing, quality, spelling, substring_dedup
 from .exact_dedup import exact_dedup
 from .store import remainder
 
@@ -74,6 +74,46 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(table(spark, sf_dir, "documents"))
+
+
+OP11 = """
+WITH RECURSIVE bits(i, c, k) AS (
+  SELECT i, i, 0 FROM range(256) t(i)
+  UNION ALL
+  SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS (
+  SELECT doc_id, w, count(*) AS m
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents)
+  GROUP BY doc_id, w),
+letters AS (SELECT w, m, list_transform(regexp_extract_all(concat(doc_id, ':', w), '.'), lambda x: unicode(x)) AS u FROM runs),
+bytes AS (SELECT w, m, flatten(list_transform(u, lambda x: CASE WHEN x < 128 THEN [x::BIGINT] ELSE [192 + (x >> 6), 128 + x % 64] END)) AS b FROM letters),
+hashed AS (SELECT w, m, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, x: xor(a >> 8, t[xor(a, x) % 256 + 1])), 4294967295) AS h FROM bytes, crc),
+spelled AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, m FROM hashed),
+words AS (SELECT word, sum(m)::BIGINT AS n FROM spelled WHERE length(word) >= 5 GROUP BY word HAVING sum(m) >= 3),
+shorter AS (SELECT word, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM words)),
+near AS (
+  SELECT a.word, b.word AS other FROM shorter a JOIN shorter b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM shorter a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word FROM shorter a JOIN words b ON a.rest = b.word),
+ranked AS (
+  SELECT near.word, other, o.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+         row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) AS r
+  FROM near JOIN words o ON o.word = near.other),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form, CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN ranked ON ranked.word = w.word AND r = 1),
+chain(word, top) AS (
+  SELECT word, word FROM forms
+  UNION ALL
+  SELECT chain.word, forms.form FROM chain JOIN forms ON forms.word = chain.top WHERE forms.form IS NOT NULL)
+SELECT f.word, f.form, c.top AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN chain c ON c.word = f.word JOIN forms e ON e.word = c.top WHERE e.form IS NULL
+"""
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("groups", "groups_sha256")
 
@@ -90,10 +130,11 @@ def queries() -> dict:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_katz_scores": op9_katz_scores,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_spelling_variants": op11_spelling_variants,
         "op12_token_alignment": op12_token_alignment,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4}
+    return {"op4_exact_dedup": OP4, "op11_spelling_variants": OP11}
