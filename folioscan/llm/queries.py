@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, embedding_dedup, huffman, katz, language, mixing, ngram_join, packing, quality, spelling, substring_dedup
+from . import alignment, embedding_dedup, huffman, katz, language, mixing, ngram_join, packing, pii, quality, spelling, substring_dedup
 from .exact_dedup import exact_dedup
 from .store import remainder
 
@@ -118,6 +118,11 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("groups", "groups_sha256")
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.counts(pii.find(docs, pii.fit(docs)))
+
+
 def queries() -> dict:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -132,6 +137,7 @@ def queries() -> dict:
         "op10_quality_classifier": op10_quality_classifier,
         "op11_spelling_variants": op11_spelling_variants,
         "op12_token_alignment": op12_token_alignment,
+        "op13_personal_data": op13_personal_data,
         "pipeline": pipeline,
     }
 
