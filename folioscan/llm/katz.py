@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import forget, prepare, release, remainder, told_apart, written
+from .store import bucketed, forget, prepare, release, remainder, told_apart, written
 from .text import batch_words, mix
 
 #: Counts up to this are discounted. A word is spread if it has more than 1 / SHARE of a part's words.
@@ -98,21 +98,22 @@ def score(docs: DataFrame, held_out_of: int = 10, order: int = 3) -> DataFrame:
     rounds, turns = min(ROUNDS, 1 + planned // ROUND_WORDS), []
     for turn in range(rounds):
         dealt = texts.mapInArrow(_deal(spread, n_parts, order, rounds, turn), TABLE).repartitionById(n_parts, F.col("part"))
-        turns.append(written(dealt.mapInArrow(_count(n_parts, order, spread), TABLE), "lm-places"))
+        turns.append(bucketed(dealt.mapInArrow(_count(n_parts, order, spread), f"{TABLE}, home int"), "lm-places", "home", n_parts))
         release(spark)
-    found = reduce(DataFrame.unionByName, [words, *turns]).where(F.col("kind") == FIGURES).groupBy("part", "x").agg(F.sum("n").alias("n")).collect()
+    found = reduce(DataFrame.unionByName, [t.select("part", "kind", "x", "n") for t in (words, *turns)]).where(F.col("kind") == FIGURES).groupBy("part", "x").agg(F.sum("n").alias("n")).collect()
     model = Model({(r.part, r.x): r.n for r in found}, order)
 
     def evaluated(counted):
-        asked = counted.where(F.col("kind") == WANTED).unionByName(words.where(F.col("kind") == WORDS))
-        known = [written(asked.select("part", "kind", "x", "a", "b").repartitionById(n_parts, F.col("part")).mapInArrow(_answers, ANSWERS), "lm-known")]
+        slim = ["part", "kind", "x", "a", "b"]
+        asked = counted.where(F.col("kind") == WANTED).select(slim).unionByName(words.where(F.col("kind") == WORDS).select(slim))
+        known = [written(asked.repartitionById(n_parts, F.col("part")).mapInArrow(_answers, ANSWERS), "lm-known")]
         so_far = lambda: reduce(DataFrame.unionByName, known).groupBy("part")
-        units = counted.where(F.col("kind") == SPREAD).select("part", "c", "d", "e", "f").groupBy("part")
+        units = counted.where(F.col("kind") == SPREAD).select("home", "c", "d", "e", "f").groupBy("home")
         for level in range(2, order + 1):
             sums = units.cogroup(so_far()).applyInArrow(_context_sums(model, n_parts, level), ANSWERS)
             known.append(written(sums.repartitionById(n_parts, F.col("part")).mapInArrow(_totals(level), ANSWERS), "lm-contexts"))
             release(spark)
-        units = counted.where(F.col("kind").isin(PLACES, SPREAD)).select("part", *"abcdef").groupBy("part")
+        units = counted.where(F.col("kind").isin(PLACES, SPREAD)).select("home", *"abcdef").groupBy("home")
         out = written(units.cogroup(so_far()).applyInArrow(_document_sums(model, n_parts), PACKED), "lm-sums")
         forget(counted, *known)
         release(spark)
@@ -359,7 +360,7 @@ def _count(n_parts: int, order: int, spread: np.ndarray):
         for level, c in counts:
             yield from _figures(level, c)
 
-    def run(batches):
+    def counted(batches, home):
         held, n_docs, part = [], 0, None
         for b in batches:
             for i in range(b.num_rows):
@@ -372,6 +373,7 @@ def _count(n_parts: int, order: int, spread: np.ndarray):
                 n_docs += len(ids)
         if part is None:
             return
+        home.append(part)
         ids, train, doc = (np.concatenate([x[k] for x in held]) for k in (0, 1, 4))
         words = np.unique(np.concatenate([x[2] for x in held]))
         at = np.concatenate([np.searchsorted(words, x[2])[x[3]] for x in held], axis=1)
@@ -384,6 +386,11 @@ def _count(n_parts: int, order: int, spread: np.ndarray):
         for p, s in _by_part(_word_part(wanted, n_parts), n_parts):
             yield _row(p, WANTED, part, None, wanted[s])
 
+    def run(batches):
+        home: list[int] = []
+        for b in counted(batches, home):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home, pa.int32())], [*NAMES, "home"])
+
     return run
 
 
@@ -452,7 +459,7 @@ def _context_sums(model: Model, n_parts: int, level: int):
     def run(places: pa.Table, known: pa.Table) -> pa.Table:
         out = []
         for b, i, unit, c, totals in _units(places, model, known):
-            part = b.column("part")[i].as_py()
+            part = b.column("home")[i].as_py()
             names = unit.context_names(level)
             sums = np.stack(model.evaluate(unit, model.words(c), totals, level), 1)
             some = sums[:, 0] > 0

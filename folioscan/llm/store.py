@@ -52,9 +52,23 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return back
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As written(), in buckets by key: grouping or cogrouping by it reads them where they are, without a shuffle.
+
+    Rows of a key should be in one task already, so that each task writes a file for few buckets.
+    """
+    path, table = new_path(df.sparkSession, name), f"folioscan_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).format("parquet").option("path", path).option("compression", "zstd").saveAsTable(table)
+    back = df.sparkSession.table(table)
+    back._folioscan_path, back._folioscan_table = path, table
+    return back
+
+
 def forget(*tables: DataFrame) -> None:
-    """Delete tables of written() that no later plan reads."""
+    """Delete tables of written() and bucketed() that no later plan reads."""
     for t in tables:
+        if table := getattr(t, "_folioscan_table", None):
+            t.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
         if path := getattr(t, "_folioscan_path", None):
             jvm = t.sparkSession._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
