@@ -28,7 +28,7 @@ from .text import text_bytes
 from .tokens import slices, tokenizer_path
 
 #: Bytes of text that are aligned at a time (a longer text alone), and of distinct units that a Python worker remembers.
-BATCH_TEXT, KEEP_BYTES = 4 << 20, 24 << 20
+BATCH_TEXT, KEEP_BYTES = 2 << 20, 12 << 20
 #: Bytes after which a space or a line feed begins a new unit: printable ASCII here, Latin letters of two bytes below.
 PLAIN, BREAK, CUT, ALPHA = (np.zeros(256, bool) for _ in range(4))
 PLAIN[33:127] = True
