@@ -20,16 +20,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import Forest, components
+from .graph import components, smallest_reached
 from .store import prepare, written
 
 TILE, GRID, LEAD = 2048, 3, 12
 
 
-def _matrix(col: pa.Array, dims: int) -> np.ndarray:
+def _plain(col: pa.Array, dims: int) -> np.ndarray:
     return np.asarray(col.flatten(), np.float64).reshape(-1, dims)
 
 
+def _matrix(col: pa.Array, dims: int) -> np.ndarray:
+    """The vectors of a column, each times a power of two that keeps its squares in range; that changes no digit of a cosine."""
+    x = _plain(col, dims)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=1e-300))[1][:, None]) if len(x) else x
+
+
 def principal_axes(vectors: DataFrame, dims: int) -> np.ndarray:
     """Axes (columns) by falling variance of the unit vectors v; one dims x dims matrix of sums reaches the driver."""
 
@@ -54,7 +60,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "vec
 
     Rows are compared when their labels are equal and not null. Null vectors, empty or zero ones and such with null or
     non-finite components link with nothing, nor do vectors of different lengths. Rows that share a vec_id count as
-    rows; an empty table gives an empty result.
+    rows of their own, and so do rows without one: their component has the smallest vec_id of its other rows, null if it has
+    none, and they are kept in that case only. An empty table gives an empty result; other columns are not read.
     """
     spark = prepare(vectors.sparkSession)
     v = F.col(vector).cast("array<double>")
@@ -63,22 +70,26 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "vec
     zero = F.transform("v", lambda x: x + F.lit(0.0))  # -0.0 and 0.0 are equal
     rows = rows.withColumn("v", F.when(F.col("fine"), zero)).withColumn("fine", F.col("fine") & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False)))
     rows = written(rows.withColumn("digest", F.when(F.col("fine"), F.sha2(F.to_json(F.struct("v")).cast("binary"), 256))), "vectors")
-    classes = rows.where("fine").groupBy("label", "digest").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
-    classes = written(classes, "vector-classes")
+    classes = rows.where("fine").groupBy("label", "digest").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "vector-classes")
     links = None
     for dims in [r.d for r in classes.select(F.size("v").alias("d")).distinct().collect()]:
         found = _links(classes.where(F.size("v") == dims), dims, threshold)
         links = found if links is None else links.unionByName(found)
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull())
     if links is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+        return alone.withColumn("kept", F.lit(True))
     links = written(links, "vector-links")
     near = links.where("n > 0").groupBy("id").agg(F.sum("n").alias("near"))
     comp = components(links.where("n = 0").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    by_class = classes.select("label", "digest", "id", "n").hint("merge").join(near, "id", "left").hint("merge").join(comp, "id", "left")
-    by_class = written(by_class.select("label", "digest", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "vector-marks")
-    out = rows.select("vec_id", "label", "digest").hint("merge").join(by_class, ["label", "digest"], "left")
-    comp_id = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), F.coalesce(F.col("vec_id") == comp_id, F.lit(True)).alias("kept"))
+    by_class = classes.select("label", "digest", "id", "least", "n").hint("merge").join(near, "id", "left").hint("merge").join(comp, "id", "left")
+    by_class = written(by_class.select("label", "digest", "least", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component")), "vector-marks")
+    named = by_class.groupBy("component").agg(F.min("least").alias("component_id"))
+    marks = by_class.drop("least").hint("merge").join(named, "component")
+    out = rows.select("vec_id", "label", "digest").hint("merge").join(marks, ["label", "digest"], "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("component").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.withColumn("kept", kept)
 
 
 def _links(classes: DataFrame, dims: int, threshold: float) -> DataFrame:
@@ -119,7 +130,7 @@ def _links(classes: DataFrame, dims: int, threshold: float) -> DataFrame:
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         side, ids, n = (table.column(c).to_numpy() for c in ("side", "id", "n"))
-        v, y = (_matrix(table.column(c).combine_chunks(), dims) for c in ("v", "y"))
+        v, y = _matrix(table.column("v").combine_chunks(), dims), _plain(table.column("y").combine_chunks(), dims)
         order = np.lexsort((ids, side))
         side, ids, n, v, y = side[order], ids[order], n[order], v[order], y[order]
         cut = len(side) if len(side) and side[0] == 2 else int((side == 0).sum())
@@ -129,10 +140,10 @@ def _links(classes: DataFrame, dims: int, threshold: float) -> DataFrame:
         if left == right:
             i, j = i[i < j], j[i < j]
         near = np.bincount(i, n[j], len(ids)) + np.bincount(j, n[i], len(ids))
-        forest = Forest(len(ids))
-        edges = [(int(ids[a]), int(ids[b]), 0) for a, b in zip(i.tolist(), j.tolist(), strict=True) if forest.join(a, b)]
-        rows = [(int(ids[k]), int(ids[k]), int(near[k])) for k in np.flatnonzero(near)] + edges
-        return pa.table({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(("id", "other", "n"))})
+        low = smallest_reached(len(ids), i, j)  # a star for each group of links has the same components
+        moved, some = np.flatnonzero(low != np.arange(len(ids))), np.flatnonzero(near)
+        columns = [np.concatenate([ids[some], ids[low[moved]]]), np.concatenate([ids[some], ids[moved]]), np.concatenate([near[some], np.zeros(len(moved))]).astype(np.int64)]
+        return pa.table(dict(zip(("id", "other", "n"), map(pa.array, columns), strict=True)))
 
     return dealt.groupBy("label", "pair").applyInArrow(compare, "id long, other long, n long")
 

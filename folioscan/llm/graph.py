@@ -9,32 +9,18 @@ from pyspark.sql import functions as F
 from .store import forget, written
 
 
-class Forest:
-    """Union-find over 0..n-1 with the smallest member as root, for the links that one task holds."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = int(up[i])
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        if i == j:
-            return False
-        self.up[max(i, j)] = min(i, j)
-        return True
-
-    def roots(self) -> np.ndarray:
-        while True:
-            nxt = self.up[self.up]
-            if (nxt == self.up).all():
-                return nxt
-            self.up = nxt
+def smallest_reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of 0..n-1 the smallest one it is connected with by the links (i, j) that one task holds."""
+    low = np.arange(n)
+    while True:
+        a, b = low[i], low[j]
+        apart = a != b
+        if not apart.any():
+            return low
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(low, np.maximum(a, b), np.minimum(a, b))
+        while (low[low] != low).any():
+            low = low[low]
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
