@@ -110,12 +110,17 @@ def _collisions(texts: DataFrame, several: DataFrame) -> DataFrame:
 
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_dedup() drops, with all their columns; of rows that repeat id and text any one stays."""
-    marks = written(_marked(docs, sha256_hex).select("loc", "keep_loc"), "dedup-marks")
-    gone = written(marks.where("loc <> keep_loc").select("loc").distinct(), "dedup-gone")
-    few = _few(gone)
-    out = docs.join(few, locator(docs) == few["loc"], "left_anti")
-    if marks.groupBy("loc").count().where("count > 1").isEmpty():
+    """docs without the rows that exact_dedup() drops, with all their columns; of rows that repeat id and text any one stays.
+
+    Rows are known by their doc_id and the SHA-256 of their text, never by a short hash.
+    """
+    marks = written(_marked(docs, sha256_hex).select("doc_id", "keep_id", "text_sha256"), "dedup-marks")
+    gone = marks.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "text_sha256").distinct()
+    few = _few(written(gone, "dedup-gone"))
+    doc_id, text_sha256 = docs["doc_id"].cast("long"), sha256_hex(F.coalesce(docs["text"], F.lit("")))
+    out = docs.join(few, doc_id.eqNullSafe(few["doc_id"]) & (text_sha256 == few["text_sha256"]), "left_anti")
+    if marks.groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty():
         return out
-    key = new_path(docs.sparkSession, "loc")  # a name that no column of docs has
-    return out.withColumn(key, locator(out)).dropDuplicates([key]).drop(key)
+    key = new_path(docs.sparkSession, "row")  # a name that no column of docs has
+    own = F.struct(out["doc_id"].cast("long").alias("doc_id"), sha256_hex(F.coalesce(out["text"], F.lit(""))).alias("text_sha256"))
+    return out.withColumn(key, own).dropDuplicates([key]).drop(key)

@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from .store import prepare
 
 SLOTS = 4096
-#: Characters that are counted at a time; longer texts are read in pieces, cut after a space where there is one (the run
-#: over that space is not counted). A piece that is cut elsewhere begins with the two characters before the cut.
+#: Characters that are counted at a time; longer texts are read in pieces that overlap, so that each run is in one of them.
 SPAN = 1 << 20
 
 
@@ -28,15 +27,19 @@ def letters(dims: int, seed: int) -> np.ndarray:
 
 
 def _pieces(text: str):
+    """(piece, whether its first character is the one before the piece, whether its last is the letter after it); pieces are cut before letters.
+
+    Runs over a cut are found once: runs around such an added character are left to the other piece.
+    """
     i = 0
     while i < len(text) or not i:
-        j = min(len(text), i + SPAN)
-        if j < len(text) and (k := text.rfind(" ", i + 1, j)) > 0:
-            j = k + 1
-        yield text[i:j]
+        j = i + SPAN
+        while j < len(text) and not text[j].isalpha():
+            j += 1
+        yield text[max(0, i - 1) : j + 1], i > 0, j < len(text)
+        i = j
         if j >= len(text):
             return
-        i = j if text[j - 1] == " " else j - 2
 
 
 class Encoder:
@@ -48,13 +51,13 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """A row for each text, and whether it has a letter."""
-        out, has = np.zeros((len(texts), self.dims), np.float32), np.zeros(len(texts), bool)
+        out, has = np.zeros((len(texts), self.dims)), np.zeros(len(texts), bool)  # whole numbers, exact up to 2**53
         held, owner, size = [], [], 0
         for k, text in enumerate(texts):
             for piece in _pieces((text or "").lower()):
                 held.append(piece)
                 owner.append(k)
-                size += len(piece)
+                size += len(piece[0])
                 if size >= SPAN or len(held) >= 256:
                     self._add(held, np.array(owner), out, has)
                     held, owner, size = [], [], 0
@@ -62,7 +65,8 @@ class Encoder:
             self._add(held, np.array(owner), out, has)
         return out, has
 
-    def _add(self, pieces: list[str], owner: np.ndarray, out: np.ndarray, has: np.ndarray) -> None:
+    def _add(self, held: list[tuple[str, bool, bool]], owner: np.ndarray, out: np.ndarray, has: np.ndarray) -> None:
+        pieces = [p for p, _, _ in held]
         code = np.frombuffer(" ".join(["", *pieces, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         piece = np.repeat(np.arange(len(pieces) + 1), [1, *(len(p) + 1 for p in pieces)])  # the space after a piece is its own
         letter = (code >= 97) & (code <= 122)
@@ -71,10 +75,14 @@ class Encoder:
             odd, back = np.unique(code[high], return_inverse=True)
             letter[high] = np.array([chr(x).isalpha() for x in odd])[back]
         has[owner[np.bincount(piece[letter], minlength=len(pieces) + 1)[1:] > 0]] = True
+        ends = np.cumsum([len(p) + 1 for p in pieces])  # each piece's own space
+        added = np.zeros(len(code), bool)
+        added[[e - len(p) for e, (p, before, _) in zip(ends.tolist(), held, strict=True) if before]] = True
+        added[[e - 1 for e, (_, _, after) in zip(ends.tolist(), held, strict=True) if after]] = True
         slot = np.where(letter, 1 + code % (SLOTS - 1), 0)
         keep = np.ones(len(slot), bool)
         keep[1:] = (slot[1:] != 0) | (slot[:-1] != 0)  # one space between words
-        slot, piece = slot[keep], piece[keep]
+        slot, piece, added = slot[keep], piece[keep], added[keep]
         if len(slot) < 3:
             return
         used = np.flatnonzero(np.bincount(slot, minlength=SLOTS))
@@ -82,7 +90,7 @@ class Encoder:
         small[used] = np.arange(len(used))
         x, n = small[slot], len(used)
         run, of = (x[:-2] * n + x[1:-1]) * n + x[2:], piece[1:-1] - 1  # a run belongs to the piece of its middle letter
-        own = (of >= 0) & (piece[2:] == piece[1:-1])  # none reaches into the next text
+        own = (of >= 0) & (piece[2:] == piece[1:-1]) & ~added[1:-1]  # none reaches into the next text
         run, of = run[own], of[own]
         if n**3 <= 1 << 23:
             found = np.flatnonzero(np.bincount(run, minlength=n**3))

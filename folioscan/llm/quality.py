@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import prepare
+from .store import forget, prepare, written
 
 
 @dataclass(frozen=True)
@@ -95,18 +95,22 @@ def fit_texts(good: list[str], bad: list[str], dictionary_bytes: int = 65536, pi
 def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = 3000, fit_chars: int = 16384, **kw) -> CompressionModel:
     """Fit on rows of docs that labels marks 0 or 1 in quality; train is a condition on doc_id.
 
-    Ids with both labels, labels without an id and empty texts are left out; repeated rows count once. With rows of one label or
-    none, or an empty table, the score is a constant.
+    Ids with both labels, labels without an id or other than 0 and 1, and texts that are empty or longer than fit_chars are left out before
+    the fit_rows of each label are taken; repeated rows count once. With rows of one label or none, or an empty table, the
+    score is a constant.
     """
-    marked = labels.select("doc_id", "quality").where(F.col("doc_id").isNotNull() & train)
-    ids = [marked.where(F.col("quality") == q).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).withColumn("quality", F.lit(q)) for q in (0, 1)]
-    chosen = {(r.doc_id, r.quality) for x in ids for r in x.collect()}
-    both = {i for i, q in chosen if (i, 1 - q) in chosen}
-    of = {i: q for i, q in chosen if i not in both}
+    quality = F.col("quality")
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), quality).where(F.col("doc_id").isNotNull() & train & quality.isNotNull())
+    marked = marked.groupBy("doc_id").agg(F.min(quality).alias("quality"), F.max(quality).alias("other")).where(quality.isin(0, 1) & (quality == F.col("other")))
+    short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text").between(1, fit_chars))
+    ids = short.select("doc_id").hint("merge").join(marked.select("doc_id", "quality"), "doc_id").distinct()
+    ids = written(ids, "quality-labelled")
+    of = {r.doc_id: r.quality for q in (0, 1) for r in ids.where(quality == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).collect()}
+    forget(ids)
     if not of:
         return fit_texts([], [])
     picked = docs.sparkSession.createDataFrame([(i,) for i in sorted(of)], "doc_id long")  # at most 2 * fit_rows ids
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text").between(1, fit_chars)).join(F.broadcast(picked), "doc_id", "left_semi").collect()
+    rows = short.join(F.broadcast(picked), "doc_id", "left_semi").collect()
     rows = sorted({(r.doc_id, r.text) for r in rows})
     return fit_texts([t for i, t in rows if of[i] == 1], [t for i, t in rows if of[i] == 0], **kw)
 
