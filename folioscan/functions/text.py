@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns, word lists and labels that results depend on.
-CELEX = r"\b[1-9]\d{4}[A-Z]{1,2}\d{4}\b"
+CELEX = r"\b[1-9]\d{4}[A-Z]\d{4}\b"
 ELI = r"(?i)https?://data\.(?:europa\.eu|legilux\.public\.lu)/eli/[^\s)\]]+"
 PREFIX_TOKENS = ("circular", "directive", "regulation", "règlement", "reglement", "richtlinie", "verordnung", "act", "law", "loi", "gesetz", "eba", "esma", "cssf", "eu")
 TOPIC_SUBSTRINGS = ("dora", "ict", "cyber", "operational resilience", "outsourcing", "tlpt", "third-party provider", "third party provider", "incident reporting", "digital operational resilience")
@@ -18,7 +18,7 @@ SOURCE_NAMES = {"cssf_rss": "CSSF", "cssf_consultation": "CSSF", "eurlex_cellar"
 HEADING_TOP = r"(?i)^\s*(?:(?:Title|Titre|Titel|Part|Partie|Teil)\s+[IVXLCM0-9]+\b|(?:(?:Sub[- ]?)?Chapter|Chapitre|Kapitel|Section|Abschnitt)\s+[IVXLCM0-9]+(?:\.\d+)*\b)"
 HEADING_ARTICLE = r"^\s*(?:(?i:Article|Artikel|Art\.?)\s+\d+[a-z]?\b|§\s*\d+[a-z]?\b)"
 CROSS_REF = r"(?i)(?:Article|Artikel|Art\.?)\s+(\d+(?:\(\d+\))?(?:\([a-z]\))?)|§\s*(\d+[a-z]?)"
-DEFINITION = r"(?i)\bD[eé]finitions?\b|\bBegriffs?bestimmung"
+DEFINITION = r"(?iuU)\bD[eé]finitions?\b|\bBegriffs?bestimmung"
 STOP_WORDS = {"de": ("der", "die", "und", "das", "den", "von", "mit", "ist", "im", "zu"), "en": ("the", "of", "and", "to", "in", "is", "that", "for", "was", "with"), "es": ("el", "los", "las", "que", "del", "por", "con", "una", "es", "y"), "fr": ("le", "les", "des", "et", "une", "du", "dans", "pour", "qui", "sur")}
 
 
@@ -73,8 +73,8 @@ def around(text: Column, start: Column, size: Column, radius: int = 60) -> Colum
 
 
 def match_query(c: Column) -> Column:
-    """A full-text query: the words of c, quoted and joined by OR."""
-    words = F.filter(F.split(F.regexp_replace(c, r"[^\w]+", " "), " "), lambda w: w != "")
+    """A full-text query: the words of c (letters of any script, digits, marks and _), quoted and joined by OR."""
+    words = F.filter(F.split(F.regexp_replace(c, r"[^\p{L}\p{N}\p{M}_]+", " "), " "), lambda w: w != "")
     return F.array_join(F.transform(words, lambda w: F.concat(F.lit('"'), w, F.lit('"'))), " OR ")
 
 
@@ -212,7 +212,8 @@ def bullets(c: Column) -> Column:
 
 
 def valid_slug(c: Column) -> Column:
-    return c.rlike(r"^[A-Z][A-Z0-9_]*$")
+    """Capitals, digits and _, 3 to 40 of them, from a capital to a capital or digit."""
+    return c.rlike(r"\A[A-Z][A-Z0-9_]{1,38}[A-Z0-9]\z")
 
 
 def valid_name(c: Column) -> Column:

@@ -23,7 +23,7 @@ def _blocks(patterns: DataFrame, column: str, find) -> DataFrame:
 
 def alias_pattern(pattern: Column, kind: Column) -> Column:
     """A case-insensitive regular expression for REGEX and EXACT aliases, else null."""
-    return F.when(kind == "REGEX", F.concat(F.lit("(?i)"), pattern)).when(kind == "EXACT", F.concat(F.lit(r"(?i)\Q"), pattern, F.lit(r"\E")))
+    return F.when(kind == "REGEX", F.concat(F.lit("(?iu)"), pattern)).when(kind == "EXACT", F.concat(F.lit(r"(?iu)\Q"), pattern, F.lit(r"\E")))
 
 
 def link_aliases(docs: DataFrame, aliases: list[tuple[int, str, str]], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -35,7 +35,7 @@ def link_aliases(docs: DataFrame, aliases: list[tuple[int, str, str]], key: str
     hits = []
     for k, (entity, pattern, kind) in enumerate(aliases):
         if kind in ("REGEX", "EXACT"):
-            regex = F.lit(f"(?i){pattern}" if kind == "REGEX" else rf"(?i)\Q{pattern}\E")
+            regex = F.lit(f"(?iu){pattern}" if kind == "REGEX" else rf"(?iu)\Q{pattern}\E")
             hits.append(F.when(F.regexp_instr(F.col(text), regex) > 0, F.struct(F.lit(k).alias("ord"), F.lit(entity).cast("long").alias("entity_id"), T.snippet(F.col(text), regex).alias("snippet"))))
     if not hits:
         return docs.select(key, F.lit(None).cast("long").alias("entity_id"), F.lit("").alias("method"), F.lit(1.0).alias("confidence"), F.lit("").alias("snippet")).limit(0)

@@ -9,8 +9,8 @@ from ..functions import text as T
 from ..operators import graph, linking, reconcile, versions
 from .registry import query
 
-ALIASES = [(1, r"the\s+and", "REGEX"), (2, "tion", "EXACT"), (1, "ing the", "EXACT"), (3, r"\b(?:une|des)\b", "REGEX"), (4, "ignored", "CELEX"), (5, "ung. D", "EXACT")]
-HITS = " UNION ALL ".join(f"SELECT doc_id, {e} AS entity_id, {k} AS ord FROM documents WHERE regexp_matches(text, '{p if kind == 'REGEX' else p.replace('.', '[.]')}', 'i')" for k, (e, p, kind) in enumerate(ALIASES) if kind != "CELEX")
+ALIASES = [(1, r"the\s+and", "REGEX"), (2, "tion", "EXACT"), (1, "ing the", "EXACT"), (3, r"\b(?:une|des)\b", "REGEX"), (4, "ignored", "CELEX"), (5, "ung. D", "EXACT"), (6, "É", "EXACT"), (7, r"ü\w", "REGEX")]
+HITS = " UNION ALL ".join(f"SELECT doc_id, {e} AS entity_id, {k} AS ord FROM documents WHERE regexp_matches(text, '{p.replace('É', '[Éé]').replace('ü', '[Üü]') if kind == 'REGEX' else p.replace('.', '[.]').replace('É', '[Éé]')}', 'i')" for k, (e, p, kind) in enumerate(ALIASES) if kind != "CELEX")
 
 
 @query("J2_alias_links", f"SELECT DISTINCT doc_id, entity_id, 'REGEX_ALIAS' AS method, 1.0::DOUBLE AS confidence FROM ({HITS})")
@@ -41,7 +41,7 @@ def link_and_rank(t):
 
 
 ID = "concat('3', CAST(1000 + CAST(floor({0} / 10000) AS INT) AS VARCHAR(9)), 'R', lpad(CAST({0} % 10000 AS VARCHAR(9)), 4, '0'))"
-ID_DOCS = f"SELECT o_orderkey AS doc_id, concat('see ', {ID.format('(o_custkey * 3 % 2500)')}, ' and (', {ID.format('(o_orderkey % 3000)')}, '). X', {ID.format('o_custkey')}) AS text FROM {{orders}}"
+ID_DOCS = f"SELECT o_orderkey AS doc_id, concat('see ', {ID.format('(o_custkey * 3 % 2500)')}, ' and (', {ID.format('(o_orderkey % 3000)')}, '). X', {ID.format('o_custkey')}, ' near ', replace({ID.format('(o_orderkey % 2000 + 1)')}, 'R', 'PC'), ' or ', {ID.format('(o_orderkey % 2000 + 1)')}, '9') AS text FROM {{orders}}"
 ID_CATALOG = f"SELECT p_partkey AS entity_id, {ID.format('p_partkey')} AS celex_id, concat('http://data.europa.eu/eli/reg/', CAST(p_partkey AS VARCHAR(9)), '/oj') AS eli_uri FROM {{part}}"
 
 
