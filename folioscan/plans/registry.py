@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +26,15 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
+    def folder(self, name: str) -> str:
+        """A new folder under the one that the driver and all executors share (spark.checkpoint.dir)."""
+        found = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not found:
+            if not self.spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            found = tempfile.mkdtemp(prefix="spark-")  # one machine: tests
+        return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
     def rows(self, sql: str) -> DataFrame:
         names = set(re.findall(r"\{(\w+)\}", sql))
         quoted = re.sub(r"\{\{(\w+)\}\}", r"{\1}", sql.replace("{", "{{").replace("}", "}}"))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, indexing, inference, retrieval
 from ..sources import feeds, pages
-from ..streaming import ingest
+from ..streaming import ingest, persist
 from .registry import query
 
 LEGAL = "SELECT doc_id, concat('Intro ', source, chr(10), chr(10), 'Chapter I Scope', chr(10), 'Article 1 Definitions', chr(10), replace(text, chr(10), ' '), '.', chr(10), 'Article 2 Rules, see Article 1', chr(10), 'of ', lang, chr(10), 'Chapter II Rest', chr(10), 'end ', source) AS text FROM {documents}"
@@ -233,14 +231,6 @@ def routing(t):
 # Feeds: landed files are written from the driver's tables first.
 
 
-def _folder(t, name: str) -> str:
-    conf = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    return f"{conf}/{name}-{abs(hash((t.sf_dir, name))) % 10**8}-{next(_numbers)}"
-
-
-_numbers = iter(range(10**9))
-
-
 @query(
     "S1_S2_S3_S4_W1_feed_items",
     """SELECT 'http://x/' || k AS link, arg_min(event_type, (user_id % 3, event_id)) AS title, count(*) AS n FROM (SELECT *, CASE WHEN event_id % 17 > 0 THEN event_id % 500 END AS k FROM events) WHERE k IS NOT NULL AND date_trunc('second', ts) >= TIMESTAMP '2024-01-10 00:00:00' GROUP BY k""",
@@ -250,7 +240,7 @@ def feed_items(t):
         F.col("event_type").alias("title"), F.when(F.col("event_id") % 17 > 0, F.concat(F.lit("http://x/"), (F.col("event_id") % 500).cast("string"))).alias("link"), F.col("event_id").cast("string").alias("description"),
         F.date_format("ts", "'Mon, 'dd MMM yyyy HH:mm:ss' GMT'").alias("pubDate"), (F.col("user_id") % 3).alias("f"),
     )
-    root = _folder(t, "feeds")
+    root = t.folder("feeds")
     e.write.format("xml").option("rowTag", "item").option("rootTag", "channel").partitionBy("f").save(root)
     items = feeds.recent(feeds.read_rss(t.spark, root, F.lit("2030-01-01").cast("timestamp"), "feed"), F.lit("2024-01-10").cast("timestamp"))
     items = items.withColumn("f", F.regexp_extract("feed", r"f=(\d)", 1).cast("int")).withColumn("n", F.col("description").cast("long"))
@@ -276,7 +266,7 @@ def _acts(t):
     cell = lambda c: F.struct(F.lit("literal").alias("type"), F.col(c).alias("value"))
     binding = F.map_filter(F.create_map(*(x for c in ("celex", "title", "date", "work", "eli") for x in (F.lit(c), cell(c)))), lambda n, v: v["value"].isNotNull())
     doc = rows.groupBy("file").agg(F.struct(F.collect_list(binding).alias("bindings")).alias("results"))
-    root = _folder(t, "sparql")
+    root = t.folder("sparql")
     doc.write.partitionBy("file").json(root)  # a file for each query result
     return feeds.read_sparql(t.spark, root, {"celex": ["celex"], "title": ["title"], "date": ["date"], "eli": ["eli", "work"]})
 
@@ -319,7 +309,7 @@ def seed(t):
 
 
 def _landed(t) -> str:
-    root = _folder(t, "landed")
+    root = t.folder("landed")
     t.documents.select("doc_id", "source", F.md5("text").alias("content_hash"), F.timestamp_seconds(F.col("doc_id") + 1704067200).alias("at")).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.parquet(root)
     return root
 
@@ -327,26 +317,57 @@ def _landed(t) -> str:
 ITEM = "doc_id long, source string, content_hash string, at timestamp"
 
 
-@query("ST1_ST2_ST4_stream_dedup", "SELECT md5(text) AS content_hash, count(DISTINCT md5(text)) AS n FROM documents GROUP BY 1")
+@query("ST1_ST2_stream_dedup", "SELECT md5(text) AS content_hash, count(DISTINCT md5(text)) AS n FROM documents GROUP BY 1")
 def stream_dedup(t):
-    out = _folder(t, "out")
-    ingest.run(ingest.without_copies(ingest.landed(t.spark, _landed(t), ITEM, files=1)), _folder(t, "state"), ingest.to_folder(out))
+    out = t.folder("out")
+    ingest.run(ingest.without_copies(ingest.landed(t.spark, _landed(t), ITEM, files=1)), t.folder("state"), ingest.to_folder(out))
     return t.spark.read.parquet(out).groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "ST4_stream_persist",
+    """WITH first AS (SELECT md5(text) AS h, min(doc_id) AS doc_id FROM documents GROUP BY 1),
+    e AS (SELECT d.doc_id, d.text, f.h AS content_hash FROM documents d JOIN first f USING (doc_id)),
+    l AS (SELECT doc_id, content_hash, unnest(list_distinct([doc_id % 5, length(text) % 13])) AS entity_id FROM e)
+    SELECT entity_id, doc_id, content_hash, CAST(row_number() OVER (PARTITION BY entity_id ORDER BY doc_id) AS INT) AS version_number,
+           doc_id = max(doc_id) OVER (PARTITION BY entity_id) AS is_current,
+           count(*) OVER (PARTITION BY doc_id) AS n_links, (SELECT count(*) FROM e) AS n_events FROM l""",
+)
+def stream_persist(t):
+    """Documents land four times and each time the stream takes up where it was; the last batch then runs once more, which changes nothing."""
+    root, landed, state, again = (t.folder(x) for x in ("persist", "landed", "state", "again"))
+    items = t.documents.select("doc_id", "text", F.md5("text").alias("content_hash"))
+    top = items.agg(F.coalesce(F.max("doc_id"), F.lit(0)) + 1).first()[0]
+
+    def link(events):
+        entities = F.array_distinct(F.array(F.col("doc_id") % 5, (F.length("text") % 13).cast("long")))
+        return events.select("doc_id", "content_hash", F.explode(entities).alias("entity_id"))
+
+    for k in range(4):
+        items.where(F.floor(F.col("doc_id") * 4 / top) == k).write.mode("append").parquet(landed)
+        persist.run(ingest.landed(t.spark, landed, "doc_id long, text string, content_hash string"), root, state, link, ["doc_id"])
+    batch = persist.committed(t.spark, root, "ledger").agg(F.max("batch")).first()[0]
+    persist.committed(t.spark, root, "events").where(F.col("batch") == batch).drop("batch").write.parquet(again)
+    persist.batch_writer(root, link, ["doc_id"])(t.spark.read.parquet(again), batch)
+    n = persist.committed(t.spark, root, "ledger").agg(F.sum("n_events").alias("n_events"))
+    links = persist.committed(t.spark, root, "links").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_links"))
+    versions = persist.current_versions(t.spark, root).drop("batch")
+    return versions.hint("merge").join(links, "doc_id").crossJoin(F.broadcast(n))
+
+
 @query("ST3_stream_late_items", "SELECT count(*) AS n FROM documents WHERE doc_id >= 100")
 def stream_late(t):
-    out = _folder(t, "out")
+    out = t.folder("out")
     since = F.lit("2024-01-01 00:01:40").cast("timestamp")
-    ingest.run(ingest.not_late(ingest.landed(t.spark, _landed(t), ITEM), "at", since, "1 day"), _folder(t, "state"), ingest.to_folder(out))
+    ingest.run(ingest.not_late(ingest.landed(t.spark, _landed(t), ITEM), "at", since, "1 day"), t.folder("state"), ingest.to_folder(out))
     return t.spark.read.parquet(out).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("ST5_stream_versions", "WITH c AS (SELECT source, doc_id, md5(text) AS h, lag(md5(text)) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM documents) SELECT source AS entity, count(*) AS n_versions FROM c WHERE b IS NULL OR b <> h GROUP BY 1")
 def stream_versions(t):
-    out = _folder(t, "out")
+    out = t.folder("out")
     items = ingest.landed(t.spark, _landed(t), ITEM).withColumnRenamed("source", "entity")
-    ingest.run(ingest.versions(items), _folder(t, "state"), ingest.to_folder(out))
+    ingest.run(ingest.versions(items), t.folder("state"), ingest.to_folder(out))
     return t.spark.read.parquet(out).groupBy("entity").agg(F.max("version_number").cast("long").alias("n_versions"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import maintenance, versions, views
+from ..operators import maintenance, quarantine, versions, views
 from .registry import query
 
 EVENTS = "SELECT event_id, ts, user_id, event_type, CASE WHEN event_id % 3 = 0 THEN 'SEEN' ELSE 'NEW' END AS status, CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'MATERIAL' WHEN 2 THEN 'INFORMATIONAL' ELSE 'ODD' END AS severity, CASE WHEN event_id % 2 = 0 THEN 'esma_rss' ELSE 'src' END AS source FROM {events}"
@@ -55,10 +55,27 @@ def admission(t):
     return maintenance.admit(t.rows(FILES), known, 5000).select("doc_id", "reason", F.length("text").cast("long").alias("n"))
 
 
-@query("P16_analysis_admission", "SELECT doc_id % 5 = 0 AS blank, count(*) AS n FROM documents GROUP BY 1")
+VERSIONED = "SELECT doc_id, source, CASE WHEN doc_id % 7 > 0 THEN doc_id END AS version_id, CASE WHEN doc_id % 5 = 0 THEN concat(' ', chr(10)) WHEN doc_id % 11 > 0 THEN text END AS text FROM {documents}"
+
+
+@query(
+    "P16_analysis_admission",
+    """SELECT doc_id, 'FAILED' AS status, error, count(*) OVER (PARTITION BY error) AS n_error, count(*) OVER () AS n_rejected
+    FROM (SELECT doc_id, CASE WHEN version_id IS NULL THEN 'no current version' WHEN trim(replace(coalesce(text, ''), chr(10), ' ')) = '' THEN 'version has no text' END AS error FROM $v) WHERE error IS NOT NULL""",
+    v=VERSIONED,
+)
 def analysis_admission(t):
-    d = t.documents.withColumn("text", F.when(F.col("doc_id") % 5 == 0, " \n").otherwise(F.col("text")))
-    return d.groupBy((F.trim(F.regexp_replace("text", r"\s+", " ")) == "").alias("blank")).agg(F.count(F.lit(1)).alias("n"))
+    """Failure rows with their reasons; the counts beside them are those observed while the rows were written."""
+    _, rejected, n = quarantine.split(t.rows(VERSIONED), quarantine.analysis_rules(), t.folder("admission"))
+    counts = F.create_map(*(F.lit(x) for kv in n.items() for x in kv))
+    out = quarantine.failures(rejected, "doc_id")
+    return out.withColumns({"n_error": counts[F.col("error")].cast("long"), "n_rejected": F.lit(n["rejected"]).cast("long")})
+
+
+@query("P16_admitted", "SELECT doc_id, sha256(text) AS h FROM $v WHERE version_id IS NOT NULL AND trim(replace(coalesce(text, ''), chr(10), ' ')) <> ''", v=VERSIONED)
+def admitted(t):
+    good, _, _ = quarantine.split(t.rows(VERSIONED), quarantine.analysis_rules(), t.folder("admitted"))
+    return good.select("doc_id", F.sha2("text", 256).alias("h"))
 
 
 DUE = "SELECT o_orderkey AS entity_id, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderdate AS DATE) END AS transposition_deadline, o_orderkey % 5 = 0 AS transposition_done, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate + INTERVAL 90 DAY AS DATE) END AS application_date, CASE WHEN o_orderkey % 7 = 0 THEN true END AS application_done, o_orderdate AS created_at, CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN 'PROPOSAL' ELSE 'IN_FORCE' END AS stage, o_orderkey % 4 = 0 AS topic FROM {orders}"
