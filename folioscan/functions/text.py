@@ -147,9 +147,10 @@ def article_heading(path: Column) -> Column:
 def language(c: Column, chars: int = 2000) -> Column:
     """The language with the most stop words in the first characters, as the detector it stands for; null if none occurs."""
     words = F.split(F.lower(F.substring(c, 1, chars)), r"[^\p{L}]+")
-    scores = F.array(*(F.struct(F.size(F.array_intersect(words, F.array(*(F.lit(w) for w in v)))).alias("n"), F.lit(k).alias("lang")) for k, v in STOP_WORDS.items()))
-    best = F.array_max(F.transform(scores, lambda s: s["n"]))
-    return F.when(best > 0, F.get(F.filter(scores, lambda s: s["n"] == best), F.lit(0))["lang"])
+    # an array of one, so that the words are found once and not for each use
+    counts = F.transform(F.array(words), lambda w: F.array(*(F.struct(F.size(F.array_intersect(w, F.array(*map(F.lit, v)))).alias("n"), F.lit(-k).alias("order")) for k, v in enumerate(STOP_WORDS.values()))))
+    best = F.array_max(F.get(counts, F.lit(0)))
+    return F.when(best["n"] > 0, F.get(F.array(*map(F.lit, STOP_WORDS)), -best["order"]))
 
 
 def topic_by_substring(c: Column) -> Column:
