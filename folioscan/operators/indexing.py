@@ -17,7 +17,7 @@ def build_index(versions: DataFrame, catalog: DataFrame, tokens: int = 500, over
     cuts = chunking.chunk(versions.where(~F.coalesce("protected", F.lit(False))), "version_id", tokens=tokens, overlap=overlap)
     values = versions.select("version_id", "entity_id").join(catalog.select("entity_id", *COPIED).hint("shuffle_hash"), "entity_id", "left")
     chunks = cuts.hint("merge").join(values, "version_id")
-    return chunks.withColumns({"chunk_id": F.xxhash64("version_id", "chunk_index"), "language": T.language(F.col("text"))})
+    return chunks.withColumns({"chunk_id": F.xxhash64("version_id", "chunk_index"), "language": T.language(F.col("text")), "n_terms": F.size(retrieval.terms(F.col("text")))})
 
 
 def index_postings(chunks: DataFrame) -> DataFrame:

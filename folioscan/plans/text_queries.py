@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, indexing, inference, retrieval
+from ..operators import chunking, index_store, indexing, inference, retrieval
 from ..sources import feeds, pages
 from ..streaming import ingest, persist
 from .registry import query
@@ -38,31 +38,64 @@ def _catalog(t):
     return t.rows(INDEXED).withColumn("kinds", F.when(F.col("kind").isNotNull(), F.array("kind")))
 
 
-@query("M25_index_build", r"SELECT version_id, stage, topic, kind FROM $v JOIN $c USING (entity_id) WHERE NOT protected AND regexp_matches(text, '\S')", v=VERSIONS, c=INDEXED)
+WORDS = r"SELECT version_id, entity_id, unnest(list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS term FROM $v WHERE NOT protected"
+CHANGED = "CASE WHEN entity_id % 4 = 0 THEN concat('amended version ', text) ELSE text END"
+PER_TERM = "SELECT term, count(*) AS n, count(DISTINCT version_id) AS n_versions FROM ({0}) GROUP BY 1"
+
+
+def _per_term(t, root):
+    """Of each term of a stored index, how often it occurs, in how many versions."""
+    p = index_store.postings_of(index_store.live(t.spark, root, "postings"))
+    return p.groupBy("term").agg(F.sum("tf").alias("n"), F.countDistinct("version_id").alias("n_versions"))
+
+
+@query("M25_index_build", r"SELECT version_id, stage, topic, kind, true AS vectors FROM $v JOIN $c USING (entity_id) WHERE NOT protected AND regexp_matches(text, '\S')", v=VERSIONS, c=INDEXED)
 def index_build(t):
-    """The catalog values on the chunks of every version."""
-    c = indexing.build_index(t.rows(VERSIONS), _catalog(t))
-    return c.select("version_id", "stage", "topic", F.col("kinds")[0].alias("kind")).distinct()
+    """The catalog values on the chunks of every version, and whether each of its chunks has its vector."""
+    root = t.folder("index")
+    index_store.build(root, t.rows(VERSIONS), _catalog(t), inference.hash_embedding, 0, overlap=0)
+    c, v = (index_store.live(t.spark, root, name) for name in ("chunks", "vectors"))
+    c = c.hint("merge").join(v.select("chunk_id", F.size("embedding").alias("dims")), "chunk_id", "left")
+    per = c.groupBy("version_id", "stage", "topic", F.col("kinds")[0].alias("kind")).agg(F.every(F.col("dims") == 8).alias("vectors"))
+    return per.select("version_id", "stage", "topic", "kind", "vectors")
 
 
-@query("M25_postings", r"SELECT count(DISTINCT version_id) AS n_versions FROM $v WHERE NOT protected AND regexp_matches(text, '[\p{L}\p{N}]')", v=VERSIONS.replace("{documents}", "documents"))
+@query("M25_postings", PER_TERM.format(WORDS.format("text")), v=VERSIONS.replace("{documents}", "documents"))
 def index_postings(t):
-    p = indexing.index_postings(indexing.build_index(t.rows(VERSIONS), _catalog(t)))
-    return p.where("tf > 0 and tf <= n_terms").agg(F.countDistinct("version_id").alias("n_versions"))
+    """The text index of all versions, term by term."""
+    root = t.folder("index")
+    index_store.build(root, t.rows(VERSIONS), _catalog(t), inference.hash_embedding, 0, overlap=0)
+    return _per_term(t, root)
+
+
+@query("M17_reindex", PER_TERM.format(WORDS.format(CHANGED)), v=VERSIONS.replace("{documents}", "documents"))
+def reindex(t):
+    """Versions of every fourth entity change and are built again, twice; the merged index is that of all texts as they are now."""
+    root, merged = t.folder("index"), t.folder("merged")
+    v, c = t.rows(VERSIONS), _catalog(t)
+    index_store.build(root, v, c, inference.hash_embedding, 0, overlap=0)
+    again = v.where("entity_id % 4 = 0").withColumn("text", F.concat(F.lit("amended version "), "text"))
+    chosen = again.select("entity_id").distinct()
+    index_store.reindex(root, again.withColumn("text", F.lit("draft")), c, chosen, inference.hash_embedding, overlap=0)
+    index_store.reindex(root, again, c, chosen, inference.hash_embedding, overlap=0)
+    index_store.merge(t.spark, root, merged)
+    return _per_term(t, merged)
 
 
 @query(
-    "M17_reindex",
-    r"SELECT version_id, false AS stale, stage FROM $v JOIN $c USING (entity_id) WHERE entity_id % 4 = 0 AND NOT protected AND regexp_matches(text, '\S') UNION ALL SELECT version_id, true, 'OLD' FROM $v WHERE entity_id % 4 > 0",
-    v=VERSIONS,
-    c=INDEXED,
+    "T7_stored_index",
+    r"""WITH t AS (SELECT version_id AS chunk_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM $v WHERE NOT protected AND regexp_matches(text, '\S')), c AS (SELECT count(*) AS n_docs, avg(len(w)) AS avg_len FROM t),
+    q AS (SELECT DISTINCT item_id AS question_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM benchmark), p AS (SELECT chunk_id, term, n_terms, count(*) AS tf FROM (SELECT chunk_id, len(w) AS n_terms, unnest(w) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
+    df AS (SELECT term, count(*) AS df FROM p GROUP BY 1), s AS (SELECT question_id, chunk_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_terms / avg_len))), 6) AS score FROM p JOIN df USING (term) JOIN q USING (term), c GROUP BY 1, 2),
+    r AS (SELECT question_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC) - 1 AS r FROM s) SELECT question_id, CAST(r AS INT) AS sparse_rank, count(*) AS n FROM r WHERE r < 30 GROUP BY 1, 2""",
+    v=VERSIONS.replace("{documents}", "documents"),
 )
-def reindex(t):
-    """Of every version one old chunk; the versions of every fourth entity are built again."""
-    v = t.rows(VERSIONS)
-    old = v.select("version_id", F.lit(0).alias("chunk_index"), F.lit("stale").alias("text"), F.lit("OLD").alias("stage"))
-    c = indexing.reindex(old, v, _catalog(t), v.where("entity_id % 4 = 0").select("entity_id"))
-    return c.select("version_id", (F.col("text") == "stale").alias("stale"), "stage").distinct()
+def stored_search(t):
+    """BM25 over a stored index whose chunks are whole versions; how many chunks each rank of a question has (ids of chunks are hashes)."""
+    root = t.folder("index")
+    index_store.build(root, t.rows(VERSIONS), _catalog(t), inference.hash_embedding, 0, tokens=1 << 20, overlap=0)
+    hits = index_store.search(t.spark, root, t.benchmark.select(F.col("item_id").alias("question_id"), "text"), 30)
+    return hits.groupBy("question_id", "sparse_rank").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("F16_F17_M25_chunks")
