@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DateType, NumericType, StringType, TimestampType
 
 
 def first_wins(rows: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -21,21 +21,50 @@ def new_events(rows: DataFrame, history: DataFrame, order: list, content_hash: s
     return first_wins(rows, [content_hash], order).join(history.select(content_hash), content_hash, "left_anti")
 
 
+def _ranges(rows: DataFrame, by: str) -> Column:
+    """A number for each of about as many ranges of a column as there are shuffle partitions; 0 for all where it has no such order."""
+    if not isinstance(rows.schema[by].dataType, (NumericType, DateType, TimestampType)):
+        return F.lit(0)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = rows.agg(F.percentile_approx(by, [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else None
+    if not bounds:
+        return F.lit(0)
+    kind = rows.schema[by].dataType
+    return F.coalesce(F.size(F.filter(F.array(*(F.lit(x).cast(kind) for x in dict.fromkeys(bounds))), lambda x: x < F.col(by))), F.lit(0))
+
+
 def version_chain(rows: DataFrame, entity: str, order: list, content_hash: str = "content_hash", last: DataFrame | None = None) -> DataFrame:
     """Rows that change an entity's content, with version_number and is_current.
 
-    last (entity, version_number, content_hash) continues the chains of an earlier table; its own rows are not returned.
+    order is a total order; its first column is a name. last (entity, version_number, content_hash) continues the chains of an earlier
+    table; its own rows are not returned. A scan in two levels: an entity's rows are dealt to ranges of the first order column, each
+    range gives its first and last hash and how often the content changes inside, and sums over these rows tell
+    every range where its numbers begin. So one entity with most of the rows is spread over tasks.
     """
-    w = Window.partitionBy(entity).orderBy(*order)
-    before, base = F.lag(content_hash).over(w), F.lit(0)
-    if last is not None:
-        rows = rows.join(last.select(entity, F.col("version_number").alias("_base"), F.col(content_hash).alias("_last")), entity, "left")
-        before = F.when(F.row_number().over(w) == 1, F.col("_last")).otherwise(before)
+    p, h = "_part", F.col(content_hash)
+    w = Window.partitionBy(entity, p).orderBy(*order)
+    rows = rows.withColumn(p, _ranges(rows, order[0]))
+    rows = rows.withColumns({"_first": F.row_number().over(w) == 1, "_inner": ~F.lag(content_hash).over(w).eqNullSafe(h)})
+    rows = rows.withColumn("_inner", ~F.col("_first") & F.col("_inner"))
+    key = F.struct(*order)
+    each = rows.groupBy(entity, p).agg(F.min_by(content_hash, key).alias("_from"), F.max_by(content_hash, key).alias("_to"), F.count_if("_inner").alias("_n"))
+    by = Window.partitionBy(entity).orderBy(p)
+    begins, before, base = F.row_number().over(by) == 1, F.lag("_to").over(by), F.lit(0)
+    fresh = ~before.eqNullSafe(F.col("_from"))
+    if last is None:
+        fresh = begins | fresh
+    else:
+        each = each.join(last.select(entity, F.col("version_number").alias("_base"), h.alias("_last")), entity, "left")
+        fresh = F.when(begins, ~F.col("_last").eqNullSafe(F.col("_from"))).otherwise(fresh)
         base = F.coalesce("_base", F.lit(0))
-    kept = rows.withColumn("_same", before.eqNullSafe(F.col(content_hash)) & (F.lit(True) if last is not None else (F.row_number().over(w) > 1))).where("not _same")
-    kept = kept.withColumn("version_number", (F.row_number().over(w) + base).cast("int"))
-    kept = kept.withColumn("is_current", F.lead(F.lit(1)).over(w).isNull())
-    return kept.drop("_same", "_base", "_last")
+    each = each.withColumn("_fresh", fresh).withColumn("_n", F.col("_n") + F.col("_fresh").cast("long"))
+    each = each.withColumns({"_start": base + F.sum("_n").over(by) - F.col("_n"), "_top": base + F.sum("_n").over(Window.partitionBy(entity))})
+    each = each.select(F.col(entity).alias("_entity"), F.col(p).alias("_of"), "_fresh", "_start", "_top")
+    kept = rows.hint("merge").join(each, F.col(entity).eqNullSafe(F.col("_entity")) & (F.col(p) == F.col("_of")))
+    kept = kept.withColumn("_changed", F.col("_inner") | (F.col("_first") & F.col("_fresh")))
+    kept = kept.withColumn("version_number", (F.col("_start") + F.count_if("_changed").over(w)).cast("int")).where("_changed")
+    kept = kept.withColumn("is_current", F.col("version_number") == F.col("_top"))
+    return kept.drop(p, "_of", "_entity", "_first", "_inner", "_changed", "_fresh", "_start", "_top")
 
 
 def unseen_versions(rows: DataFrame, versions: DataFrame, entity: str, order: list, content_hash: str = "content_hash") -> DataFrame:
