@@ -43,7 +43,7 @@ def version_chain(rows: DataFrame, entity: str, order: list, content_hash: str =
     """
     p, h = "_part", F.col(content_hash)
     w = Window.partitionBy(entity, p).orderBy(*order)
-    rows = rows.withColumn(p, _ranges(rows, order[0]))
+    rows = rows.select("*", F.explode(F.array(_ranges(rows, order[0]))).alias(p))  # as a generated column the optimizer takes it as it is
     rows = rows.withColumns({"_first": F.row_number().over(w) == 1, "_inner": ~F.lag(content_hash).over(w).eqNullSafe(h)})
     rows = rows.withColumn("_inner", ~F.col("_first") & F.col("_inner"))
     key = F.struct(*order)
