@@ -24,3 +24,31 @@ def test_identifier_links_quote_the_first_place(spark):
     got = {(r.doc_id, r.entity_id): r.snippet for r in linking.link_ids(docs, catalog, T.CELEX, "celex_id", "CELEX_ID").collect()}
     at = DOCS[0][1].index("32013L0036")
     assert got == {(1, 7): DOCS[0][1][at - 60 : at + 70].strip(), (5, 8): "32019R0876 and cssf 12/552"}
+
+
+def test_automaton_finds_what_the_nested_loop_finds(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from folioscan.functions import text as T
+    from folioscan.operators import linking
+
+    rng = random.Random(4)
+    stems = ["règlement", "DORA", "Straße", "İstanbul", "ſoft", "Kelvin", "a.b", "(x)", "data  act", "é"]
+    docs = [(i, " ".join(rng.choice([str.upper, str.lower, str])(rng.choice([*stems, "filler", "word"])) for _ in range(8))) for i in range(120)] + [(900, None), (901, "")]
+    aliases = [(k, s, "EXACT", k) for k, s in enumerate(stems)] + [(50 + k, p, "REGEX", 50 + k) for k, p in enumerate([r"r[eè]glement\s+dora", r"data\s+act", r"fil+er", r"word|dora", r"(?:ab)?filler", r"x?y*", r"\bkel.in\b", r"fill{1,2}er", r"\Qa.b\E", r"w(?=o)ord"])] + [(99, "word", "CELEX", 99)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    a = spark.createDataFrame(aliases, "entity_id long, pattern string, kind string, ord int")
+    regex = a.withColumn("regex", linking.alias_pattern(F.col("pattern"), F.col("kind"))).where("regex is not null")
+    want = d.join(F.broadcast(regex), F.rlike("text", "regex")).select("doc_id", "entity_id", T.snippet(F.col("text"), F.col("regex")).alias("snippet"))
+    got = linking.link_alias_table(d, a).select("doc_id", "entity_id", "snippet")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 300
+    assert linking.link_alias_table(d, a.limit(0)).count() == linking.link_alias_table(d.limit(0), a).count() == 0
+
+
+def test_needed_literals():
+    from folioscan.operators.linking import needed_literal
+
+    cases = {"abc": "abc", "ab?c": "a", "abc+d": "abc", "a|b": "", "(ab)cde": "cde", "[ab]cd": "cd", r"\bword\b": "word", "x{0,2}yz": "yz", "a(b|c)dd": "dd", "": "", "ab*cd": "cd", r"the\s+and": "the", "(?x)a b": "", r"\Qa.b\E": ""}
+    assert {p: needed_literal(p) for p in cases} == cases
