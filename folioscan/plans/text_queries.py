@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, index_store, indexing, inference, retrieval
-from ..sources import feeds, pages
+from ..sources import feeds, pages, publications
 from ..streaming import ingest, persist
 from .registry import query
 
@@ -248,6 +248,48 @@ def detail(t):
     return pages.detail(t.pages, "page_id", "html")
 
 
+PUBLISHED = "SELECT p_partkey, p_size, p_name, p_type, p_brand, concat('CSSF ', CAST(p_size + 10 AS VARCHAR(9)), '/', CAST(p_partkey AS VARCHAR(9))) AS ref FROM {part}"
+DAY = "CAST(p_size % 28 + 1 AS VARCHAR(9))"
+LIST_PAGE = f"""SELECT p_partkey, concat('<html><nav><a href="/x">no</a><ul>', CASE WHEN p_partkey % 9 = 0 THEN '' ELSE concat('<li class="library-element top"><p class="library-element__type">Circular<p class="library-element__dates"><span class="date--published">Published on ', {DAY}, '.03.2024</span>',
+  '<div class="library-element__main"><h3 class="library-element__title"><a href="/en/', CAST(p_partkey AS VARCHAR(9)), '">Circular  ', ref, ' <b>on</b> ', p_name, '</a></h3><div class="library-element__subtitle"><p>', p_type, '<br>&amp; more</div></div>',
+  '<li class=library-element><h3 class="library-element__title"><a href="https://else.where/', p_brand, '">Circular ', ref, '9</a></h3>', '<li class="library-element"><h3 class="library-element__title"><a href="/y">No reference</a></h3>') END, '</ul></nav><ul><li><a href="/z">Circular CSSF 1/1</a></ul>') AS html FROM ({PUBLISHED})"""
+DETAIL_PAGE = f"""SELECT p_partkey, concat('<body><h1>Site</h1><h1 class="single-news__title">Circular ', ref, ' ', p_name, CASE WHEN p_partkey % 4 = 0 THEN ' (as amended by Circular CSSF 30/1, and CSSF 30/2 and CSSF  30/1)' ELSE '' END, '</h1><div class="content-header-info">Published on ', {DAY}, ' March 2024 Updated on ', {DAY}, ' Apr 2024 Share</div>',
+  '<ul class="entities-list"><li>Banks<li>Funds<li>Banks</ul><div class="single-news__content"><p>Short.<p>', p_type, ' applies to all entities under supervision from now on.</div>', CASE WHEN p_partkey % 3 = 0 THEN concat('<div class="single-news__subtitle"><p>', p_brand, '</p>and more</div>') ELSE '' END,
+  '<div class="related-documents-container"><ul><li class="related-document no-heading"><a href="/f/', CAST(p_partkey AS VARCHAR(9)), '.pdf">FR</a><a href="/f/', CAST(p_partkey AS VARCHAR(9)), 'ENG.pdf">EN</a><li class="related-document"><h4 class="related-document-title">Circular CSSF 12/552</h4><p class="related-document-excerpt">on governance',
+  '<li class="related-document"><h4 class="related-document-title">Circular CSSF 40/1</h4><div class="related-document-excerpt">Amending Circular x</div><li class="related-document"><h4 class="related-document-title">', ref, '</h4><li class="related-document"><h4 class="related-document-title">Note without</h4></ul></div>') AS html FROM ({PUBLISHED})"""
+
+
+@query(
+    "S12_listing_fields",
+    f"""WITH p AS (SELECT *, CAST('2024-03-01' AS DATE) + CAST(p_size % 28 AS INT) AS d FROM ({PUBLISHED.replace("{part}", "part")}))
+    SELECT p_partkey, 0 AS raw_count, CAST(NULL AS INT) AS pos, NULL AS title, NULL AS link, NULL AS reference, NULL AS subtitle, CAST(NULL AS DATE) AS published_on FROM p WHERE p_partkey % 9 = 0
+    UNION ALL SELECT p_partkey, 3, 0, concat('Circular ', ref, ' on ', p_name), concat('https://x/en/', p_partkey), ref, concat(p_type, ' & more'), d FROM p WHERE p_partkey % 9 > 0
+    UNION ALL SELECT p_partkey, 3, 1, concat('Circular ', ref, '9'), concat('https://else.where/', p_brand), concat(ref, '9'), '', NULL FROM p WHERE p_partkey % 9 > 0""",
+)
+def listing_fields(t):
+    """Listing pages with elements that are never closed, a class without quotes, and links outside the list."""
+    return publications.listing(t.rows(LIST_PAGE), "p_partkey", "html", "https://x")
+
+
+@query(
+    "S13_detail_fields",
+    f"""SELECT p_partkey, ref AS reference, concat('Circular ', ref, ' ', p_name) AS title, CASE WHEN p_partkey % 4 = 0 THEN ['CSSF 30/1', 'CSSF 30/2'] ELSE [] END AS amended_by, ['CSSF 12/552'] AS amends, ['Banks', 'Funds'] AS entities,
+    concat('/f/', p_partkey, 'ENG.pdf') AS pdf_en, concat('/f/', p_partkey, '.pdf') AS pdf_fr, CAST('2024-03-01' AS DATE) + CAST(p_size % 28 AS INT) AS published_on, CAST('2024-04-01' AS DATE) + CAST(p_size % 28 AS INT) AS updated_on,
+    CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE concat(p_type, ' applies to all entities under supervision from now on.') END AS description FROM ({PUBLISHED.replace("{part}", "part")})""",
+)
+def detail_fields(t):
+    return publications.detail(t.rows(DETAIL_PAGE), "p_partkey", "html")
+
+
+MESSY = "SELECT page_id, concat('<head><title>t</title></head><nav>menu ', CAST(page_id AS VARCHAR(9)), '</nav><script>var x = 1;</script><div>first <b>line</b></div><form><p>', url, '<table><tr><td>a<td>', CAST(page_id AS VARCHAR(9)), '<tr><td>b</table><footer>gone</footer>end &amp; rest') AS html FROM {pages}"
+
+
+@query("S16_main_text_of_messy_pages", "SELECT page_id, concat('first line', chr(10), url, chr(10), 'a | ', page_id, chr(10), 'b', chr(10), 'end & rest') AS text FROM pages")
+def messy_text(t):
+    """Pages with elements that are never closed, a form among them."""
+    return t.rows(MESSY).select("page_id", pages.main_text("html").alias("text"))
+
+
 @query("S16_main_text")
 def main_text(t):
     return t.pages.select("page_id", pages.main_text("html").alias("text"))

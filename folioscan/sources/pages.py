@@ -10,45 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from . import html_tree
+
 SKIPPED = {"nav", "header", "footer", "script", "style", "aside", "form", "noscript", "head", "template"}
-BLOCKS = {"p", "div", "br", "li", "ul", "ol", "table", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "main"}
 VOID = {"br", "img", "hr", "input", "meta", "link", "source", "wbr", "area", "base", "col", "embed", "track"}
 
 
-class _Text(HTMLParser):
-    """Text outside skipped elements; cells of a table row are joined by " | "."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.skip, self.out = 0, []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in SKIPPED:
-            self.skip += 1
-        elif not self.skip and tag in BLOCKS:
-            self.out.append("\n")
-        elif not self.skip and tag in ("td", "th"):
-            self.out.append(" | ")
-
-    def handle_endtag(self, tag):
-        if tag in SKIPPED and self.skip:
-            self.skip -= 1
-        elif not self.skip and tag in BLOCKS:
-            self.out.append("\n")
-
-    def handle_data(self, data):
-        if not self.skip:
-            self.out.append(data)
-
-
 def html_text(html: str | None) -> str:
-    if not html:
-        return ""
-    p = _Text()
-    p.feed(html)
-    p.close()
-    lines = (" ".join(x.split()).strip("| ").strip() for x in "".join(p.out).split("\n"))
-    return "\n".join(x for x in lines if x)
+    return html_tree.main_text(html, SKIPPED)
 
 
 class _Items(HTMLParser):
