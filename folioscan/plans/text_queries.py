@@ -371,6 +371,26 @@ def sources(t):
     return out.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "UD3_registered_sources",
+    """SELECT 'rss' AS source, 'http://x/' || event_id AS link, date_trunc('second', ts) AS published_at FROM events WHERE date_trunc('second', ts) >= TIMESTAMP '2024-01-10 00:00:00'
+    UNION ALL SELECT 'sparql', 'https://eur-lex.europa.eu/legal-content/EN/TXT/?uri=CELEX:5' || lpad(CAST(p_partkey AS VARCHAR), 6, '0'), TIMESTAMP '2024-02-01 00:00:00' FROM part WHERE p_partkey % 2 = 0""",
+)
+def registered_sources(t):
+    """Two registered sources over landed files; a third one, whose files are missing, is an error and not the end."""
+    rss, results = t.folder("rss"), t.folder("results")
+    e = t.events.select(F.col("event_type").alias("title"), F.concat(F.lit("http://x/"), F.col("event_id").cast("string")).alias("link"), F.date_format("ts", "dd MMM yyyy HH:mm:ss' GMT'").alias("pubDate"))
+    e.write.format("xml").option("rowTag", "item").option("rootTag", "channel").save(rss)
+    cell = lambda c: F.struct(F.lit("literal").alias("type"), c.alias("value"))
+    celex = F.concat(F.when(F.col("p_partkey") % 2 == 0, "5").otherwise("3"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"))
+    b = t.part.select(F.create_map(F.lit("celex"), cell(celex), F.lit("title"), cell(F.col("p_name")), F.lit("date"), cell(F.lit("2024-02-01"))).alias("b"), (F.col("p_partkey") % 8).alias("f"))
+    b.groupBy("f").agg(F.collect_list("b").alias("bindings")).select("f", F.struct("bindings").alias("results")).write.partitionBy("f").json(results)
+    feeds.REGISTRY.setdefault("missing", lambda spark, since: spark.read.parquet(f"{rss}-nowhere"))
+    options = {"rss": {"path": rss, "now": F.lit("2030-01-01").cast("timestamp")}, "sparql": {"path": results, "prefix": "5"}, "missing": {}}
+    items, errors = feeds.fetch_sources(t.spark, F.lit("2024-01-10").cast("timestamp"), options)
+    return items.where(F.lit(set(errors) == {"missing"})).select("source", "link", "published_at")
+
+
 @query("S11_seed_tables", "SELECT p_partkey, a.pattern, a.kind, CASE WHEN p_partkey % 3 = 0 THEN 'AIFM' WHEN p_partkey % 3 = 1 THEN 'CHAPTER15_MANCO' ELSE 'BOTH' END AS applies FROM (SELECT p_partkey, unnest([{'pattern': p_name, 'kind': 'EXACT'}, {'pattern': p_brand, 'kind': 'REGEX'}]) AS a FROM part)")
 def seed(t):
     alias = lambda c, k: F.struct(F.col(c).alias("pattern"), F.lit(k).alias("kind"))

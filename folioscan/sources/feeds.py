@@ -17,21 +17,53 @@ REGISTRY: dict[str, Callable[..., DataFrame]] = {}
 
 
 def source(name: str):
-    """Register a reader under a name, for select_sources()."""
+    """Register fetch(spark, since, **options) -> DataFrame of items under a name, for fetch_sources()."""
 
     def add(f):
+        if REGISTRY.get(name, f) is not f:
+            raise ValueError(f"there is another source {name}")
         REGISTRY[name] = f
         return f
 
     return add
 
 
+def fetch_sources(spark: SparkSession, since: Column, options: dict[str, dict], only: list[str] | None = None, groups: dict[str, list[str]] | None = None) -> tuple[DataFrame | None, dict[str, str]]:
+    """(items of the registered sources, errors by name): of all that options enables (its "enabled" is not false), or of those named in only.
+
+    options holds each source's own arguments. A source that can't be fetched is an error by its name and the others go on; a
+    name that nobody registered is an error of the call. Items are those not older than since, whatever a source gives, with its name as `source`.
+    """
+    own = {n: {k: v for k, v in o.items() if k != "enabled"} for n, o in options.items()}
+    enabled = {n: o.get("enabled", True) for n, o in options.items()}
+    names = selected(list(REGISTRY), enabled, only, groups)
+
+    def reader(name: str) -> Callable[[], DataFrame]:
+        return lambda: REGISTRY[name](spark, since, **own.get(name, {})).where(F.col("published_at") >= since).withColumn("source", F.lit(name))
+
+    return union_sources({n: reader(n) for n in names})
+
+
 def read_rss(spark: SparkSession, path: str | list[str], now: Column, source_name: str) -> DataFrame:
     """title, link, description, published_at, feed, source of the items of landed XML feeds."""
     items = spark.read.format("xml").option("rowTag", "item").schema(ITEM).load(path)
     return items.select("title", "link", "description", D.feed_date(F.col("pubDate"), F.col("updated"), now).alias("published_at"), F.col("_metadata.file_path").alias("feed"), F.lit(source_name).alias("source"))
 
 
+@source("rss")
+def fetch_rss(spark: SparkSession, since: Column, path: str | list[str], now: Column) -> DataFrame:
+    """Items with a link of landed XML feeds, the first of each link."""
+    items = recent(read_rss(spark, path, now, "rss"), since)
+    return first_links(items, ["feed", "published_at", "title"]).select("title", "link", "published_at")
+
+
+@source("sparql")
+def fetch_sparql(spark: SparkSession, since: Column, path: str, prefix: str | None = None) -> DataFrame:
+    """Acts of landed query results, by id prefix."""
+    rows = read_sparql(spark, path, {"celex": ["celex"], "title": ["title"], "date": ["date"]})
+    return acts(rows, since, prefix).select("title", "link", "published_at")
+
+
 def recent(items: DataFrame, since: Column) -> DataFrame:
     """Items with a link that aren't older than since."""
     return items.where(F.col("link").isNotNull() & (F.trim("link") != "") & (F.col("published_at") >= since))
@@ -77,11 +109,15 @@ def acts(rows: DataFrame, since: Column, prefix: str | None = None, ids: list[st
 
 def select_sources(items: dict[str, DataFrame], enabled: dict[str, bool], only: list[str] | None = None, groups: dict[str, list[str]] | None = None) -> list[DataFrame]:
     """The tables of enabled sources, or of those named (or in a named group) alone."""
+    return [items[n] for n in selected(list(items), enabled, only, groups)]
+
+
+def selected(known: list[str], enabled: dict[str, bool], only: list[str] | None = None, groups: dict[str, list[str]] | None = None) -> list[str]:
+    """The names of enabled sources, or those given (each may be a group), each once; unknown ones are an error."""
     names = [n for o in only or [] for n in (groups or {}).get(o, [o])] if only else [n for n, on in enabled.items() if on]
-    unknown = [n for n in names if n not in items]
-    if unknown:
+    if unknown := [n for n in names if n not in known]:
         raise ValueError(f"unknown sources: {unknown}")
-    return [items[n] for n in names]
+    return list(dict.fromkeys(names))
 
 
 def union_sources(readers: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
