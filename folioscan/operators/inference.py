@@ -116,6 +116,6 @@ def coerced(rows: DataFrame, fields: DataFrame, key: str) -> DataFrame:
     """
     pairs = rows.select(key, F.explode(F.from_json(V.json_object(F.col("raw")), "map<string, string>")).alias("name", "value"))
     value, error = V.coerce(F.col("value"), F.col("kind"), F.col("choices"))
-    j = pairs.join(fields.select("name", "kind", "choices"), "name").select(key, "name", value.alias("v"), error.alias("e"))
+    j = pairs.hint("merge").join(fields.select("name", "kind", "choices"), "name").select(key, "name", value.alias("v"), error.alias("e"))
     as_map = lambda c: F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("name", c)))))
     return j.groupBy(key).agg(as_map("v").alias("values"), as_map("e").alias("errors"))

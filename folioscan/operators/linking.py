@@ -173,9 +173,9 @@ def resolve_references(refs: DataFrame, catalog: DataFrame, ref: str = "ref") ->
     """ref, entity_id: exact on reference or identifier, else a fuzzy match if it is the only one, else null."""
     r = refs.select(F.trim(F.col(ref)).alias("ref")).where("ref <> ''").distinct()
     names = catalog.select("entity_id", F.col("reference").alias("ref")).unionByName(catalog.select("entity_id", F.col("celex_id").alias("ref"))).where("ref is not null")
-    exact = r.join(names, "ref").groupBy("ref").agg(F.min("entity_id").alias("exact"))
+    exact = r.hint("merge").join(names, "ref").groupBy("ref").agg(F.min("entity_id").alias("exact"))
     fuzzy = catalog.select("entity_id", T.fuzzy_reference(F.col("reference")).alias("k")).where("k <> ''").groupBy("k").agg(F.min("entity_id").alias("only"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    out = r.join(exact, "ref", "left").withColumn("k", T.fuzzy_reference(F.col("ref"))).join(fuzzy, "k", "left")
+    out = r.hint("merge").join(exact, "ref", "left").withColumn("k", T.fuzzy_reference(F.col("ref"))).hint("merge").join(fuzzy, "k", "left")
     return out.select("ref", F.coalesce("exact", "only").alias("entity_id"))
 
 

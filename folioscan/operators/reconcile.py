@@ -75,7 +75,7 @@ def until_known(rows: DataFrame, group: str, order: list, known: str = "known")
 def stubs(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """References named in amended_by, amends or supersedes that the catalog lacks."""
     named = F.array_union(F.array_union("amended_by", "amends"), "supersedes")
-    return rows.select(F.explode(named).alias("reference")).where("reference <> ''").distinct().join(catalog.select("reference"), "reference", "left_anti")
+    return rows.select(F.explode(named).alias("reference")).where("reference <> ''").distinct().hint("merge").join(catalog.select("reference"), "reference", "left_anti")
 
 
 def edges(rows: DataFrame, catalog: DataFrame, known: DataFrame) -> DataFrame:
@@ -84,5 +84,5 @@ def edges(rows: DataFrame, catalog: DataFrame, known: DataFrame) -> DataFrame:
     e = e.unionByName(rows.select(F.col("reference").alias("a"), F.explode("amends").alias("b"), F.lit("AMENDS").alias("relation")))
     e = e.unionByName(rows.select(F.col("reference").alias("a"), F.explode("supersedes").alias("b"), F.lit("REPEALS").alias("relation")))
     ids = catalog.select("reference", "entity_id")
-    e = e.join(ids.select(F.col("reference").alias("a"), F.col("entity_id").alias("src")), "a").join(ids.select(F.col("reference").alias("b"), F.col("entity_id").alias("dst")), "b")
-    return e.where("src <> dst").select("src", "dst", "relation").distinct().join(known, ["src", "dst", "relation"], "left_anti")
+    e = e.hint("merge").join(ids.select(F.col("reference").alias("a"), F.col("entity_id").alias("src")), "a").hint("merge").join(ids.select(F.col("reference").alias("b"), F.col("entity_id").alias("dst")), "b")
+    return e.where("src <> dst").select("src", "dst", "relation").distinct().hint("merge").join(known, ["src", "dst", "relation"], "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, index_store, indexing, inference, retrieval
+from ..operators import chunking, index_store, indexing, inference, languages, retrieval
 from ..sources import feeds, pages, publications
 from ..streaming import ingest, persist
 from .registry import query
@@ -98,6 +98,16 @@ def stored_search(t):
     return hits.groupBy("question_id", "sparse_rank").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("F24_language_profiles", "SELECT lang, count(*) AS n, true AS accurate FROM documents WHERE doc_id % 2 = 1 GROUP BY 1")
+def language_profiles(t):
+    """Profiles learned from the documents with an even id, kept as a table, and how the others fare: at least 98 of 100 in each language."""
+    path = t.folder("profiles")
+    languages.learn(t.documents.where("doc_id % 2 = 0")).write.parquet(path)
+    known = languages.load(t.spark, path)
+    rest = t.documents.where("doc_id % 2 = 1").select("lang", languages.detect(F.col("text"), known).alias("found"))
+    return rest.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), (F.avg(F.col("lang").eqNullSafe(F.col("found")).cast("int")) >= 0.98).alias("accurate"))
+
+
 @query("F16_F17_M25_chunks")
 def chunks(t):
     d = t.rows(LEGAL).withColumn("meta", F.lit("doc"))
@@ -226,7 +236,7 @@ def citations(t):
 @query("UD8_F34_answers")
 def answers(t):
     core, c = _core(t), _chunks(t)
-    hits = retrieval.expand(core, c).join(c.select("chunk_id", "text", "entity_id", "heading_path"), "chunk_id")
+    hits = retrieval.expand(core, c).hint("merge").join(c.select("chunk_id", "text", "entity_id", "heading_path"), "chunk_id")
     return inference.answer(retrieval.prompts(hits, _questions(t)), inference.echo_provider)
 
 
@@ -397,7 +407,7 @@ def seed(t):
     k = F.col("p_partkey") % 3
     s = t.part.select(F.col("p_partkey").cast("string").alias("reference_number"), F.when(k == 0, "AIFM_ONLY").when(k == 1, "MANCO_ONLY").otherwise("ANY").alias("applicability"), F.array(alias("p_name", "EXACT"), alias("p_brand", "REGEX")).alias("aliases"))
     _, aliases, applies = feeds.seed_tables(s)
-    return aliases.join(applies.withColumnRenamed("kind", "applies"), "reference_number").select(F.col("reference_number").cast("long").alias("p_partkey"), "pattern", "kind", "applies")
+    return aliases.hint("merge").join(applies.withColumnRenamed("kind", "applies"), "reference_number").select(F.col("reference_number").cast("long").alias("p_partkey"), "pattern", "kind", "applies")
 
 
 # Streams
