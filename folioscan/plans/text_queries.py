@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, index_store, indexing, inference, languages, retrieval
+from ..operators import chunking, index_store, indexing, inference, languages, quarantine, retrieval
 from ..sources import feeds, pages, publications
 from ..streaming import ingest, persist
 from .registry import query
@@ -501,6 +501,28 @@ def extract(t):
     return inference.extract_fields(d, "text", _too_long, "doc_id").select("doc_id", "status", "truncated", "error")
 
 
+def _failing(prompts: list[str]) -> list[str]:
+    if "e" not in prompts[0][:40]:
+        raise RuntimeError("model is gone")
+    return [str(len(prompts[0]))]
+
+
+@query(
+    "UD6_quarantined_calls",
+    """WITH r AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'no text' WHEN NOT contains(substring(text, 1, 40), 'e') THEN 'call failed' END AS reason FROM documents)
+    SELECT doc_id, reason, count(*) OVER (PARTITION BY reason) AS n_reason, (SELECT count(*) FROM r) AS n_rows FROM r WHERE reason IS NOT NULL""",
+)
+def quarantined_calls(t):
+    """Calls to a model that fail for some texts: these rows go to quarantine with a reason, the others go on."""
+    d = t.documents.select("doc_id", F.when(F.col("doc_id") % 9 > 0, F.col("text")).otherwise(" ").alias("text"))
+    replies = inference.extract_fields(d, "text", _failing, "doc_id")
+    none = F.coalesce(F.col("error") == "no text", F.lit(False))
+    _, rejected, n = quarantine.split(replies, {"no text": none, "call failed": (F.col("status") == "FAILED") & ~none}, t.folder("calls"))
+    counts = F.create_map(*(F.lit(x) for kv in n.items() for x in kv))
+    reason = F.get("reasons", F.lit(0))
+    return rejected.select("doc_id", reason.alias("reason"), counts[reason].cast("long").alias("n_reason"), F.lit(n["rows"]).cast("long").alias("n_rows"))
+
+
 @query("UD7_F52_fields", "SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, CASE WHEN json_extract(props, '$.k') IS NOT NULL THEN 'not a date' END AS e FROM events")
 def fields(t):
     kinds = t.spark.createDataFrame([("k", "TEXT", []), ("d", "DATE", [])], "name string, kind string, choices array<string>")
