@@ -15,11 +15,13 @@ BATCH_ROWS, BATCH_BYTES = "1024", "8m"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a temporary one for this application."""
+    """The folder of spark.checkpoint.dir; where that is unset on one machine (tests), a temporary one for this application, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not getattr(sc, "_folioscan_dir", None):
         sc._folioscan_dir = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(sc._folioscan_dir)
