@@ -15,10 +15,13 @@ def first_parents(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of spark.checkpoint.dir; where that is unset (tests), in one for this application."""
+    """A checkpoint in the folder of spark.checkpoint.dir; where that is unset on one machine (tests), in one for this application, else an error."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
