@@ -10,7 +10,10 @@ from ..operators import graph, linking, reconcile, versions
 from .registry import query
 
 ALIASES = [(1, r"the\s+and", "REGEX"), (2, "tion", "EXACT"), (1, "ing the", "EXACT"), (3, r"\b(?:une|des)\b", "REGEX"), (4, "ignored", "CELEX"), (5, "ung. D", "EXACT"), (6, "É", "EXACT"), (7, r"ü\w", "REGEX")]
-HITS = " UNION ALL ".join(f"SELECT doc_id, {e} AS entity_id, {k} AS ord FROM documents WHERE regexp_matches(text, '{p.replace('É', '[Éé]').replace('ü', '[Üü]') if kind == 'REGEX' else p.replace('.', '[.]').replace('É', '[Éé]')}', 'i')" for k, (e, p, kind) in enumerate(ALIASES) if kind != "CELEX")
+#: The aliases for a database whose \b and \s are ASCII alone: words of any script have edges, with marks as part of the letter before, as in Java.
+EDGE, END = r"(?:^|[^\p{L}\p{Nd}\p{Mn}_]|(?:^|[^\p{L}\p{Nd}\p{Mn}])\p{Mn}+)", r"(?:$|[^\p{L}\p{Nd}\p{Mn}_])"
+RE2 = [r"the[\t\n\v\f\r ]+and", "t[iİı]on", "[iİı]ng the", f"{EDGE}(?:une|des){END}", None, "ung[.] D", "[Éé]", r"[Üü]\w"]
+HITS = " UNION ALL ".join(f"SELECT doc_id, {e} AS entity_id, {k} AS ord FROM documents WHERE regexp_matches(text, '{RE2[k]}', 'i')" for k, (e, _, kind) in enumerate(ALIASES) if kind != "CELEX")
 
 
 @query("J2_alias_links", f"SELECT DISTINCT doc_id, entity_id, 'REGEX_ALIAS' AS method, 1.0::DOUBLE AS confidence FROM ({HITS})")
