@@ -17,6 +17,7 @@ from ..operators.versions import first_wins, version_chain
 from . import ingest
 
 LEDGER = "batch long, n_events long, n_links long, n_versions long"
+CONTENTS = "content_hash string, batch long"
 VERSIONS = "entity_id long, doc_id long, content_hash string, version_number int, batch long"
 
 
@@ -32,8 +33,8 @@ def _save(df: DataFrame, root: str, name: str, batch: int) -> DataFrame:
 
 
 def begin(spark: SparkSession, root: str) -> None:
-    """An empty ledger and version table, so that the first batch has something to read; does nothing where they are."""
-    for name, schema in (("ledger", LEDGER), ("versions", VERSIONS)):
+    """An empty ledger, version and event table, so that the first batch has something to read; does nothing where they are."""
+    for name, schema in (("ledger", LEDGER), ("versions", VERSIONS), ("events", CONTENTS)):
         spark.createDataFrame([], schema).coalesce(1).write.mode("ignore").parquet(f"{root}/{name}/begin")
 
 
@@ -52,12 +53,15 @@ def batch_writer(root: str, link: Callable[[DataFrame], DataFrame], order: list[
 
     link(events) gives (doc_id, entity_id, ...): what an event is about. An entity gets a version for each event about it
     whose content is not that of the version before, numbered on from the batches before. Of items of one
-    content in a batch the first in order is the event; copies of earlier batches are for the stream's state to drop.
+    content in a batch the first in order is the event, and none is if a batch before has one (a null is one content).
     """
 
     def write(items: DataFrame, batch: int) -> None:
         spark = items.sparkSession
-        events = _save(first_wins(items, ["content_hash"], order), root, "events", batch)
+        begin(spark, root)
+        known = committed(spark, root, "events", CONTENTS, before=batch).select(F.col("content_hash").alias("_known")).distinct()
+        first = first_wins(items, ["content_hash"], order).hint("merge")
+        events = _save(first.join(known, F.col("content_hash").eqNullSafe(F.col("_known")), "left_anti"), root, "events", batch)
         links = _save(link(events), root, "links", batch)
         old = committed(spark, root, "versions", VERSIONS, before=batch)
         last = old.groupBy("entity_id").agg(F.max("version_number").alias("version_number"), F.max_by("content_hash", "version_number").alias("content_hash"))
@@ -71,9 +75,9 @@ def batch_writer(root: str, link: Callable[[DataFrame], DataFrame], order: list[
 
 
 def run(stream: DataFrame, root: str, checkpoint: str, link: Callable[[DataFrame], DataFrame], order: list[str]) -> None:
-    """Persist what has landed; contents that an earlier item of the stream had are dropped by its state."""
+    """Persist what has landed. The stream keeps no state of contents: that would take any of a batch's copies, not the first in order."""
     begin(stream.sparkSession, root)
-    ingest.run(ingest.without_copies(stream), checkpoint, batch_writer(root, link, order))
+    ingest.run(stream, checkpoint, batch_writer(root, link, order))
 
 
 def current_versions(spark: SparkSession, root: str) -> DataFrame:

@@ -59,3 +59,14 @@ def test_quarantine_counts_and_reasons(spark, tmp_path):
     assert {(r.doc_id, r.error) for r in quarantine.failures(rejected, "doc_id").collect()} == {(1, "no current version"), (None, "no current version"), (2, "version has no text"), (3, "version has no text")}
     good, rejected, n = quarantine.split(rows.limit(0), quarantine.analysis_rules(), str(tmp_path / "e"))
     assert good.count() == rejected.count() == n["rows"] == 0
+
+
+def test_the_first_copy_in_order_is_the_event(spark, tmp_path):
+    root, landed, checkpoint = (str(tmp_path / x) for x in ("root", "landed", "state"))
+    go = lambda: persist.run(ingest.landed(spark, landed, SCHEMA), root, checkpoint, link, ["doc_id"])
+    rows = [(d, f"t{d % 20}" if d % 20 else None) for d in range(4000)]
+    for part in (rows[:2000], rows[2000:]):
+        land(spark, landed, part[:20])
+        land(spark, landed, part[20:])  # the larger file is read first, but its copies are not the first in order
+        go()
+    assert sorted(r.doc_id for r in persist.committed(spark, root, "events").collect()) == list(range(20))
