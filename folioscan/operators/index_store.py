@@ -22,6 +22,10 @@ TABLES = ("chunks", "vectors", "postings")
 TOMBSTONES = "version_id long, generation long"
 #: Postings of a term in one version are one block; frequent terms have many versions and so many blocks.
 BUCKETS = 64
+#: Parts of a bucket, by version; each is written by one task.
+PARTS = 8
+#: Tombstones that are broadcast (two numbers each); with more, rows are merged with them.
+MOST_TOMBSTONES = 1_000_000
 
 
 def _write(df: DataFrame, root: str, name: str, generation: int) -> None:
@@ -29,11 +33,16 @@ def _write(df: DataFrame, root: str, name: str, generation: int) -> None:
 
 
 def blocks(postings: DataFrame) -> DataFrame:
-    """Postings (term, version_id, chunk_id, tf, n_terms) as a row for each term and version."""
+    """Postings (term, version_id, chunk_id, tf, n_terms) as a row for each term and version, shuffled once, by bucket and part."""
+    p = _dealt(postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")))
     each = F.sort_array(F.collect_list(F.struct("chunk_id", F.col("tf").cast("int").alias("tf"), F.col("n_terms").cast("int").alias("n"))))
-    b = postings.groupBy("term", "version_id").agg(each.alias("p"))
-    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")
-    return b.select(bucket, "term", "version_id", F.col("p.chunk_id").alias("chunk_ids"), F.col("p.tf").alias("tfs"), F.col("p.n").alias("sizes"))
+    b = p.groupBy("bucket", "_part", "term", "version_id").agg(each.alias("p"))
+    return b.select("bucket", "term", "version_id", F.col("p.chunk_id").alias("chunk_ids"), F.col("p.tf").alias("tfs"), F.col("p.n").alias("sizes"))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of postings by bucket and `_part`."""
+    return rows.withColumn("_part", F.pmod(F.xxhash64("version_id"), F.lit(PARTS)).cast("int")).repartition("bucket", "_part")
 
 
 def postings_of(block: DataFrame) -> DataFrame:
@@ -51,7 +60,7 @@ def build(root: str, versions: DataFrame, catalog: DataFrame, model: Callable, g
     chunks = spark.read.parquet(path)
     _write(chunks, root, "chunks", generation)
     _write(inference.embed(chunks.select("chunk_id", "version_id", "embed_text"), "embed_text", model).select("chunk_id", "version_id", "embedding"), root, "vectors", generation)
-    p = blocks(indexing.index_postings(chunks)).repartition("bucket").sortWithinPartitions("bucket", "term")
+    p = blocks(indexing.index_postings(chunks)).sortWithinPartitions("bucket", "term")
     p.withColumn("generation", F.lit(generation).cast("long")).write.mode("append").partitionBy("bucket").parquet(f"{root}/postings")
     if generation == 0:
         spark.createDataFrame([], TOMBSTONES).coalesce(1).write.mode("append").parquet(f"{root}/tombstones")
@@ -61,7 +70,10 @@ def build(root: str, versions: DataFrame, catalog: DataFrame, model: Callable, g
 def live(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table's rows without those of generations before their version's last tombstone."""
     dead = spark.read.schema(TOMBSTONES).parquet(f"{root}/tombstones").groupBy("version_id").agg(F.max("generation").alias("_since"))
-    rows = spark.read.parquet(f"{root}/{name}").hint("merge").join(dead, "version_id", "left")
+    n, rows = dead.limit(MOST_TOMBSTONES + 1).count(), spark.read.parquet(f"{root}/{name}")
+    if not n:
+        return rows
+    rows = rows.join(F.broadcast(dead) if n <= MOST_TOMBSTONES else dead.hint("merge"), "version_id", "left")
     return rows.where(F.col("_since").isNull() | (F.col("generation") >= F.col("_since"))).drop("_since")
 
 
@@ -84,7 +96,7 @@ def merge(spark: SparkSession, root: str, to: str) -> None:
     for name in TABLES:
         rows = live(spark, root, name).withColumn("generation", F.lit(0).cast("long"))
         if name == "postings":
-            rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{to}/{name}")
+            _dealt(rows).drop("_part").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{to}/{name}")
         else:
             rows.write.parquet(f"{to}/{name}")
     spark.createDataFrame([], TOMBSTONES).coalesce(1).write.parquet(f"{to}/tombstones")
