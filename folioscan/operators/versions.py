@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, StringType, TimestampType
@@ -83,11 +83,29 @@ def appended(old: DataFrame, new: DataFrame, entity: str) -> DataFrame:
     return rest.unionByName(new.select(old.columns))
 
 
-@F.pandas_udf(StringType())
-def unified_diff(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """A unified diff with three lines of context; null for equal texts and if either is missing or empty before."""
-    for old, new in batches:
-        yield pd.Series([None if not a or b is None or a == b else "\n".join(difflib.unified_diff(a.splitlines(), b.splitlines(), "previous", "current", n=3, lineterm="")) for a, b in zip(old, new, strict=True)])
+#: A batch of diffs goes back to Spark once it has so many rows or characters.
+DIFF_ROWS, DIFF_CHARS = 256, 1 << 20
+
+
+@F.arrow_udf(StringType())
+def unified_diff(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """A unified diff with three lines of context; null for equal texts and if either is missing or empty before.
+
+    Texts stay in Spark's Arrow batch (of 64 MB at most, unless the session or one text says more) and become Python's one row at a
+    time; diffs go back in small batches, so that a worker's memory does not grow with the table.
+    """
+    for olds, news in batches:
+        done, chars = [], 0
+        for old, new in zip(olds, news, strict=True):
+            a, b = old.as_py(), new.as_py()
+            diff = None if not a or b is None or a == b else "\n".join(difflib.unified_diff(a.splitlines(), b.splitlines(), "previous", "current", n=3, lineterm=""))
+            done.append(diff)
+            chars += len(diff or "")
+            if len(done) == DIFF_ROWS or chars >= DIFF_CHARS:
+                yield pa.array(done, pa.string())
+                done, chars = [], 0
+        if done:
+            yield pa.array(done, pa.string())
 
 
 def with_diff(versions: DataFrame, entity: str, text: str = "text") -> DataFrame:

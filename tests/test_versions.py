@@ -1,7 +1,9 @@
 """Version chains in two levels against a walk over each entity's rows."""
 
+import difflib
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folioscan.operators import versions
@@ -30,3 +32,19 @@ def test_one_entity_with_most_rows(spark):
     named = df.withColumn("name", F.lpad(F.col("at").cast("string"), 6, "0"))  # an order without ranges
     assert sorted(((r.entity, r.at, r.version_number, r.is_current) for r in versions.version_chain(named, "entity", ["name"]).collect()), key=str) == walk(rows, {})
     assert versions.version_chain(df.limit(0), "entity", ["at"]).count() == 0
+
+
+def test_diffs_leave_the_worker_in_small_batches(spark):
+    rng = random.Random(4)
+    texts = [None, "", "a\nb", "a\r\nb\n", "é x"] + ["\n".join(rng.choice(["one", "two", "drei", ""]) for _ in range(rng.randrange(40))) for _ in range(600)] + ["w " * 300_000 + str(k) for k in range(6)]
+    pairs = [(rng.choice(texts), t) for t in texts] + [(t, t) for t in texts[:9]]
+
+    def plain(a, b):
+        return None if not a or b is None or a == b else "\n".join(difflib.unified_diff(a.splitlines(), b.splitlines(), "previous", "current", n=3, lineterm=""))
+
+    out = list(versions.unified_diff.func(iter([tuple(pa.array(c, pa.string()) for c in zip(*pairs, strict=True))])))
+    assert [d for b in out for d in b.to_pylist()] == [plain(*p) for p in pairs]
+    assert max(map(len, out)) <= versions.DIFF_ROWS and max(b.nbytes for b in out if len(b) > 1) < 4 * versions.DIFF_CHARS
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k long, a string, b string").repartition(2)
+    got = df.select("k", versions.unified_diff("a", "b").alias("d")).orderBy("k").collect()
+    assert [r.d for r in got] == [plain(*p) for p in pairs]
