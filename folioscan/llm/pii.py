@@ -4,16 +4,18 @@ Generators propose overlapping spans with high recall: what stands around an at
 of up to six groups of digits with a few signs between them, once for each kind that its digits allow. Boosted trees score each
 proposal by its format and its context. They are fitted on the corpus itself: spans that the strict rules find, and the
 same spans written in other usual ways, against proposals that the rules reject. Scores are calibrated by a logistic curve on
-rows the trees have not seen, and for each kind the threshold is the lowest score from which on a given part of those rows is
-right. Proposals at or over it that touch no strict span and no better proposal are added to the strict spans.
+a third of the candidates that is kept from the trees, and for each kind the threshold is the lowest score from which on a given part of
+those is right. Proposals at or over it that touch no strict span and no better proposal are added to the strict spans.
 
-The fit reads a bounded sample: at most `fit_rows` candidates of either label, those with the smallest hash; the counts
-that weigh them are of all candidates.
+The fit takes every candidate of the corpus: equal ones are counted by Spark, and trees, curve and thresholds come from these
+counts. A tree's level needs the sums of two residuals by node, feature and bin only. They are sums of whole numbers, so that no
+order or dealing of the rows changes the model.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from bisect import bisect_left
@@ -44,7 +46,9 @@ MOST_GROUPS, MOST_DIGITS = 6, 19
 #: Words that announce a kind when they stand shortly before it.
 CUES = (("mail", "contact", "kontakt", "correo"), ("ip", "host", "server", "addr"), ("card", "visa", "carte", "karte", "tarjeta", "iban"), ("tel", "phone", "call", "fax", "mobil", "cell", "appel", "anruf", "llama"))
 CONTEXT, BLOCK = 32, 20_000
-N_FEATURES = 34
+N_FEATURES, BINS = 34, 32
+#: Residuals are whole parts of 1 / UNIT (a block's sums stay exact up to 2 ** 29 candidates); the trees' sum has whole parts of 1 / STEPS.
+UNIT, STEPS = float(1 << 24), 256
 
 
 def luhn(digits: str) -> bool:
@@ -176,39 +180,138 @@ class Trees:
         return out
 
 
-def boosted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, ridge: float = 1.0) -> Trees:
+def quantile_edges(values: np.ndarray, n: np.ndarray, bins: int) -> np.ndarray:
+    """Cuts between bins at the quantiles of different values in order, each of which counts n times."""
+    upto = np.cumsum(n)
+    at = np.linspace(0, 1, bins + 1)[1:-1] * (upto[-1] - 1)
+    low, high = (values[np.searchsorted(upto, f(at), "right")] for f in (np.floor, np.ceil))
+    return np.unique(low + (high - low) * (at - np.floor(at)))
+
+
+def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """The bin of each feature: how many of its cuts are below it."""
+    return np.stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T, strict=True)], 1).astype(np.uint8)
+
+
+def _node(rows: np.ndarray, at: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
+    k, i = np.zeros(len(rows), np.int64), np.arange(len(rows))
+    for _ in range(levels):
+        k = 2 * k + 1 + (rows[i, at[k]] > cut[k])
+    return k
+
+
+def level_sums(rows: np.ndarray, y: np.ndarray, n: np.ndarray, z: np.ndarray, at: np.ndarray, cut: np.ndarray, level: int, bins: int) -> np.ndarray:
+    """First and second residuals of binned rows that count n times, by node of a tree's level, feature and bin, in parts of 1 / UNIT."""
+    nodes, width = 1 << level, rows.shape[1]
+    out = np.zeros((2, nodes * width * bins), np.int64)
+    for i in range(0, len(rows), BLOCK):
+        part, m = rows[i : i + BLOCK], n[i : i + BLOCK]
+        p = 1 / (1 + np.exp(-z[i : i + BLOCK]))
+        place = (((_node(part, at, cut, level) - (nodes - 1))[:, None] * width + np.arange(width)) * bins + part).ravel()
+        for k, v in enumerate((y[i : i + BLOCK] - p, p * (1 - p))):
+            out[k] += np.bincount(place, np.repeat(np.rint(m * np.rint(v * UNIT)), width), nodes * width * bins).astype(np.int64)
+    return out.reshape(2, nodes, width, bins)
+
+
+class Here:
+    """Binned rows in memory, and the trees' sum so far for each."""
+
+    def __init__(self, rows: np.ndarray, y: np.ndarray, n: np.ndarray, first: float):
+        self.rows, self.y, self.n, self.z = rows, y, n, np.full(len(y), first)
+
+    def sums(self, at: np.ndarray, cut: np.ndarray, level: int, bins: int) -> np.ndarray:
+        return level_sums(self.rows, self.y, self.n, self.z, at, cut, level, bins)
+
+    def add(self, at: np.ndarray, cut: np.ndarray, leaf: np.ndarray, depth: int) -> None:
+        self.z = self.z + leaf[_node(self.rows, at, cut, depth) - len(at)]
+
+
+class Spread:
+    """Binned rows as a table (bins, y, n) on Spark: each level of a tree is one job, of which each task returns its sums.
+
+    The trees' sum is written with the rows after every `every` trees; later ones are added where rows are read.
+    """
+
+    def __init__(self, table: DataFrame, first: float, parts: int, every: int = 10):
+        self.every, self.new = every, []
+        self.table = written(table.withColumn("z", F.lit(first)).repartition(parts), "pii-binned")
+
+    def sums(self, at: np.ndarray, cut: np.ndarray, level: int, bins: int) -> np.ndarray:
+        new = list(self.new)
+
+        def run(batches):
+            total = 0
+            for b in batches:
+                rows, y, n, z = _binned_batch(b, new)
+                total = total + level_sums(rows, y, n, z, at, cut, level, bins)
+            if isinstance(total, np.ndarray):
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+        found = [np.frombuffer(r.sums, np.int64) for r in self.table.mapInArrow(run, "sums binary").collect()]  # 140 kB a task
+        return np.sum(found, 0).reshape(2, 1 << level, -1, bins)
+
+    def add(self, at: np.ndarray, cut: np.ndarray, leaf: np.ndarray, depth: int) -> None:
+        self.new.append((at, cut, leaf, depth))
+        if len(self.new) == self.every:
+            new, before = list(self.new), self.table
+
+            def run(batches):
+                for b in batches:
+                    yield b.set_column(3, "z", pa.array(_binned_batch(b, new)[3], pa.float64()))
+
+            self.table, self.new = written(before.mapInArrow(run, before.schema), "pii-binned"), []
+            forget(before)
+
+
+def _binned_batch(b: pa.RecordBatch, new: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    rows = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+    y, n, z = (b.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in (1, 2, 3))
+    for at, cut, leaf, depth in new:
+        z = z + leaf[_node(rows, at, cut, depth) - len(at)]
+    return rows, y, n, z
+
+
+def grow(rows: Here | Spread, edges: list[np.ndarray], first: float, rounds: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, ridge: float = 1.0) -> Trees:
     """Newton boosting of the logistic loss; every level of a tree is split by the gains of all features' histograms."""
-    edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
-    binned = np.stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T, strict=True)], 1)
-    flat = binned + np.arange(x.shape[1]) * bins
-    mean = np.average(y, weights=weight)
-    first = float(np.log(mean / (1 - mean)))
-    z, ats, cuts, leaves = np.full(len(y), first), [], [], []
+    ats, cuts, leaves = [], [], []
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-z))
-        g, h = weight * (y - p), weight * p * (1 - p)
-        at, cut, k = np.zeros((1 << depth) - 1, np.int64), np.full((1 << depth) - 1, np.inf), np.zeros(len(y), np.int64)
+        at, cut, real = np.zeros((1 << depth) - 1, np.int64), np.full((1 << depth) - 1, np.inf), np.full((1 << depth) - 1, np.inf)
+        leaf = np.zeros(1 << depth)
         for level in range(depth):
             base, nodes = (1 << level) - 1, 1 << level
-            place = ((k - base)[:, None] * (x.shape[1] * bins) + flat).ravel()
-            sums = [np.bincount(place, np.repeat(v, x.shape[1]), nodes * x.shape[1] * bins).reshape(nodes, x.shape[1], bins).cumsum(2) for v in (g, h)]
-            (gl, hl), (gt, ht) = sums, (s[:, :, -1:] for s in sums)
+            gl, hl = rows.sums(at, cut, level, bins).cumsum(3) / UNIT
+            gt, ht = gl[:, :, -1:], hl[:, :, -1:]
             gain = gl**2 / (hl + ridge) + (gt - gl) ** 2 / (ht - hl + ridge) - gt**2 / (ht + ridge)
             gain[(hl < 1e-3) | (ht - hl < 1e-3)] = 0
             best = gain.reshape(nodes, -1).argmax(1)
-            split = gain.reshape(nodes, -1)[np.arange(nodes), best] > 1e-9
-            for node in np.flatnonzero(split).tolist():
+            for node in range(nodes):
                 f, b = divmod(int(best[node]), bins)
-                if b < len(edges[f]):
-                    at[base + node], cut[base + node] = f, edges[f][b]
-            k = 2 * k + 1 + (x[np.arange(len(x)), at[k]] > cut[k])
-        k -= (1 << depth) - 1
-        leaf = rate * np.bincount(k, g, 1 << depth) / (np.bincount(k, h, 1 << depth) + ridge)
-        z = z + leaf[k]
-        ats, cuts, leaves = [*ats, at], [*cuts, cut], [*leaves, leaf]
+                if gain[node, f, b] > 1e-9 and b < len(edges[f]):
+                    at[base + node], cut[base + node], real[base + node] = f, b, edges[f][b]
+                else:  # all rows go to the left
+                    f, b = 0, bins - 1
+                if level == depth - 1:
+                    g, h = gl[node, f, b], hl[node, f, b]
+                    leaf[2 * node : 2 * node + 2] = rate * g / (h + ridge), rate * (gt[node, f, 0] - g) / (ht[node, f, 0] - h + ridge)
+        rows.add(at, cut, leaf, depth)
+        ats, cuts, leaves = [*ats, at], [*cuts, real], [*leaves, leaf]
     return Trees(depth, np.array(ats), np.array(cuts), np.array(leaves), first)
 
 
+def boosted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, ridge: float = 1.0) -> Trees:
+    """Trees of rows in memory; weight says how often each of them counts."""
+    edges = []
+    for c in x.T:
+        values, of = np.unique(c, return_inverse=True)
+        edges.append(quantile_edges(values, np.bincount(of, weight), bins))
+    first = _log_odds(y @ weight, weight.sum())
+    return grow(Here(binned(x, edges), y, weight, first), edges, first, rounds, depth, rate, bins, ridge)
+
+
+def _log_odds(positive: float, all_: float) -> float:
+    return math.log(positive / (all_ - positive))
+
+
 @dataclass(frozen=True)
 class SpanModel:
     """Trees, the curve from their sum to a probability, and the least probability of each kind that is redacted (2: none)."""
@@ -219,7 +322,11 @@ class SpanModel:
     thresholds: tuple[float, ...] = (2.0, 2.0, 2.0, 2.0)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.trees(x) + self.offset, -40, 40)))
+        return self.curve(steps(self.trees(x)))
+
+    def curve(self, at: np.ndarray) -> np.ndarray:
+        """The probability of a sum, given in steps."""
+        return 1 / (1 + np.exp(-np.clip(self.slope * at / STEPS + self.offset, -40, 40)))
 
     def added(self, text: str, strict: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Proposals over their threshold that touch neither a strict span nor a better proposal, in order."""
@@ -250,6 +357,11 @@ class SpanModel:
         return sorted(out)
 
 
+def steps(z: np.ndarray) -> np.ndarray:
+    """The trees' sum as the model knows it: in whole steps of 1 / STEPS, from -40 to 40."""
+    return np.rint(np.clip(z, -40, 40) * STEPS).astype(np.int64)
+
+
 def _cover(spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Starts of spans in order, and the furthest end up to each."""
     return np.array([s for s, _, _ in spans], np.int64), np.maximum.accumulate(np.array([e for _, _, e in spans], np.int64)) if spans else np.zeros(0, np.int64)
@@ -308,66 +420,113 @@ def _interesting(column: pa.Array) -> np.ndarray:
     return np.flatnonzero(n[off[1:]] - n[off[:-1]] >= 4)
 
 
-def fit(docs: DataFrame, train: Column | None = None, fit_rows: int = 10_000, precision: float = 0.98, least: float = 0.9) -> SpanModel:
-    """A model of docs (doc_id, text), or of those rows for which train holds.
-
-    fit_rows bounds the candidates of either label that the trees see; precision is what the thresholds, of at least `least`,
-    must reach on the third of them kept for calibration, where those that the rules reject count as many times as the
-    corpus holds them. A kind that can't reach it, or has fewer than 20 strict spans there, adds nothing, and so does a
-    model of a table without strict spans. Null and empty texts give no candidates.
-    """
+def candidates(docs: DataFrame) -> DataFrame:
+    """x (features, 32-bit floats), y (label), real, held and n: how often each candidate occurs in docs (doc_id, text). A third is held, by a hash of x and doc_id."""
     prepare(docs.sparkSession)
 
     def run(batches):
-        kept: list[list] = [[], []]
-        seen = [0, 0]
+        seen: dict[tuple[bytes, int, bool, bool], int] = {}
+
+        def rows():
+            cols = zip(*seen, strict=True)
+            kinds = (pa.binary(), pa.int32(), pa.bool_(), pa.bool_())
+            return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(seen.values(), pa.int64())], ["x", "y", "real", "held", "n"])
+
         for b in batches:
             for i in _interesting(b.column(1)).tolist():
-                text = b.column(1)[i].as_py()
+                text, doc = b.column(1)[i].as_py(), str(b.column(0)[i]).encode()
                 for x, y, real in examples(text, strict_spans(text)):
                     x32 = np.array(x, np.float32).tobytes()
-                    seen[y] += real
-                    kept[y].append((int.from_bytes(hashlib.blake2b(x32 + str(b.column(0)[i]).encode(), digest_size=8).digest(), "big", signed=True), x32, real))
-            for y in (0, 1):
-                if len(kept[y]) > 4 * fit_rows:
-                    kept[y] = sorted(kept[y])[:fit_rows]
-        for y in (0, 1):
-            rows = sorted(kept[y])[:fit_rows]
-            yield pa.RecordBatch.from_arrays([pa.array([y] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.bool_()), pa.array([None] * len(rows), pa.int64())], ["label", "hash", "x", "real", "seen"])
-            yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.bool_()), pa.array([seen[y]], pa.int64())], ["label", "hash", "x", "real", "seen"])
-
-    texts = docs if train is None else docs.where(train)
-    rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "label int, hash long, x binary, real boolean, seen long")
-    rows = written(rows, "pii-examples")  # at most fit_rows of either label a task
-    seen = {r.label: r.n for r in rows.where("seen IS NOT NULL").groupBy("label").agg(F.sum("seen").alias("n")).collect()}
-    picked = [rows.where((F.col("label") == y) & F.col("x").isNotNull()).orderBy("hash", "x").limit(fit_rows).select("hash", "x", "real").collect() for y in (0, 1)]
-    forget(rows)
-    return fit_examples(picked, seen.get(0, 0), precision, least)
-
-
-def fit_examples(picked: list[list[tuple[int, bytes, bool]]], negatives: int, precision: float, lowest: float) -> SpanModel:
-    """The model from (hash, features, real) rows of both labels; negatives is how many of label 0 there are in all texts."""
-    if min(map(len, picked)) < 20:
-        return SpanModel()
-    x = np.concatenate([np.frombuffer(r[1], np.float32)[None] for part in picked for r in part]).astype(np.float64)
-    y = np.repeat([0.0, 1.0], [len(p) for p in picked])
-    real = np.array([r[2] for part in picked for r in part], bool)
-    held = np.array([r[0] % 3 == 0 for part in picked for r in part])
-    if min(np.bincount(y[~held].astype(int), minlength=2).min(), np.bincount(y[held].astype(int), minlength=2).min()) < 5:
+                    held = int.from_bytes(hashlib.blake2b(x32 + doc, digest_size=8).digest(), "big", signed=True) % 3 == 0
+                    seen[x32, y, real, held] = seen.get((x32, y, real, held), 0) + 1
+                    if len(seen) == BLOCK:
+                        yield rows()
+                        seen.clear()
+        if seen:
+            yield rows()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "x binary, y int, real boolean, held boolean, n long")
+    return rows.groupBy("x", "y", "real", "held").agg(F.sum("n").alias("n"))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), N_FEATURES).astype(np.float64)
+
+
+def _edges(rows: DataFrame) -> list[np.ndarray]:
+    """The cuts of each feature over rows (x, n): quantiles of all candidates."""
+
+    def run(batches):
+        for b in batches:
+            x, n = _matrix(b.column(0)), b.column(1).to_numpy()
+            for k in range(N_FEATURES):
+                values, of = np.unique(x[:, k], return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(values), pa.int32()), pa.array(values, pa.float64()), pa.array(np.bincount(of, n).astype(np.int64), pa.int64())], ["feature", "value", "n"])
+
+    found = rows.mapInArrow(run, "feature int, value double, n long").groupBy("feature", "value").agg(F.sum("n").alias("n"))
+    found = sorted((r.feature, r.value, r.n) for r in found.collect())  # a row for each value of a feature: lengths and counts inside a span
+    return [quantile_edges(*(np.array(c) for c in zip(*((v, n) for f, v, n in found if f == k), strict=True)), BINS) for k in range(N_FEATURES)]
+
+
+def fit(docs: DataFrame, train: Column | None = None, precision: float = 0.98, least: float = 0.9, here: int = 100_000) -> SpanModel:
+    """A model of all candidates of docs (doc_id, text), or of those rows for which train holds.
+
+    precision is what the thresholds, of at least `least`, must reach on the third of the candidates kept for calibration. A kind
+    that can't reach it, or has fewer than 20 strict spans there, adds nothing, and so does a model of a table without strict
+    spans. Null and empty texts give no candidates. Up to `here` different binned candidates are boosted on the driver, more of
+    them by Spark jobs; the model is the same.
+    """
+    rows = written(candidates(docs if train is None else docs.where(train)), "pii-candidates")
+    try:
+        return _fitted(rows, precision, least, here)
+    finally:
+        forget(rows)
+
+
+def _fitted(rows: DataFrame, precision: float, least: float, here: int) -> SpanModel:
+    total = {(r.y, r.held): r.n for r in rows.groupBy("y", "held").agg(F.sum("n").alias("n")).collect()}
+    count = lambda y, held: total.get((y, held), 0)
+    if min(count(y, False) + count(y, True) for y in (0, 1)) < 20 or min(count(y, h) for y in (0, 1) for h in (False, True)) < 5:
         return SpanModel()
-    trees = boosted(x[~held], y[~held], np.ones(int((~held).sum())))
-    z = trees(x[held])
-    slope, offset = _curve(z, y[held])
-    model = SpanModel(trees, slope, offset)
-    p, kind, times = model.probability(x[held]), x[held][:, 0].astype(int), max(1.0, negatives / max(1, sum(r[2] for r in picked[0])))
+    seen = rows.where("NOT held").select("x", "n", "y")
+    edges, first = _edges(seen), _log_odds(count(1, False), count(0, False) + count(1, False))
+
+    def bins(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in binned(_matrix(b.column(0)), edges)], pa.binary()), b.column(2), b.column(1)], ["bins", "y", "n"])
+
+    table = written(seen.mapInArrow(bins, "bins binary, y int, n long").groupBy("bins", "y").agg(F.sum("n").alias("n")), "pii-bins")
+    size = table.count()
+    if size <= here:
+        t = table.toArrow()
+        trees = grow(Here(np.frombuffer(b"".join(t["bins"].to_pylist()), np.uint8).reshape(size, -1), *(t[c].to_numpy().astype(np.float64) for c in ("y", "n")), first), edges, first)
+    else:
+        spread = Spread(table, first, -(-size // max(1, here // 4)))
+        trees = grow(spread, edges, first)
+        forget(spread.table)
+    forget(table)
+
+    def score(batches):
+        for b in batches:
+            x = _matrix(b.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].astype(np.int32)), b.column(1), b.column(2), pa.array(steps(trees(x))), b.column(3)], ["kind", "y", "real", "at", "n"])
+
+    held = rows.where("held").select("x", "y", "real", "n").mapInArrow(score, "kind int, y int, real boolean, at long, n long")
+    held = held.groupBy("kind", "y", "real", "at").agg(F.sum("n").alias("n")).orderBy("kind", "y", "real", "at").toArrow()  # at most 16 rows a step
+    return calibrated(trees, *(held[c].to_numpy() for c in ("kind", "y", "real", "at", "n")), precision, least)
+
+
+def calibrated(trees: Trees, kind: np.ndarray, y: np.ndarray, real: np.ndarray, at: np.ndarray, n: np.ndarray, precision: float, lowest: float) -> SpanModel:
+    """The model from the held candidates of each kind, label and sum of the trees (in steps), n of each."""
+    slope, offset = _curve(at / STEPS, y.astype(np.float64), n.astype(np.float64))
+    p = SpanModel(trees, slope, offset).curve(at)
     thresholds = []
     for k in range(len(KINDS)):
-        right, wrong = (np.sort(p[(kind == k) & real[held] & (y[held] == v)]) for v in (1, 0))
         least = 2.0
-        if len(right) >= 20:
-            levels = np.unique([lowest, *p[(kind == k) & (p > lowest)]])  # other ways to write a span set levels too, but count as neither
-            hits = len(right) - np.searchsorted(right, levels, "left")
-            false = (len(wrong) - np.searchsorted(wrong, levels, "left")) * times
+        levels = np.unique([lowest, *p[(kind == k) & (p > lowest)]])  # other ways to write a span set levels too, but count as neither
+        right, hits = _from(levels, p, n, (kind == k) & real & (y == 1))
+        _, false = _from(levels, p, n, (kind == k) & real & (y == 0))
+        if right >= 20:
             short = np.flatnonzero(hits < precision * (hits + false))
             good = levels[short[-1] + 1 :] if len(short) else levels
             least = float(good[0]) if len(good) else 2.0
@@ -375,12 +534,19 @@ def fit_examples(picked: list[list[tuple[int, bytes, bool]]], negatives: int, pr
     return SpanModel(trees, slope, offset, tuple(thresholds))
 
 
-def _curve(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve by Newton steps with a small ridge."""
+def _from(levels: np.ndarray, p: np.ndarray, n: np.ndarray, of: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many there are of the rows marked by of, and how many from each level on."""
+    order = np.argsort(p[of], kind="stable")
+    below = np.concatenate([[0], np.cumsum(n[of][order])])
+    return int(below[-1]), below[-1] - below[np.searchsorted(p[of][order], levels, "left")]
+
+
+def _curve(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic curve by Newton steps with a small ridge; each row counts n times."""
     a, w = np.column_stack([z, np.ones(len(z))]), np.array([1.0, 0.0])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2), a.T @ (y - p) - 1e-2 * (w - [1.0, 0.0]))
+        step = np.linalg.solve((a * (n * p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2), a.T @ (n * (y - p)) - 1e-2 * (w - [1.0, 0.0]))
         w = w + step
         if abs(step).max() < 1e-9:
             break

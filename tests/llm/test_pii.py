@@ -90,6 +90,51 @@ def test_boosted_trees_learn_an_interaction():
     assert ((trees(x[3000:]) > 0) == (y[3000:] == 1)).mean() > 0.95
 
 
+def test_the_model_is_one_of_all_candidates(spark):
+    """More than 10,000 candidates of either label, against the trees and counts of all of them in plain Python."""
+    rows = planted(5000) + [(k, f"on 2024-01-{k % 28 + 1:02d} 12:30:{k % 60:02d} order {k * 7919 % 10**9}") for k in range(5000, 9000)]
+    seen = []
+    for d, text in rows:
+        for x, y, real in pii.examples(text, pii.strict_spans(text)):
+            x32 = np.array(x, np.float32).tobytes()
+            held = int.from_bytes(hashlib.blake2b(x32 + str(d).encode(), digest_size=8).digest(), "big", signed=True) % 3 == 0
+            seen.append((x, y, real, held))
+    y, real, held = (np.array(c) for c in list(zip(*seen, strict=True))[1:])
+    x = np.array([s[0] for s in seen], np.float64)
+    assert min(np.bincount(y)) > 10_000
+    trees = pii.boosted(x[~held], y[~held].astype(float), np.ones(int((~held).sum())))
+    model = pii.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert np.array_equal(model.trees.leaf, trees.leaf) and np.array_equal(model.trees.cut, trees.cut) and np.array_equal(model.trees.at, trees.at)
+    p, kind = model.probability(x[held]), x[held][:, 0]
+    for k, least in enumerate(model.thresholds):  # the lowest level from which on all levels are precise enough, by counting
+        levels = sorted({0.9, *p[(kind == k) & (p > 0.9)].tolist()}, reverse=True)
+        of = (kind == k) & real[held]
+        best = 2.0
+        if (of & (y[held] == 1)).sum() >= 20:
+            for level in levels:
+                hits, false = ((of & (y[held] == v) & (p >= level)).sum() for v in (1, 0))
+                if hits < 0.98 * (hits + false):
+                    break
+                best = level
+        assert least == best
+
+
+def test_trees_grow_alike_on_the_driver_and_on_spark(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 60, (900, pii.N_FEATURES)).astype(float)
+    y, n = ((x[:, 0] > 20) ^ (x[:, 5] > 41)).astype(float), rng.integers(1, 9, 900).astype(float)
+    edges = [pii.quantile_edges(np.unique(c), np.bincount(np.unique(c, return_inverse=True)[1], n), pii.BINS) for c in x.T]
+    assert all(np.allclose(e, np.unique(np.quantile(np.repeat(c, n.astype(int)), np.linspace(0, 1, 33)[1:-1]))) for e, c in zip(edges, x.T, strict=True))
+    b = pii.binned(x, edges)
+    one = pii.grow(pii.Here(b, y, n, 0.1), edges, 0.1, rounds=5)
+    table = spark.createDataFrame([(bytearray(r.tobytes()), int(v), int(m)) for r, v, m in zip(b, y, n, strict=True)], "bins binary, y int, n long")
+    two = pii.grow(pii.Spread(table, 0.1, 3, every=2), edges, 0.1, rounds=5)
+    assert np.array_equal(one.leaf, two.leaf) and np.array_equal(one.cut, two.cut) and np.array_equal(one.at, two.at)
+    again = pii.boosted(np.repeat(x, n.astype(int), 0), np.repeat(y, n.astype(int)), np.ones(int(n.sum())), rounds=3)
+    first = pii.boosted(x, y, n, rounds=3)
+    assert np.array_equal(again.leaf, first.leaf) and np.array_equal(again.cut, first.cut)
+
+
 @pytest.mark.parametrize("span,kind", [("a.b@c.example.com", 0), ("1.2.3.4", 1), ("4012888888881881", 2), ("+1 (017) 555-7713", 3)])
 def test_other_ways_keep_the_digits(span, kind):
     for seed in range(40):
