@@ -399,9 +399,11 @@ def examples(text: str, strict: list[tuple[int, int, int]]) -> Iterator[tuple[li
         for way in other_ways(text[start:end], kind, seed):
             yield features(before + way + after, len(before), kind, len(before) + len(way)), 1, False
         for way in decoys(text[start:end], seed):
-            for c in proposals(before + way + after):
-                if c[0] < len(before) + len(way) and c[2] > len(before):
-                    yield features(before + way + after, *c), 0, False
+            other = before + way + after
+            fine = set(strict_spans(other))  # 16 of a card's digits, say, are that card again
+            for c in proposals(other):
+                if c not in fine and c[0] < len(before) + len(way) and c[2] > len(before):
+                    yield features(other, *c), 0, False
     for c in dict.fromkeys(proposals(text)):
         if c not in here:
             yield features(text, *c), 0, True
@@ -527,8 +529,7 @@ def calibrated(trees: Trees, kind: np.ndarray, y: np.ndarray, real: np.ndarray,
         right, hits = _from(levels, p, n, (kind == k) & real & (y == 1))
         _, false = _from(levels, p, n, (kind == k) & real & (y == 0))
         if right >= 20:
-            short = np.flatnonzero(hits < precision * (hits + false))
-            good = levels[short[-1] + 1 :] if len(short) else levels
+            good = levels[(hits > 0) & (hits >= precision * (hits + false))]
             least = float(good[0]) if len(good) else 2.0
         thresholds.append(least)
     return SpanModel(trees, slope, offset, tuple(thresholds))
