@@ -153,12 +153,16 @@ def replace_text(versions: DataFrame, supplied: DataFrame, at: Column) -> DataFr
     return j.withColumns({"manual": given | F.coalesce("manual", F.lit(False)), "fetched_at": F.when(given, at).otherwise(F.col("fetched_at")), "text": F.coalesce("_new", "text")}).drop("_new")
 
 
-def admit(files: DataFrame, entities: DataFrame, most_bytes: int) -> DataFrame:
-    """Uploads (name, entity_id, n_bytes, extracted, raw) with reason (null: accepted) and the text to keep."""
-    j = files.join(entities.select("entity_id").withColumn("_known", F.lit(True)), "entity_id", "left")
+def admit(files: DataFrame, entities: DataFrame, most_bytes: int, nothing: Column | None = None) -> DataFrame:
+    """Uploads (name, entity_id, n_bytes, extracted, raw) with reason (null: accepted) and the text to keep.
+
+    That is the extracted text as it is, or the raw one of files in which the extraction found nothing: `nothing`, by default where extracted is blank.
+    """
+    nothing = F.coalesce(F.trim("extracted"), F.lit("")) == "" if nothing is None else F.coalesce(nothing, F.lit(False))
+    j = files.join(entities.select("entity_id").distinct().withColumn("_known", F.lit(True)), "entity_id", "left")
     kind = F.lower(F.regexp_extract("name", r"(\.[A-Za-z0-9]+)$", 1))
     reason = F.when(~kind.isin(".pdf", ".html", ".htm"), "unsupported type").when(F.col("n_bytes") > most_bytes, "too large").when(F.col("_known").isNull(), "unknown entity")
-    return j.withColumns({"reason": reason, "text": F.coalesce(F.nullif(F.trim("extracted"), F.lit("")), "raw")}).drop("_known")
+    return j.withColumns({"reason": reason, "text": F.when(nothing, F.col("raw")).otherwise(F.col("extracted"))}).drop("_known")
 
 
 def defaults_if_empty(rows: DataFrame, defaults: DataFrame) -> DataFrame:
