@@ -42,3 +42,7 @@ def test_rows_without_text_fail_unless_told_otherwise(spark):
     got = inference.extract_fields(rows, "text", inference.echo_provider, "id").collect()
     assert [(r.id, r.status, r.truncated, r.error) for r in got] == [(1, "SUCCESS", False, None), (2, "FAILED", False, "no text"), (3, "FAILED", False, "no text")]
     assert got[0].raw and not got[1].raw
+
+
+def test_quarantined_calls(spark, tmp_path):
+    assert differ(spark, tmp_path, "UD6_quarantined_calls") == (Counter(), Counter())
