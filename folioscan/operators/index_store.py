@@ -10,7 +10,7 @@ earlier generations are dead from then on, whatever table they are in. merge() w
 
 from __future__ import annotations
 
-import uuid
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +29,14 @@ MOST_TOMBSTONES = 1_000_000
 
 
 def _write(df: DataFrame, root: str, name: str, generation: int) -> None:
-    df.withColumn("generation", F.lit(generation).cast("long")).write.mode("append").parquet(f"{root}/{name}")
+    df.withColumn("generation", F.lit(generation).cast("long")).write.mode("append").option("compression", "zstd").parquet(f"{root}/{name}")
+    _release(df.sparkSession)
+
+
+def _release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def blocks(postings: DataFrame) -> DataFrame:
@@ -55,15 +62,14 @@ def postings_of(block: DataFrame) -> DataFrame:
 def build(root: str, versions: DataFrame, catalog: DataFrame, model: Callable, generation: int, **chunking) -> int:
     """Write chunks, vectors and postings of versions (version_id, entity_id, text, protected) as a generation; the number of chunks."""
     spark = versions.sparkSession
-    path = f"{root}/work-{uuid.uuid4().hex[:12]}"
-    indexing.build_index(versions, catalog, **chunking).write.parquet(path)  # cut once, read for each table
-    chunks = spark.read.parquet(path)
-    _write(chunks, root, "chunks", generation)
+    _write(indexing.build_index(versions, catalog, **chunking), root, "chunks", generation)  # cut once, read for each table
+    chunks = spark.read.parquet(f"{root}/chunks").where(F.col("generation") == generation).drop("generation")
     _write(inference.embed(chunks.select("chunk_id", "version_id", "embed_text"), "embed_text", model).select("chunk_id", "version_id", "embedding"), root, "vectors", generation)
     p = blocks(indexing.index_postings(chunks)).sortWithinPartitions("bucket", "term")
-    p.withColumn("generation", F.lit(generation).cast("long")).write.mode("append").partitionBy("bucket").parquet(f"{root}/postings")
+    p.withColumn("generation", F.lit(generation).cast("long")).write.mode("append").option("compression", "zstd").partitionBy("bucket").parquet(f"{root}/postings")
     if generation == 0:
         spark.createDataFrame([], TOMBSTONES).coalesce(1).write.mode("append").parquet(f"{root}/tombstones")
+    _release(spark)
     return chunks.count()
 
 
@@ -96,9 +102,11 @@ def merge(spark: SparkSession, root: str, to: str) -> None:
     for name in TABLES:
         rows = live(spark, root, name).withColumn("generation", F.lit(0).cast("long"))
         if name == "postings":
-            _dealt(rows).drop("_part").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{to}/{name}")
+            # a file has one bucket and files of a task are read in order of size, so buckets stay together without a shuffle
+            rows.sortWithinPartitions("bucket", "term").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{to}/{name}")
         else:
-            rows.write.parquet(f"{to}/{name}")
+            rows.write.option("compression", "zstd").parquet(f"{to}/{name}")
+        _release(spark)
     spark.createDataFrame([], TOMBSTONES).coalesce(1).write.parquet(f"{to}/tombstones")
 
 

@@ -1,8 +1,11 @@
 """Postings of an index: counted within rows, as the plain count; reading an index without tombstones shuffles nothing."""
 
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
 from folioscan.operators import index_store, indexing, inference, retrieval
+from folioscan.plans import text_queries
 
 CATALOG = "entity_id long, stage string, topic boolean, kinds array<string>"
 
@@ -32,3 +35,20 @@ def test_an_index_without_tombstones_is_read_as_it_is(spark, tmp_path, monkeypat
     assert [t for v, t in few if v % 3 == 1] == ["new"] * 4 and len(few) > 8
     monkeypatch.setattr(index_store, "MOST_TOMBSTONES", 1)
     assert ask() == few
+
+
+def test_an_index_keeps_no_second_copy_and_counts_blocks(spark, tmp_path):
+    root, merged = str(tmp_path / "index"), str(tmp_path / "merged")
+    versions = spark.createDataFrame([(v, v % 3, "word text text " * 300 + str(v), v == 5) for v in range(12)], "version_id long, entity_id long, text string, protected boolean")
+    catalog = spark.createDataFrame([(0, "A", True, ["K"]), (1, "B", False, None)], CATALOG)
+    index_store.build(root, versions, catalog, inference.hash_embedding, 0, overlap=0)
+    index_store.reindex(root, versions.where("entity_id = 1").withColumn("text", F.lit("new text")), catalog, versions.where("entity_id = 1"), inference.hash_embedding, overlap=0)
+    assert sorted(p.name for p in (tmp_path / "index").iterdir() if p.is_dir()) == ["chunks", "postings", "tombstones", "vectors"]
+    index_store.merge(spark, root, merged)
+    rows = [sorted(map(str, index_store.live(spark, r, "postings").drop("generation").collect())) for r in (root, merged)]
+    assert rows[0] == rows[1] and rows[0]
+    per = text_queries._per_term(SimpleNamespace(spark=spark), merged)
+    got = {r.term: (r.n, r.n_versions) for r in per.collect()}
+    assert got["word"] == (300 * 7, 7) and got["text"] == (600 * 7 + 4, 11) and got["new"] == (4, 4) and "1" not in got and got["11"] == (1, 1)
+    plan = per._jdf.queryExecution().executedPlan().toString()
+    assert "version_id" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
