@@ -112,12 +112,7 @@ def merge(spark: SparkSession, root: str, to: str) -> None:
 
 def search(spark: SparkSession, root: str, questions: DataFrame, k: int, **bm25) -> DataFrame:
     """question_id, chunk_id, sparse_rank by BM25 over the stored postings of the questions' words; no text is read but the questions'."""
-    size = live(spark, root, "chunks").select("n_terms")
-    corpus = size.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_terms").alias("avg_len"))
-
-    def ask(q: DataFrame) -> DataFrame:
-        words = F.broadcast(q.select(F.explode(retrieval.terms(F.col("text"))).alias("term")).distinct())
-        found = postings_of(live(spark, root, "postings").join(words, "term", "left_semi"))
-        return retrieval.ranked(found, corpus, q, k, **bm25)
-
-    return retrieval.by_blocks(questions, ask)
+    size = live(spark, root, "chunks").agg(F.count(F.lit(1)).alias("n"), F.avg("n_terms").alias("mean")).first()
+    if not size.n:
+        return questions.select("question_id", F.lit(0).cast("long").alias("chunk_id"), F.lit(0).alias("sparse_rank")).limit(0)
+    return retrieval.by_blocks(questions, lambda q: retrieval.ranked_blocks(live(spark, root, "postings"), size.n, size.mean, q, k, **bm25))

@@ -52,3 +52,23 @@ def test_an_index_keeps_no_second_copy_and_counts_blocks(spark, tmp_path):
     assert got["word"] == (300 * 7, 7) and got["text"] == (600 * 7 + 4, 11) and got["new"] == (4, 4) and "1" not in got and got["11"] == (1, 1)
     plan = per._jdf.queryExecution().executedPlan().toString()
     assert "version_id" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+
+
+def test_a_stored_search_shuffles_no_row_for_a_question_and_chunk(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "index")
+    texts = [" ".join(f"w{i * j % 17}" for j in range(1, 3 + i % 9)) for i in range(60)]
+    versions = spark.createDataFrame([(v, v % 3, x, False) for v, x in enumerate([*texts, texts[0], " "])], "version_id long, entity_id long, text string, protected boolean")
+    index_store.build(root, versions, spark.createDataFrame([], CATALOG), inference.hash_embedding, 0, overlap=0)
+    chunks = index_store.live(spark, root, "chunks")
+    corpus = chunks.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_terms").alias("avg_len"))
+    questions = spark.createDataFrame([(1, "w1 w2 w2"), (2, "w0 none w5 w7"), (3, ""), (4, "none")], "question_id long, text string")
+    want = retrieval.ranked(index_store.postings_of(index_store.live(spark, root, "postings")), corpus, questions, 10).collect()
+    assert len(want) == 20
+    for cells in (retrieval.CELLS, 8):
+        monkeypatch.setattr(retrieval, "CELLS", cells)
+        got = index_store.search(spark, root, questions, 10)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange" in x and "question_id" in x and "chunk_id" in x]
+    assert index_store.search(spark, root, questions.where("question_id > 2"), 10).isEmpty()
+    assert index_store.search(spark, root, questions.limit(0), 10).isEmpty()
